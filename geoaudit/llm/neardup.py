@@ -8,7 +8,8 @@ No bucket is ever gathered: bucket rows are sorted into ranges and each range li
 first of them. The links are checked, components are formed, and only buckets in which two components
 still meet are looked at again, first against another member, then in full. So a group of copies costs
 links in proportion to its size, and no pair that shares a bucket and lies in two components at the end
-is left unchecked.
+is left out. The full look compares blocks of members by their signatures and passes on the members with
+a likely partner, not the pairs; a pair is looked at in the first bucket that it shares.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ from .scratch import Scratch
 class NearDupConfig:
     """Shingle length, similarity ``percent`` and signature shape.
 
-    A pair at exactly 0.75 is missed by all bands with probability (1 - 0.75**5)**48 = 2e-6.
+    A pair at exactly 0.75 is missed by all bands with probability (1 - 0.75**5)**48 = 2e-6. In the full
+    look, a pair whose signatures agree in less than ``percent - slack`` of the coordinates is not compared
+    further; at exactly 0.75 that is 4.6 standard deviations off (2e-6).
     """
 
     shingle: int = 5
@@ -40,6 +43,8 @@ class NearDupConfig:
     universe_bits: int = 20
     seed: int = 20251
     salts: int = 64
+    slack: int = 13
+    block: int = 512
 
 
 class CirculantMinHash:
@@ -64,10 +69,11 @@ class CirculantMinHash:
             np.minimum(low, self.turned[at[k : k + 1024]].min(axis=0), out=low)
         return low
 
-    def bands(self, shingles: np.ndarray) -> np.ndarray:
-        """One 64-bit bucket name for each band."""
-        rows = self.signature(shingles).astype(np.uint64).reshape(self.shape)
-        return W.mix((rows * self.factor).sum(axis=1, dtype=np.uint64) + self.offset)
+    def bands(self, shingles: np.ndarray) -> tuple[np.ndarray, bytes]:
+        """One 64-bit bucket name for each band, and the low byte of each coordinate."""
+        low = self.signature(shingles)
+        rows = low.astype(np.uint64).reshape(self.shape)
+        return W.mix((rows * self.factor).sum(axis=1, dtype=np.uint64) + self.offset), low.astype(np.uint8).tobytes()
 
 
 def _sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -79,7 +85,7 @@ def _sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
             yield own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) > 1 else own
 
 
-SIGNATURES = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"
+SIGNATURES = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, low binary"
 
 
 def signatures(docs: DataFrame, config: NearDupConfig) -> DataFrame:
@@ -88,12 +94,12 @@ def signatures(docs: DataFrame, config: NearDupConfig) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = CirculantMinHash(config)
         for batch in batches:
-            n, h1, h2, bands, known = [], [], [], [], {}
+            n, h1, h2, bands, low, known = [], [], [], [], [], {}
             for own in _sets(batch.column("text"), config.shingle):
                 key = (len(own), int(np.sum(W.mix(own), dtype=np.uint64)), int(np.sum(W.mix(own ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)))
                 if key not in known:
-                    known[key] = hasher.bands(own) if len(own) else np.zeros(0, np.uint64)
-                n.append(key[0]), h1.append(key[1]), h2.append(key[2]), bands.append(known[key])
+                    known[key] = hasher.bands(own) if len(own) else (np.zeros(0, np.uint64), b"")
+                n.append(key[0]), h1.append(key[1]), h2.append(key[2]), bands.append(known[key][0]), low.append(known[key][1])
             flat = np.concatenate([np.zeros(0, np.uint64), *bands]).view(np.int64)
             at = np.concatenate([[0], np.cumsum([len(x) for x in bands])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -103,8 +109,9 @@ def signatures(docs: DataFrame, config: NearDupConfig) -> DataFrame:
                     pa.array(np.array(h1, np.uint64).view(np.int64)),
                     pa.array(np.array(h2, np.uint64).view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(at), pa.array(flat)),
+                    pa.array(low, pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "h1", "h2", "bands"],
+                names=["doc_id", "n_shingles", "h1", "h2", "bands", "low"],
             )
 
     return docs.select("doc_id", "text").mapInArrow(run, SIGNATURES)
@@ -157,6 +164,14 @@ def _stars(buckets: DataFrame) -> DataFrame:
     return buckets.mapInArrow(run, "bucket long, node long, pivot long")
 
 
+def _similar(a: np.ndarray, b: np.ndarray, config: NearDupConfig) -> bool:
+    """Whether two sorted sets are similar enough."""
+    if not 100 * min(len(a), len(b)) >= config.percent * max(len(a), len(b)) > 0:
+        return False
+    both = int(np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a))
+    return 100 * both >= config.percent * (len(a) + len(b) - both)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, config: NearDupConfig) -> DataFrame:
     """The pairs ``(a, b)`` that are similar enough, by the sizes of their full sets."""
 
@@ -168,12 +183,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, config: NearDupConfig) -> Data
             for k, left in enumerate(_sets(batch.column("text_a"), config.shingle)):
                 if b[k] != kept_id:
                     kept_id, kept = b[k], next(_sets(text_b.slice(k, 1), config.shingle))
-                n = len(left) + len(kept)
-                both = 0
-                if 100 * min(len(left), len(kept)) >= config.percent * max(len(left), len(kept)) > 0:
-                    at = np.searchsorted(kept, left)
-                    both = int(np.count_nonzero(kept[np.minimum(at, len(kept) - 1)] == left))
-                good.append(both > 0 and 100 * both >= config.percent * (n - both))
+                good.append(_similar(left, kept, config))
             good = np.array(good, bool)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good)), batch.column("b").filter(pa.array(good))], names=["a", "b"])
 
@@ -183,6 +193,107 @@ def _verified(pairs: DataFrame, texts: DataFrame, config: NearDupConfig) -> Data
     return both.select("a", "text_a", "b", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Runs of rows with the same first ``keys`` columns, from sorted rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, bool)
+        for k in range(keys):
+            column = batch.column(k).to_numpy()
+            new[1:] |= column[1:] != column[:-1]
+            new[0] |= not held or held[-1].column(k)[-1].as_py() != column[0]
+        at = [*np.flatnonzero(new).tolist(), batch.num_rows]
+        if at[0] and held:
+            held.append(batch.slice(0, at[0]))
+        for b, e in zip(at[:-1], at[1:], strict=True):
+            if held:
+                yield pa.Table.from_batches(held)
+            held = [batch.slice(b, e - b)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+_GROUP = ["bucket", "one", "two"]
+
+
+def _likely(members: DataFrame, config: NearDupConfig) -> DataFrame:
+    """The members of each block pair that have likely partners in it, and those partners."""
+    least = (config.percent - config.slack) * config.bands * config.rows / 100
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, 3):
+            if group.num_rows < 2:
+                continue
+            group = group.combine_chunks()
+            bucket, one, two = (group.column(c)[0].as_py() for c in _GROUP)
+            side, node, component, size = (group.column(c).to_numpy() for c in ("side", "node", "component", "n_shingles"))
+            if (component == component[0]).all():
+                continue
+            bands = np.array(group.column("bands").to_pylist(), np.int64)
+            low = np.frombuffer(b"".join(group.column("low").to_pylist()), np.uint8).reshape(len(node), -1)
+            rows = []
+            for i in range(len(node) - 1):
+                rest = slice(i + 1, None)
+                fit = (component[rest] != component[i]) & (100 * np.minimum(size[rest], size[i]) >= config.percent * np.maximum(size[rest], size[i]))
+                if one != two:
+                    fit &= side[rest] != side[i]
+                j = np.flatnonzero(fit) + i + 1
+                if len(j):
+                    j = j[bands[i][np.argmax(bands[j] == bands[i], axis=1)] == bucket]
+                    j = j[np.count_nonzero(low[j] == low[i], axis=1) >= least]
+                    if len(j):
+                        rows.append((i, j))
+            if rows:
+                partners = {i: j for i, j in rows}
+                used = np.unique(np.concatenate([[i for i, _ in rows], *(j for _, j in rows)]))
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array([x] * len(used), k) for x, k in ((bucket, pa.int64()), (one, pa.int32()), (two, pa.int32()))), pa.array(node[used]), pa.array(component[used]), pa.array([node[partners[i]].tolist() if i in partners else [] for i in used.tolist()], pa.list_(pa.int64()))],
+                    names=[*_GROUP, "node", "component", "partners"],
+                )
+
+    return members.mapInArrow(run, "bucket long, one int, two int, node long, component long, partners array<long>")
+
+
+def _joined(members: DataFrame, config: NearDupConfig) -> DataFrame:
+    """The links between partners, one at most for two components in a block pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, 3):
+            node, component = group.column("node").to_pylist(), group.column("component").to_pylist()
+            of, root, sets = dict(zip(node, component, strict=True)), {c: c for c in component}, dict(zip(node, _sets(group.column("text").combine_chunks(), config.shingle), strict=True))
+
+            def find(c, root=root):
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            links = []
+            for a, partners in zip(node, group.column("partners").to_pylist(), strict=True):
+                for b in partners:
+                    x, y = find(of[a]), find(of[b])
+                    if x != y and _similar(sets[a], sets[b], config):
+                        root[x] = y
+                        links.append((a, b))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], names=["a", "b"])
+
+    return members.mapInArrow(run, "a long, b long")
+
+
+def _remaining(mixed: DataFrame, features: DataFrame, texts: DataFrame, config: NearDupConfig) -> DataFrame:
+    """All links left between components that meet in a bucket; ``mixed``: bucket, members, node, component."""
+    blocks = F.ceil(F.col("members") / config.block).cast("int")
+    side = mixed.withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    pairs = side.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = pairs.select("bucket", F.least("side", "other").alias("one"), F.greatest("side", "other").alias("two"), "side", "node", "component")
+    rows = pairs.join(features, "node").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+    likely = _likely(rows.select(*_GROUP, "side", "node", "component", "n_shingles", "bands", "low"), config)
+    whole = likely.join(texts, "node").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+    return _joined(whole.select(*_GROUP, "node", "component", "partners", "text"), config)
+
+
 def near_duplicates(docs: DataFrame, config: NearDupConfig = NearDupConfig()) -> DataFrame:
     """Link documents whose shingle sets have a Jaccard similarity of ``percent`` or more.
 
@@ -198,11 +309,11 @@ def near_duplicates(docs: DataFrame, config: NearDupConfig = NearDupConfig()) ->
     scratch = Scratch(spark, "neardup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = scratch.write(signatures(docs, config), "signatures")
-    full = signed.where("n_shingles > 0 and doc_id is not null")
+    sets = signed.where("n_shingles > 0 and doc_id is not null")
     classes = scratch.write(
-        full.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("node")), "classes"
+        sets.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("node")), "classes"
     )
-    representatives = full.join(classes.select(F.col("node").alias("doc_id"), "n_shingles", "h1", "h2"), ["doc_id", "n_shingles", "h1", "h2"], "left_semi")
+    representatives = sets.join(classes.select(F.col("node").alias("doc_id"), "n_shingles", "h1", "h2"), ["doc_id", "n_shingles", "h1", "h2"], "left_semi")
     buckets = scratch.write(representatives.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("node")), "buckets")
     ranged = buckets.repartitionByRange("bucket", "node").sortWithinPartitions("bucket", "node")
     members = scratch.write(_stars(ranged), "members")
@@ -214,19 +325,20 @@ def near_duplicates(docs: DataFrame, config: NearDupConfig = NearDupConfig()) ->
 
     links = scratch.write(_verified(members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), texts, config), "links")
     found = scratch.write(connected_components(links, scratch), "components")
-    for full_round in (False, True):
+    for full in (False, True):
         placed = members.select("bucket", "node").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-        mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct(F.xxhash64("node", "bucket"), "node", "component")).alias("other")).where("low <> high")
-        left = placed.join(mixed.select("bucket", "other"), "bucket")
-        if full_round:
-            one, two = left.select("bucket", F.col("node").alias("a"), F.col("component").alias("x")), left.select("bucket", F.col("node").alias("b"), F.col("component").alias("y"))
-            pairs = one.join(two, "bucket").where("x > y")
-        else:
-            pairs = left.where("component <> other.component").select(F.col("node").alias("a"), F.col("other.node").alias("b"))
-        pairs = scratch.write(pairs.select("a", "b").distinct(), "pairs")
-        if pairs.isEmpty():
+        other = F.max(F.struct(F.xxhash64("node", "bucket"), "node", "component")).alias("other")
+        mixed = placed.groupBy("bucket").agg(F.count("*").alias("members"), F.min("component").alias("least"), F.max("component").alias("most"), other).where("least <> most")
+        mixed = scratch.write(placed.join(mixed.select("bucket", "members", "other"), "bucket"), "mixed")
+        if mixed.isEmpty():
             break
-        more = scratch.write(_verified(pairs, texts, config), "links")
+        if full:
+            features = signed.join(mixed.select(F.col("node").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("node"), "n_shingles", "bands", "low").dropDuplicates(["node"])
+            more = _remaining(mixed, features, texts, config)
+        else:
+            pairs = mixed.where("component <> other.component").select(F.col("node").alias("a"), F.col("other.node").alias("b"))
+            more = _verified(pairs.distinct(), texts, config)
+        more = scratch.write(more, "links")
         if not more.isEmpty():
             links = links.unionAll(more)
             found = scratch.write(connected_components(links, scratch), "components")
