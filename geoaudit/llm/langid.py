@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -122,13 +123,23 @@ def learn_sample(training: DataFrame, config: LangIdConfig) -> dict[str, list[st
     return {lang: list(own) for lang, own in words.items()}
 
 
+_models: dict[str, LanguageModel] = {}
+
+
+def _model(key: str, words: dict[str, list[str]], cached: int) -> LanguageModel:
+    """The last model that this process was asked for, with the words that earlier tasks have parsed."""
+    if key not in _models:
+        _models.clear()
+        _models[key] = LanguageModel(words, cached)
+    return _models[key]
+
+
 def _predict(rows: DataFrame, model_words: dict[str, list[str]], config: LangIdConfig) -> DataFrame:
-    sent = rows.sparkSession.sparkContext.broadcast(model_words)
+    sent, key = rows.sparkSession.sparkContext.broadcast(model_words), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = None
+        model = _model(key, sent.value, config.cached)
         for batch in batches:
-            model = model or LanguageModel(sent.value, config.cached)
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
                 got = [model.predict(t) for t in some.column("text").to_pylist()]
