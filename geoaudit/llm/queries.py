@@ -14,6 +14,7 @@ from .lm import score_texts
 from .neardup import near_duplicates
 from .packing import PackingConfig, packing_digest, tokenizer_path
 from .quality import quality_report
+from .substring import repeated_passages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.perspectives(_table(spark, sf_dir, "conversations"))
 
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_nearest": op3_nearest,
     "op4_quality": op4_quality,
+    "op5_substring": op5_substring,
     "op6_chat": op6_chat,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_minhash": op8_minhash,

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from .words import utf8
+
 
 def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """Runs of rows with the same first ``keys`` columns (not null), from sorted rows."""
@@ -28,3 +30,14 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
             held = [batch.slice(b, e - b)]
     if held:
         yield pa.Table.from_batches(held)
+
+
+def document_batches(rows: Iterator[pa.RecordBatch], most_docs: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Whole documents in batches of bounded size; a longer document is a batch of its own."""
+    for batch in rows:
+        _, at = utf8(batch.column("text"))
+        row = 0
+        while row < batch.num_rows:
+            end = min(row + most_docs, max(row + 1, int(np.searchsorted(at, at[row] + most_bytes, side="right")) - 1))
+            yield batch.slice(row, end - row)
+            row = end
