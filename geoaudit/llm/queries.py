@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import chat
 from .ann import nearest_report
 from .decontam import contamination_report
+from .html import extract
 from .langid import language_report
 from .lm import score_texts
 from .neardup import near_duplicates
@@ -25,6 +26,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_digest(_table(spark, sf_dir, "documents"), PackingConfig(tokenizer_path()))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_report(_table(spark, sf_dir, "embeddings"))
 
@@ -59,6 +64,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_main_text": op2_main_text,
     "op3_nearest": op3_nearest,
     "op4_quality": op4_quality,
     "op5_substring": op5_substring,
