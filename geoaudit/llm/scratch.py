@@ -24,13 +24,25 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_open: list[Scratch] = []
+
+
+def release() -> None:
+    """Delete the tables of all operators so far. For callers who have written what they wanted of them."""
+    while _open:
+        _open.pop().drop()
+
+
 class Scratch:
     """A folder of tables that belong to one run of one operator."""
 
-    def __init__(self, spark: SparkSession, label: str):
+    def __init__(self, spark: SparkSession, label: str, lasting: bool = False):
+        """``lasting`` tables are left alone by ``release``; all go when the session's JVM ends."""
         self.spark = spark
         self.path = f"{shared_dir(spark)}/geoaudit/{label}-{uuid.uuid4().hex}"
         self.tables = 0
+        if not lasting:
+            _open.append(self)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` as Parquet and return the table as read back."""
