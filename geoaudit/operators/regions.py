@@ -85,17 +85,15 @@ def counted(members: DataFrame, *keys: str) -> DataFrame:
 def grid_stats(points: DataFrame, grids: DataFrame, sizes: list[tuple[int, int, int]], p: Profile) -> DataFrame:
     """Cells of the grids with ``n`` and ``p``; empty cells have 0 of both.
 
-    Equal coordinates are counted together first when there are several grids, so that only distinct ones
-    are laid over each.
+    Points are laid over all grids where they are read; what is shuffled is each task's counts of cells.
     """
     cells = grid_cells(grids, p)
     if not p.n:
         return cells.withColumn("n", F.lit(0).cast("long")).withColumn("p", F.lit(0).cast("long"))
-    places = points.select("lon", "lat", "outcome").groupBy("lon", "lat").agg(F.count("*").alias("m"), F.sum(F.col("outcome").cast("long")).alias("q")) if len(sizes) > 1 else points.select("lon", "lat", F.lit(1).cast("long").alias("m"), F.col("outcome").cast("long").alias("q"))
-    spread = places.withColumn("g", F.explode(F.array(*(F.struct(F.lit(g).alias("grid_idx"), F.lit(x).alias("lon_n"), F.lit(y).alias("lat_n")) for g, x, y in sizes))))
+    places = points.select("lon", "lat", "outcome").withColumn("g", F.explode(F.array(*(F.struct(F.lit(g).alias("grid_idx"), F.lit(x).alias("lon_n"), F.lit(y).alias("lat_n")) for g, x, y in sizes))))
     ids = cell_ids(p, F.col("g.lon_n"), F.col("g.lat_n"))
-    members = spread.select(F.col("g.grid_idx").alias("grid_idx"), F.explode(ids).alias("region_id"), "m", "q")
-    found = members.groupBy("grid_idx", "region_id").agg(F.sum("m").alias("n"), F.sum("q").alias("p"))
+    members = places.select(F.col("g.grid_idx").alias("grid_idx"), F.explode(ids).alias("region_id"), "outcome")
+    found = counted(members, "grid_idx", "region_id")
     zero = {"n": 0, "p": 0}
     return cells.join(found, ["grid_idx", "region_id"], "left").na.fill(zero)
 
