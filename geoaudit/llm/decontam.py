@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .process import bounded_batches, keep_nothing
 from .scratch import Scratch
 
 
@@ -186,6 +187,7 @@ def _scan(rows: DataFrame, benchmark: Benchmark) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(benchmark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_nothing()
         for batch in batches:
             text, before_hit, before_items = batch.column("text"), batch.column("hit"), batch.column("items").to_pylist()
             for row, end, data, at in W.chunks(text):
@@ -224,6 +226,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, columns: list[str], co
         F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col("text").cast("string").alias("text"),
         F.lit(b"").alias("hit"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<long>").alias("items"),
     )
+    bounded_batches(docs.sparkSession)
     scratch = None
     for k, block in enumerate(_blocks(benchmark, config)):
         if k:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .decontam import GeneralisedSuffixAutomaton
+from .process import bounded_batches, kept
 
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -32,7 +33,7 @@ class LangIdConfig:
 
     sample_docs: int = 400
     sample_words: int = 20_000
-    cached: int = 300_000
+    cached: int = 200_000
 
 
 def letter_words(text: str | None) -> list[str]:
@@ -56,10 +57,10 @@ class CrossParser:
         for c in map(ord, f" {word} "):
             to = go.get((state << 21) | c)
             if to is None:
-                count += 1.0 if state else 0.5
+                count += 1.0 if state else 0.0
                 to = go.get(c, 0)
                 if not to:
-                    count += 1.0
+                    count += 1.5
             state = to
         return count + (1.0 if state else 0.0)
 
@@ -123,22 +124,12 @@ def learn_sample(training: DataFrame, config: LangIdConfig) -> dict[str, list[st
     return {lang: list(own) for lang, own in words.items()}
 
 
-_models: dict[str, LanguageModel] = {}
-
-
-def _model(key: str, words: dict[str, list[str]], cached: int) -> LanguageModel:
-    """The last model that this process was asked for, with the words that earlier tasks have parsed."""
-    if key not in _models:
-        _models.clear()
-        _models[key] = LanguageModel(words, cached)
-    return _models[key]
-
-
 def _predict(rows: DataFrame, model_words: dict[str, list[str]], config: LangIdConfig) -> DataFrame:
+    bounded_batches(rows.sparkSession)
     sent, key = rows.sparkSession.sparkContext.broadcast(model_words), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(key, sent.value, config.cached)
+        model = kept(key, lambda: LanguageModel(sent.value, config.cached))
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)

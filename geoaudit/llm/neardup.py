@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import connected_components
+from .process import bounded_batches, keep_nothing
+from .rows import groups
 from .scratch import Scratch
 
 
@@ -92,6 +94,7 @@ def signatures(docs: DataFrame, config: NearDupConfig) -> DataFrame:
     """Set size, 128-bit set hash and bucket names of every document; no bands for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_nothing()
         hasher = CirculantMinHash(config)
         for batch in batches:
             n, h1, h2, bands, low, known = [], [], [], [], [], {}
@@ -176,6 +179,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, config: NearDupConfig) -> Data
     """The pairs ``(a, b)`` that are similar enough, by the sizes of their full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_nothing()
         kept_id, kept = None, None
         for batch in batches:
             a, b, text_b = batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("text_b")
@@ -193,28 +197,6 @@ def _verified(pairs: DataFrame, texts: DataFrame, config: NearDupConfig) -> Data
     return both.select("a", "text_a", "b", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Runs of rows with the same first ``keys`` columns, from sorted rows."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        new = np.zeros(batch.num_rows, bool)
-        for k in range(keys):
-            column = batch.column(k).to_numpy()
-            new[1:] |= column[1:] != column[:-1]
-            new[0] |= not held or held[-1].column(k)[-1].as_py() != column[0]
-        at = [*np.flatnonzero(new).tolist(), batch.num_rows]
-        if at[0] and held:
-            held.append(batch.slice(0, at[0]))
-        for b, e in zip(at[:-1], at[1:], strict=True):
-            if held:
-                yield pa.Table.from_batches(held)
-            held = [batch.slice(b, e - b)]
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 _GROUP = ["bucket", "one", "two"]
 
 
@@ -223,7 +205,7 @@ def _likely(members: DataFrame, config: NearDupConfig) -> DataFrame:
     least = (config.percent - config.slack) * config.bands * config.rows / 100
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, 3):
+        for group in groups(batches, 3):
             if group.num_rows < 2:
                 continue
             group = group.combine_chunks()
@@ -260,7 +242,7 @@ def _joined(members: DataFrame, config: NearDupConfig) -> DataFrame:
     """The links between partners, one at most for two components in a block pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, 3):
+        for group in groups(batches, 3):
             node, component = group.column("node").to_pylist(), group.column("component").to_pylist()
             of, root, sets = dict(zip(node, component, strict=True)), {c: c for c in component}, dict(zip(node, _sets(group.column("text").combine_chunks(), config.shingle), strict=True))
 
@@ -306,6 +288,7 @@ def near_duplicates(docs: DataFrame, config: NearDupConfig = NearDupConfig()) ->
     Exact copies are one class and are compared once. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     scratch = Scratch(spark, "neardup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = scratch.write(signatures(docs, config), "signatures")

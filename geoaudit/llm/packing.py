@@ -7,10 +7,11 @@ place in the whole stream, and a second pass cuts at multiples of the window.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .process import bounded_batches, keep_nothing, kept
 from .scratch import Scratch
 
 WORD_BPE = "word_bpe_49k.json"
@@ -36,7 +38,7 @@ class PackingConfig:
     tokenizer: str
     window: int = 2048
     end_id: int = 1
-    cached: int = 400_000
+    cached: int = 700_000
 
 
 #: White space for str.split() that the tokenizer does not drop.
@@ -46,72 +48,171 @@ _ODD_SPACE = re.compile("[\x1c-\x1f]")
 class WordTokenizer:
     """Ids of whole texts, equal to ``encode(text, add_special_tokens=False)``, with words' ids remembered.
 
-    For tokenizers that drop white space, split the rest into pieces by a regular expression, and mark the
-    last token of each piece by a suffix. The piece pattern and the normaliser are read from the file. Texts
-    of special tokens count as ordinary text.
+    For byte-level BPE tokenizers that drop white space, split the rest into pieces by a regular expression
+    and mark the end of a piece by a suffix. Vocabulary, merges, pattern and normaliser come from the file;
+    merging is done for many pieces at once. Texts of special tokens count as ordinary text.
     """
 
+    LONGEST = 24  #: bytes of a piece that is merged here; longer ones go to the library
+
     def __init__(self, path: str, cached: int):
         import json
 
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        suffix = spec["model"]["end_of_word_suffix"]
+        vocab, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
         self.find = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"], regex.V1).findall
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        ends = [i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]
-        self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.is_end[ends] = True
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.size = np.int64(size)
+        self.plain = self.find("ab") == ["ab"] and self.find("ab.") == ["ab", "."] and self.find("ab,") == ["ab", ","]
+        letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.inner, self.final = np.zeros(256, np.int64), np.zeros(256, np.int64)
+        for c in [*map(chr, range(0x80)), *(chr(k) for n in (0x80, 0x800, 0x10000) for k in range(n, min(n * 32, 0x110000), max(1, n >> 6)) if not 0xD800 <= k < 0xE000)]:
+            for byte, letter in zip(c.encode(), letters.pre_tokenize_str(c)[0][0], strict=True):
+                self.inner[byte], self.final[byte] = vocab[letter], vocab[letter + suffix]
+        merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        pair = np.array([vocab[x] * size + vocab[y] for x, y in merges], np.int64)
+        order = np.argsort(pair, kind="stable")
+        self.pair, self.rank = pair[order], order.astype(np.int32)
+        self.made = np.array([vocab[x + y] for x, y in merges], np.int64)
         self.cached = cached
         self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _learn_pieces(self, new: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, self.dtype)
-        ends = np.flatnonzero(self.is_end[ids]) + 1
-        if len(ends) != len(new):  # a piece that the tokenizer parts again by itself
-            self.pieces.update((p, self.direct(p)) for p in new)
-            return
-        raw, width, start = ids.tobytes(), self.dtype.itemsize, 0
-        for piece, end in zip(new, (ends * width).tolist(), strict=True):
-            self.pieces[piece] = raw[start:end]
-            start = end
+    _NONE = np.int32(2**31 - 1)
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of the merges of neighbours; ``_NONE`` where there is none or a neighbour is missing (-1)."""
+        key = left * self.size + right
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        return np.where((self.pair[at] == key) & (right >= 0) & (left >= 0), self.rank[at], self._NONE)
+
+    def _merged(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces of about equal length: the merge of least rank, leftmost first, until none is left."""
+        n, width = len(pieces), max(map(len, pieces)) + 1
+        length = np.fromiter(map(len, pieces), np.int64, n)
+        data = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in pieces), np.uint8).reshape(n, width)
+        ids = np.where(np.arange(width) < length[:, None], self.inner[data], -1)
+        every = np.arange(n)
+        ids[every, length - 1] = self.final[data[every, length - 1]]
+        ranks = self._ranks(ids[:, :-1], ids[:, 1:])
+        live = every
+        while len(live):
+            own, least = ids[live], ranks[live]
+            at = least.argmin(axis=1)
+            best = least[np.arange(len(live)), at]
+            more = best != self._NONE
+            if not more.all():
+                live, own, least, at, best = live[more], own[more], least[more], at[more], best[more]
+            if not len(live):
+                break
+            rows = np.arange(len(live))
+            place = np.arange(width)
+            own = np.take_along_axis(own, np.minimum(place + (place > at[:, None]), width - 1), axis=1)
+            own[rows, at] = self.made[best]
+            least = np.take_along_axis(least, np.minimum(place[:-1] + (place[:-1] > at[:, None]), width - 2), axis=1)
+            least[:, -1] = self._NONE
+            least[rows, at] = self._ranks(own[rows, at], own[rows, np.minimum(at + 1, width - 1)])
+            inside = at > 0
+            before = np.maximum(at - 1, 0)
+            left = self._ranks(own[rows, before], own[rows, at])
+            least[rows[inside], before[inside]] = left[inside]
+            ids[live], ranks[live] = own, least
+        count = (ids >= 0).sum(axis=1)
+        raw, step = ids[ids >= 0].astype(self.dtype).tobytes(), self.dtype.itemsize
+        end = (np.cumsum(count) * step).tolist()
+        return [raw[b:e] for b, e in zip([0, *end[:-1]], end, strict=True)]
+
+    def _pieces(self, pieces: set[str]) -> dict[str, bytes]:
+        out, short = {}, []
+        for p in pieces:
+            raw = p.encode()
+            if len(raw) > self.LONGEST:
+                out[p] = self.direct(p)
+            else:
+                short.append((len(raw), raw, p))
+        short.sort()
+        for b in range(0, len(short), 4096):
+            some = short[b : b + 4096]
+            out.update(zip((p for _, _, p in some), self._merged([raw for _, raw, _ in some]), strict=True))
+        return out
 
     def _learn(self, new: list[str]) -> None:
-        normal = self.tokenizer.normalizer.normalize_str
-        split = [self.find(normal(w)) for w in new]
-        if len(self.pieces) > self.cached:
-            self.pieces.clear()
-        if fresh := [p for p in {p for s in split for p in s} if p not in self.pieces]:
-            self._learn_pieces(fresh)
-        get = self.pieces.__getitem__
+        normal = self.tokenizer.normalizer.normalize_str(" ".join(new)).split(" ")
+        if len(normal) != len(new):
+            normal = list(map(self.tokenizer.normalizer.normalize_str, new))
+        find, plain = self.find, self.plain
+        # Where letters are one piece, and one of these signs after them another, the pattern need not be asked.
+        split = [find(w) if not plain else (w,) if w.isalpha() else (w[:-1], w[-1]) if w[-1:] in (".", ",") and w[:-1].isalpha() else find(w) for w in normal]
+        # A piece in normal form is a word of its own with the same ids; those in the cache need no merging.
+        words, old, join, pieces, fresh, asked = self.words, self.old, b"".join, {}, set(), set(new)
+        for p in {p for s in split for p in s}:
+            ids = (words.get(p) or old.get(p)) if plain and p not in asked else None
+            if ids is None:
+                fresh.add(p)
+            else:
+                pieces[p] = ids
+        made = self._pieces(fresh)
+        pieces.update(made)
+        get = pieces.__getitem__
         for word, parts in zip(new, split, strict=True):
-            self.words[word] = b"".join(map(get, parts))
+            words[word] = get(parts[0]) if len(parts) == 1 else join(map(get, parts))
+        if plain:
+            words.update((p, ids) for p, ids in made.items() if p.isalpha())
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [None if t is None or _ODD_SPACE.search(t) else t.split() for t in texts]
-        every = {w for s in split if s for w in s}
+        odd = {k: self.direct(t) for k, t in enumerate(texts) if t is not None and _ODD_SPACE.search(t)}
+        split = [t.split() if t is not None and k not in odd else [] for k, t in enumerate(texts)]
+        collects = gc.isenabled()
+        gc.disable()  # lists of very many words and no cycles: collecting would only go through them
+        try:
+            out = self._joined(split)
+        finally:
+            if collects:
+                gc.enable()
+        for k, own in odd.items():
+            out[k] = own
+        return out
+
+    def _joined(self, split: list[list[str]]) -> list[bytes]:
         if len(self.words) > self.cached:
-            self.words.clear()
-        if new := [w for w in every if w not in self.words]:
+            self.words, self.old = {}, self.words
+        flat = list(chain.from_iterable(split))
+        ids = list(map(self.words.get, flat))
+        missing = [k for k, x in enumerate(ids) if x is None]
+        new = []
+        for w in {flat[k] for k in missing}:
+            if (known := self.old.get(w)) is not None:
+                self.words[w] = known
+            else:
+                new.append(w)
+        if new:
             self._learn(new)
-        get = self.words.__getitem__
-        return [b"" if t is None else self.direct(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
+        for k in missing:
+            ids[k] = self.words[flat[k]]
+        ends = list(accumulate(map(len, split)))
+        return [b"".join(ids[b:e]) for b, e in zip([0, *ends], ends)]
+
+
+def word_tokenizer(path: str, cached: int) -> WordTokenizer:
+    """One for each process, so that later tasks find the words of earlier ones."""
+    return kept(("tokenizer", path, cached), lambda: WordTokenizer(path, cached))
 
 
 def tokenised(docs: DataFrame, config: PackingConfig) -> DataFrame:
     """``doc_id``, its ids with the end id, and where they begin among those of its partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokenizer(config.tokenizer, config.cached)
+        tokens = word_tokenizer(config.tokenizer, config.cached)
         end = np.array([config.end_id], tokens.dtype).tobytes()
         part, at, width = TaskContext.get().partitionId(), 0, tokens.dtype.itemsize
         for batch in batches:
@@ -139,6 +240,7 @@ def pack(docs: DataFrame, config: PackingConfig) -> DataFrame:
     empty and is the end id alone. Only the last window can be short. Repeated rows are packed as often as
     they come; a null doc_id stays null; other columns are not read; no rows give no rows.
     """
+    bounded_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "packing")
     stream = scratch.write(tokenised(docs, config), "stream")
     totals = {r["part"]: r["n"] for r in stream.groupBy("part").agg(F.sum("doc_tokens").alias("n")).collect()}
@@ -147,6 +249,7 @@ def pack(docs: DataFrame, config: PackingConfig) -> DataFrame:
     window = config.window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_nothing()
         for batch in batches:
             begin = batch.column("begin").to_numpy() + np.array([base[p] for p in batch.column("part").to_pylist()], np.int64)
             n = batch.column("doc_tokens").to_numpy()

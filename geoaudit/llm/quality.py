@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .langid import held_out
+from .process import bounded_batches, keep_nothing
 
 
 @dataclass(frozen=True)
@@ -182,9 +183,11 @@ def learn_quality(docs: DataFrame, labels: DataFrame, config: QualityConfig = Qu
 
 def quality_scores(docs: DataFrame, model: BradleyTerry) -> DataFrame:
     """``doc_id, score, predicted`` for every row; a null text is scored as an empty one."""
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_nothing()
         for batch in batches:
             score = sent.value.score(features(batch.column("text")))
             predicted = (score >= sent.value.threshold).astype(np.int32)
