@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .process import bounded_batches, keep_nothing
+from .rows import text_of, with_text
 from .scratch import Scratch
 
 
@@ -189,7 +190,7 @@ def _scan(rows: DataFrame, benchmark: Benchmark) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_nothing()
         for batch in batches:
-            text, before_hit, before_items = batch.column("text"), batch.column("hit"), batch.column("items").to_pylist()
+            text, before_hit, before_items = text_of(batch), batch.column("hit"), batch.column("items").to_pylist()
             for row, end, data, at in W.chunks(text):
                 words = W.split(data, at, W.WORD)
                 hit, found = np.zeros(len(words.start), bool), {}
@@ -204,16 +205,17 @@ def _scan(rows: DataFrame, benchmark: Benchmark) -> DataFrame:
                     n_hit.append(int(np.count_nonzero(own)) if known else 0)
                     items.append(sorted(known))
                 state = [masks, np.diff(words.first), n_hit, items]
+                same = [c for c in batch.schema.names if c in ("row", "text")]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("row").slice(row, end - row), text.slice(row, end - row), *(pa.array(x, f.type) for x, f in zip(state, _STATE, strict=True))],
-                    names=["row", "text", *(f.name for f in _STATE)],
+                    [*(batch.column(c).slice(row, end - row) for c in same), *(pa.array(x, f.type) for x, f in zip(state, _STATE, strict=True))],
+                    names=[*same, *(f.name for f in _STATE)],
                 )
 
     return rows.mapInArrow(run, rows.schema)
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, columns: list[str], config: DecontamConfig = DecontamConfig()) -> DataFrame:
-    """Each document's ``columns`` as struct ``row``, its ``text``, and what of the benchmark it holds.
+    """Each document's ``columns`` as struct ``row`` (and its ``text``), and what of the benchmark it holds.
 
     ``hit`` has a bit for each word, in bytes (empty if none is hit); ``n_words``, ``n_hit`` and ``items``
     count words, hit words and list the ids of the items that occur. ``benchmark`` has ``item_id`` and
@@ -222,10 +224,8 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, columns: list[str], co
     Repeated rows on either side, and further columns of any name, do no harm. One row for each row of
     ``docs``; an empty benchmark hits nothing.
     """
-    out = docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col("text").cast("string").alias("text"),
-        F.lit(b"").alias("hit"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<long>").alias("items"),
-    )
+    nothing = {"hit": F.lit(b""), "n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long"), "items": F.array().cast("array<long>")}
+    out = with_text(docs, columns).withColumns(nothing)
     bounded_batches(docs.sparkSession)
     scratch = None
     for k, block in enumerate(_blocks(benchmark, config)):
@@ -257,7 +257,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, config: DecontamConfig
     found = benchmark_hits(docs, benchmark, docs.columns, config).where(~_contaminated(config))
     if longest_span is not None:
         cut = F.udf(lambda text, hit: _cut(text, hit, longest_span) if hit else text, "string")
-        found = found.withColumn("row", F.col("row").withField("text", cut("text", "hit")))
+        found = found.withColumn("row", F.col("row").withField("text", cut("row.text", "hit")))
     return found.select("row.*")
 
 

@@ -8,10 +8,8 @@ its number of letters wins.
 
 from __future__ import annotations
 
-import math
 import re
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,11 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import words as W
 from .decontam import GeneralisedSuffixAutomaton
 from .process import bounded_batches, kept
+from .rows import text_of, with_text
 
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
+#: Bytes of letters, after lower-casing, and of all that is not ASCII.
+_RUN = np.zeros(256, bool)
+_RUN[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
 @dataclass(frozen=True)
@@ -66,38 +69,48 @@ class CrossParser:
 
 
 class LanguageModel:
-    """One parser for each language, in the order that settles ties; scores a text by phrases a letter."""
+    """One parser for each language, in the order that settles ties; scores texts by phrases a letter."""
 
     def __init__(self, sample: dict[str, list[str]], cached: int):
         self.languages = list(sample)
         self.parsers = [CrossParser(sample[x]) for x in self.languages]
         self.cached = cached
-        self.known: dict[str, tuple[float, ...]] = {}
+        self.known: dict[int, tuple[float, ...]] = {}
 
-    def _parse(self, word: str) -> tuple[float, ...]:
+    def _measured(self, run: str) -> tuple[float, ...]:
+        """Words, letters and each language's phrases of a run of letters and of what is not ASCII."""
+        own = letter_words(run)
+        return (len(own), sum(map(len, own)), *(sum(map(p.phrases, own)) for p in self.parsers))
+
+    def _totals(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The same, added up for each text; each distinct run is measured once."""
+        words = W.split(data, at, _RUN)
+        hashes, first, which = np.unique(W.word_hashes(words), return_index=True, return_inverse=True)
         if len(self.known) > self.cached:
             self.known.clear()
-        found = self.known[word] = tuple(p.phrases(word) for p in self.parsers)
-        return found
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """Language and score: 0 to 1, how far the winner's phrases fall short of the next one's."""
-        counts = Counter(letter_words(text))
-        if not counts or not self.languages:
-            return UNDETERMINED, 0.0
-        known = self.known
-        rows = [known.get(w) or self._parse(w) for w in counts]
-        times = np.fromiter(counts.values(), np.float64, len(rows))
-        total = times @ np.array(rows)
-        letters = sum(len(w) * n for w, n in counts.items())
-        rate = total / letters
-        best = int(np.argmin(rate))
-        if len(rate) == 1:
-            return self.languages[0], 1.0
-        second = float(np.partition(rate, 1)[1])
-        # Evidence grows with the words seen; the softmax of two.
-        margin = (second - float(rate[best])) / second if second else 0.0
-        return self.languages[best], 1.0 / (1.0 + math.exp(-margin * 4.0 * math.sqrt(sum(counts.values()))))
+        raw, rows = words.data.tobytes(), []
+        for key, b, e in zip(hashes.tolist(), words.start[first].tolist(), words.end[first].tolist(), strict=True):
+            row = self.known.get(key)
+            if row is None:
+                row = self.known[key] = self._measured(raw[b:e].decode())
+            rows.append(row)
+        table = np.array(rows, float).reshape(len(rows), 2 + len(self.languages))
+        return np.stack([np.bincount(words.doc, c[which], len(at) - 1) for c in table.T], axis=1)
+
+    def predict(self, column: pa.Array) -> tuple[list[str], list[float]]:
+        """Languages and scores: 0 to 1, how far the winner's phrases fall short of the next one's."""
+        total = np.concatenate([np.zeros((0, 2 + len(self.languages))), *(self._totals(data, at) for _, _, data, at in W.chunks(column))])
+        if not self.languages:
+            return [UNDETERMINED] * len(total), [0.0] * len(total)
+        told = total[:, 1] > 0
+        rate = total[:, 2:] / np.maximum(total[:, 1:2], 1)
+        best = rate.argmin(axis=1)
+        score = np.ones(len(total))
+        if len(self.languages) > 1:
+            two = np.partition(rate, 1, axis=1)[:, :2]
+            margin = (two[:, 1] - two[:, 0]) / np.maximum(two[:, 1], 1e-300)
+            score = 1 / (1 + np.exp(-margin * 4.0 * np.sqrt(total[:, 0])))  # evidence grows with the words seen
+        return [self.languages[k] if t else UNDETERMINED for k, t in zip(best.tolist(), told.tolist(), strict=True)], np.where(told, score, 0.0).tolist()
 
 
 def learn_sample(training: DataFrame, config: LangIdConfig) -> dict[str, list[str]]:
@@ -131,16 +144,11 @@ def _predict(rows: DataFrame, model_words: dict[str, list[str]], config: LangIdC
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = kept(key, lambda: LanguageModel(sent.value, config.cached))
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                got = [model.predict(t) for t in some.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [some.column("row"), pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())],
-                    names=["row", "lang_pred", "score"],
-                )
+            language, score = model.predict(text_of(batch))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(language, pa.string()), pa.array(score, pa.float64())], names=["row", "lang_pred", "score"])
 
     kind = rows.select("row").schema.add("lang_pred", "string").add("score", "double")
-    return rows.select("row", "text").mapInArrow(run, kind)
+    return rows.mapInArrow(run, kind)
 
 
 def identify(docs: DataFrame, training: DataFrame, columns: list[str], config: LangIdConfig = LangIdConfig()) -> DataFrame:
@@ -151,8 +159,7 @@ def identify(docs: DataFrame, training: DataFrame, columns: list[str], config: L
     to the language with more labelled documents, then to the first by name. Languages are few: their samples, ``sample_words`` words each, are
     collected and broadcast.
     """
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col("text").cast("string").alias("text"))
-    return _predict(rows, learn_sample(training, config), config)
+    return _predict(with_text(docs, columns), learn_sample(training, config), config)
 
 
 def held_out(modulus: int, remainder: int):

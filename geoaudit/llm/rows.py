@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .words import utf8
 
@@ -32,6 +34,20 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` as struct ``row``, and ``text`` beside it unless it is one of them, so that it is sent once."""
+    row = F.struct(*(F.col("text").cast("string").alias(c) if c == "text" else F.col(f"`{c}`") for c in columns)).alias("row")
+    return docs.select(row) if "text" in columns else docs.select(row, F.col("text").cast("string").alias("text"))
+
+
+def text_of(batch: pa.RecordBatch) -> pa.Array:
+    """The text that ``with_text`` has put in a batch."""
+    if "text" in batch.schema.names:
+        return batch.column("text")
+    row = batch.column("row")
+    return row.field(row.type.get_field_index("text"))
+
+
 def document_batches(rows: Iterator[pa.RecordBatch], most_docs: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """Whole documents in batches of bounded size; a longer document is a batch of its own."""
     for batch in rows:
