@@ -7,11 +7,10 @@ place in the whole stream, and a second pass cuts at multiples of the window.
 
 from __future__ import annotations
 
-import gc
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate, chain
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import words as W
 from .process import bounded_batches, keep_nothing, kept
 from .scratch import Scratch
 
@@ -41,8 +41,9 @@ class PackingConfig:
     cached: int = 700_000
 
 
-#: White space for str.split() that the tokenizer does not drop.
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
+_CONTROL = re.compile("[\x1c-\x1f]")
+#: White space inside of what ASCII white space parts: left to the library.
+_ODD_SPACE = re.compile(r"\s")
 
 
 class WordTokenizer:
@@ -82,8 +83,8 @@ class WordTokenizer:
         self.pair, self.rank = pair[order], order.astype(np.int32)
         self.made = np.array([vocab[x + y] for x, y in merges], np.int64)
         self.cached = cached
-        self.words: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.words: dict[int, bytes] = {}  # by the word's hash
+        self.old: dict[int, bytes] = {}
 
     def direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -146,61 +147,53 @@ class WordTokenizer:
             out.update(zip((p for _, _, p in some), self._merged([raw for _, raw, _ in some]), strict=True))
         return out
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: list[str]) -> list[bytes]:
+        """Ids of words that are not known yet."""
         normal = self.tokenizer.normalizer.normalize_str(" ".join(new)).split(" ")
         if len(normal) != len(new):
             normal = list(map(self.tokenizer.normalizer.normalize_str, new))
         find, plain = self.find, self.plain
         # Where letters are one piece, and one of these signs after them another, the pattern need not be asked.
         split = [find(w) if not plain else (w,) if w.isalpha() else (w[:-1], w[-1]) if w[-1:] in (".", ",") and w[:-1].isalpha() else find(w) for w in normal]
-        # A piece in normal form is a word of its own with the same ids; those in the cache need no merging.
-        words, old, join, pieces, fresh, asked = self.words, self.old, b"".join, {}, set(), set(new)
-        for p in {p for s in split for p in s}:
-            ids = (words.get(p) or old.get(p)) if plain and p not in asked else None
-            if ids is None:
-                fresh.add(p)
-            else:
-                pieces[p] = ids
-        made = self._pieces(fresh)
-        pieces.update(made)
-        get = pieces.__getitem__
-        for word, parts in zip(new, split, strict=True):
-            words[word] = get(parts[0]) if len(parts) == 1 else join(map(get, parts))
-        if plain:
-            words.update((p, ids) for p, ids in made.items() if p.isalpha())
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        odd = {k: self.direct(t) for k, t in enumerate(texts) if t is not None and _ODD_SPACE.search(t)}
-        split = [t.split() if t is not None and k not in odd else [] for k, t in enumerate(texts)]
-        collects = gc.isenabled()
-        gc.disable()  # lists of very many words and no cycles: collecting would only go through them
-        try:
-            out = self._joined(split)
-        finally:
-            if collects:
-                gc.enable()
-        for k, own in odd.items():
-            out[k] = own
+        get, join = self._pieces({p for s in split for p in s}).__getitem__, b"".join
+        out = [get(parts[0]) if len(parts) == 1 else join(map(get, parts)) for parts in split]
+        for k, word in enumerate(new):
+            if not word.isascii() and _ODD_SPACE.search(word) or not word.isprintable() and _CONTROL.search(word):
+                out[k] = self.direct(word)
         return out
 
-    def _joined(self, split: list[list[str]]) -> list[bytes]:
+    def _known(self, words: W.Words, hashes: np.ndarray, first: np.ndarray) -> list[bytes]:
+        """Ids of distinct words, given by their hashes and a place of each."""
         if len(self.words) > self.cached:
             self.words, self.old = {}, self.words
-        flat = list(chain.from_iterable(split))
-        ids = list(map(self.words.get, flat))
+        keys = hashes.tolist()
+        ids = list(map(self.words.get, keys))
         missing = [k for k, x in enumerate(ids) if x is None]
         new = []
-        for w in {flat[k] for k in missing}:
-            if (known := self.old.get(w)) is not None:
-                self.words[w] = known
+        for k in missing:
+            if (known := self.old.get(keys[k])) is not None:
+                ids[k] = self.words[keys[k]] = known
             else:
-                new.append(w)
+                new.append(k)
         if new:
-            self._learn(new)
-        for k in missing:
-            ids[k] = self.words[flat[k]]
-        ends = list(accumulate(map(len, split)))
-        return [b"".join(ids[b:e]) for b, e in zip([0, *ends], ends)]
+            raw = words.data.tobytes()
+            spelt = [raw[b:e].decode() for b, e in zip(words.start[first[new]].tolist(), words.end[first[new]].tolist(), strict=True)]
+            for k, own in zip(new, self._learn(spelt), strict=True):
+                ids[k] = self.words[keys[k]] = own
+        return ids
+
+    def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a run of texts, given by their bytes and offsets, and where each text's begin."""
+        words = W.split(data, at, lower=False)
+        hashes, first, which = np.unique(W.word_hashes(words), return_index=True, return_inverse=True)
+        known = self._known(words, hashes, first)
+        length = np.fromiter(map(len, known), np.int64, len(known)) // self.dtype.itemsize
+        start = np.cumsum(length) - length
+        flat = np.frombuffer(b"".join(known), self.dtype)
+        times = length[which]
+        upto = np.concatenate([[0], np.cumsum(times)])
+        ids = flat[np.repeat(start[which] - upto[:-1], times) + np.arange(upto[-1])]
+        return ids, upto[words.first]
 
 
 def word_tokenizer(path: str, cached: int) -> WordTokenizer:
@@ -213,19 +206,18 @@ def tokenised(docs: DataFrame, config: PackingConfig) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = word_tokenizer(config.tokenizer, config.cached)
-        end = np.array([config.end_id], tokens.dtype).tobytes()
-        part, at, width = TaskContext.get().partitionId(), 0, tokens.dtype.itemsize
+        part, total, width = TaskContext.get().partitionId(), 0, tokens.dtype.itemsize
         for batch in batches:
-            for row in range(0, batch.num_rows, 256):
-                some = batch.slice(row, 256)
-                ids = [x + end for x in tokens.encode(some.column("text").to_pylist())]
-                n = [len(x) // width for x in ids]
-                begin = list(accumulate(n, initial=at))
-                at = begin[-1]
+            for row, end, data, at in W.chunks(batch.column("text")):
+                ids, first = tokens.encode(data, at)
+                ids = np.insert(ids, first[1:], config.end_id)
+                first = first + np.arange(len(first))
+                buffers = [None, pa.py_buffer((first * width).astype(np.int32)), pa.py_buffer(ids)]
                 yield pa.RecordBatch.from_arrays(
-                    [some.column("doc_id"), pa.array([part] * len(n), pa.int32()), pa.array(begin[:-1], pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
+                    [batch.column("doc_id").slice(row, end - row), pa.array([part] * (end - row), pa.int32()), pa.array(first[:-1] + total), pa.array(np.diff(first)), pa.Array.from_buffers(pa.binary(), end - row, buffers)],
                     names=["doc_id", "part", "begin", "doc_tokens", "ids"],
                 )
+                total += int(first[-1])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, part int, begin long, doc_tokens long, ids binary")

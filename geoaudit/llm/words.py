@@ -51,7 +51,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words(NamedTuple):
     """The words of a run of texts, in order."""
 
-    data: np.ndarray  #: the texts' lower-cased bytes
+    data: np.ndarray  #: the texts' bytes, lower-cased unless that was not asked for
     start: np.ndarray  #: first byte of each word
     end: np.ndarray  #: byte after each word
     doc: np.ndarray  #: which text the word is in
@@ -84,9 +84,10 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         row = end
 
 
-def split(data: np.ndarray, at: np.ndarray, kind: np.ndarray = NON_SPACE) -> Words:
+def split(data: np.ndarray, at: np.ndarray, kind: np.ndarray = NON_SPACE, lower: bool = True) -> Words:
     """Lower-case A-Z and find the words: the longest runs of bytes of ``kind`` within a text."""
-    data = _LOWER[data]
+    if lower:
+        data = _LOWER[data]
     inside = kind[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[at] = True
