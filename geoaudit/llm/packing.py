@@ -41,9 +41,9 @@ class PackingConfig:
     cached: int = 700_000
 
 
-_CONTROL = re.compile("[\x1c-\x1f]")
-#: White space inside of what ASCII white space parts: left to the library.
-_ODD_SPACE = re.compile(r"\s")
+#: Characters whose kind (letter, number, space, other) has been the same in all versions of Unicode for long:
+#: Latin, Cyrillic, kana, Han, Hangul. Words with others are left to the library, which may know another version.
+_SETTLED = re.compile("[\x21-\x7e\xa1-\u024f\u0400-\u0481\u048a-\u04ff\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*")
 
 
 class WordTokenizer:
@@ -158,7 +158,7 @@ class WordTokenizer:
         get, join = self._pieces({p for s in split for p in s}).__getitem__, b"".join
         out = [get(parts[0]) if len(parts) == 1 else join(map(get, parts)) for parts in split]
         for k, word in enumerate(new):
-            if not word.isascii() and _ODD_SPACE.search(word) or not word.isprintable() and _CONTROL.search(word):
+            if not (word.isascii() and word.isprintable() or _SETTLED.fullmatch(word)):
                 out[k] = self.direct(word)
         return out
 
