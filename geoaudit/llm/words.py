@@ -35,7 +35,7 @@ def _power(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     known = _powers[base]
     if len(known) < n:
-        factors = np.full(max(n, 2 * len(known)), base, dtype=np.uint64)
+        factors = np.full(-(-n // (1 << 18)) << 18, base, dtype=np.uint64)
         factors[0] = 1
         known = _powers[base] = np.multiply.accumulate(factors)
     return known[:n]
