@@ -341,6 +341,25 @@ def test_passages_that_many_share(spark):
     assert all(" ".join(passage[5:25]) not in left.get(k, "") for k in range(1, 200))
 
 
+def test_partners_that_fail_do_not_close_a_stretch(spark):
+    rng = np.random.default_rng(21)
+    fresh = lambda n: [f"p{x}" for x in rng.integers(0, 10**9, n)]
+    passage, rows = fresh(50), []
+    for k in range(40):  # each has 49 of the words, too few for a passage
+        rows.append((k, [*fresh(60), *passage[k % 2 : 49 + k % 2], *fresh(60)]))
+    rows += [(100, [*fresh(60), *passage, *fresh(60)]), (200, [*fresh(60), *passage, *fresh(60)])]
+    frame = spark.createDataFrame([(k, " ".join(w), None, None, None) for k, w in rows], DOCUMENT)
+    assert {(r.doc_id, r.match_doc_id) for r in substring.repeated_passages(frame).collect()} == {(200, 100)}
+    # Eight partners in the same surroundings, only the last of which has the whole passage.
+    seed = lambda at, match: (at << 32) | (match << 1) | 1
+    seeds, config = {e: {seed(10, 10), seed(20, 20)} for e in range(8)}, substring.SubstringConfig()
+    left, tried = seeds, []
+    while left:
+        tried += [e for e, _ in substring.chosen_partners(left, config, 3)]
+        left = {e: set(x) for e, x in substring.left_partners(left, [(0, 52)] if 7 in tried else [], config, 3).items()}
+    assert sorted(tried) == list(range(8))
+
+
 def test_windows_are_those_of_the_cartesian_tree():
     rng = np.random.default_rng(6)
     tokens, width = rng.integers(0, 2**60, 80, dtype=np.uint64), 7
