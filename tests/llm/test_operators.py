@@ -360,6 +360,16 @@ def test_partners_that_fail_do_not_close_a_stretch(spark):
     assert sorted(tried) == list(range(8))
 
 
+def test_passages_go_on_over_long_gaps():
+    config, rng = substring.SubstringConfig(), np.random.default_rng(4)
+    for half, gap in ((36, 17), (36, 20), (120, 76)):  # tokens: similarity 0.75 or more, gaps of over 16
+        tokens = rng.integers(0, 2**60, 2 * half + gap, dtype=np.uint64)
+        short, full = np.delete(tokens, slice(half, half + gap)), tokens
+        for later, earlier, e in ((short, full, 2 * half), (full, short, 2 * half + gap)):
+            ((s, t, *_, similarity),) = substring.passages(later, earlier, [(5 << 32) | (5 << 1)], config)
+            assert (s, t) == (0, e + 4) and similarity == 2 * half / (2 * half + gap)
+
+
 def test_windows_are_those_of_the_cartesian_tree():
     rng = np.random.default_rng(6)
     tokens, width = rng.integers(0, 2**60, 80, dtype=np.uint64), 7
