@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -175,6 +176,7 @@ def node_features(page: Page) -> np.ndarray:
     for k in range(n - 1, 0, -1):
         below[nodes[k].parent] += below[k]
     g, t = len(GROUPS), len(TOKENS)
+    alike = Counter((x.parent, x.group) for x in nodes[1:])
     for k in range(1, n):
         x = nodes[k]
         up = above[x.parent]
@@ -191,7 +193,7 @@ def node_features(page: Page) -> np.ndarray:
         row[g + 2 * t :] = (
             x.depth, len(family), place, len(family) - 1 - place, len(x.children), np.log1p(size), np.log1p(chars), np.log1p(x.chars), linked / (chars + 1), tags / (chars + 1) * 100,
             chars / (runs + 1), stops / (chars + 1) * 100, chars / (own + 1), chars / (below[0][0] + 1), up[1], up[2],
-            sum(nodes[c].group == x.group for c in family[:64]), (below[family[place - 1]][1] / (below[family[place - 1]][0] + 1)) if place else -1,
+            alike[x.parent, x.group], (below[family[place - 1]][1] / (below[family[place - 1]][0] + 1)) if place else -1,
         )
     return out[1:]
 

@@ -532,6 +532,12 @@ def test_a_page_of_all_parts(spark):
     assert html.extract(rows.limit(0)).count() == 0
 
 
+def test_like_siblings_are_counted_on_long_pages():
+    page = html.Page("<div>" + "<h2>t</h2>" * 70 + "<p>a</p>" * 30 + "</div>")
+    own = [k for k, x in enumerate(page.nodes) if x.group == page.nodes[-1].group]
+    assert len(own) == 30 and {int(html.node_features(page)[k - 1][-2]) for k in own} == {30}
+
+
 def test_decoding_keeps_no_node_below_a_dropped_one():
     page = html.Page("<div><p>a</p><div><p>b</p></div></div>")
     assert html.main_text(page, np.array([1.0, 1.0, -5.0, 2.0])) == "a"
