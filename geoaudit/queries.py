@@ -339,6 +339,13 @@ def hdbscan_members(spark, sf_dir):
     return least.select((F.col("first") % 5).cast("int").alias("blob"), "n", "p")
 
 
+@query("hdbscan_sizes")
+def hdbscan_sizes(spark, sf_dir):
+    """All members of the clusters, planted outliers that were taken in too: SQL cannot tell which those are."""
+    points, found = _blobs(spark, sf_dir)
+    return found[0].regions().join(points, "point_id").groupBy("cluster_label").agg(F.count("*").alias("n"), F.sum("outcome").alias("p"))
+
+
 @query("hdbscan_labels")
 def hdbscan_labels(spark, sf_dir):
     return _blobs(spark, sf_dir)[1][0].labels

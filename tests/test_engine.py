@@ -17,6 +17,7 @@ from geoaudit.operators import significance as S
 from geoaudit.operators.scan import best_region, scored, variance_summary
 from geoaudit.plans.audit import Audit
 from geoaudit.plans.report import params_json, write_by_dataset, write_csv
+from geoaudit.queries import QUERIES
 from geoaudit.sources.catalog import DATASETS, Dataset, dataset, dataset_path, radius_values
 from geoaudit.sources.points import load_dataset, normalised, profile, view
 from geoaudit.streaming.counts import stream_cells
@@ -210,6 +211,72 @@ def test_two_blobs_and_an_outlier(spark):
     assert [r.label for r in found.labels.orderBy("point_id").collect()] == [0, 0, 0, 1, 1, 1, -1]
 
 
+def _brute_clusters(where: np.ndarray, least: int) -> list[tuple[set[int], set[int]]]:
+    """HDBSCAN from its definition: take the longest links away, level by level, and see what falls apart.
+
+    Of each cluster, its members, and points that leave it at the very level at which it comes to be (ties).
+    """
+    every = hdbscan._angles(where, where)
+    core = np.sort(every, axis=1)[:, least - 1]
+    reach = np.maximum(np.maximum(core[:, None], core), every)
+
+    def parts(members, limit):
+        out, rest = [], set(members)
+        while rest:
+            todo, part = [rest.pop()], []
+            while todo:
+                part.append(todo.pop())
+                near = {k for k in rest if reach[part[-1], k] < limit}
+                rest -= near
+                todo.extend(near)
+            out.append(part)
+        return out
+
+    def grow(members, birth, ties=()):
+        mass, inside, under = 0.0, members, []
+        while True:
+            levels = np.unique(reach[np.ix_(inside, inside)][~np.eye(len(inside), dtype=bool)])
+            low, high = 0, len(levels) - 1
+            while low < high:  # the least level that holds all together
+                middle = (low + high) // 2
+                low, high = (low, middle) if len(parts(inside, np.nextafter(levels[middle], 9))) == 1 else (middle + 1, high)
+            big = [p for p in parts(inside, levels[low]) if len(p) >= least]
+            gone = len(inside) - (len(big[0]) if len(big) == 1 else 0)
+            mass += (1 / levels[low] - birth) * gone
+            if len(big) != 1:
+                kept = set().union(*big)
+                loose = {k for k in inside if k not in kept}
+                under = [grow(p, 1 / levels[low], {k for k in loose if reach[k, p].min() <= levels[low]}) for p in big]
+                break
+            inside = big[0]
+        below = sum(m for m, _ in under)
+        if under and (birth == 0 or below > mass):
+            return below, [c for _, found in under for c in found]
+        return mass, [(set(members), set(ties))] if birth else []
+
+    return grow(list(range(len(where))), 0.0)[1]
+
+
+def test_all_members_are_those_of_brute_force(spark, sf):
+    rng = np.random.default_rng(12)
+    places = np.concatenate([rng.normal(size=(30, 2)) * 0.2 + [8 * k, 4 * k] for k in range(3)])
+    places[::11] += rng.uniform(-6, 6, (len(places[::11]), 2))  # outliers, near and far
+    points = spark.createDataFrame([(k, float(x), float(y), 0) for k, (x, y) in enumerate(places)], POINT)
+    for frame in (points, view(spark, sf, "blobs")):
+        rows = frame.orderBy("point_id").select("point_id", F.radians("lat"), F.radians("lon")).collect()
+        found = hdbscan.clusterings(frame)[0] if frame is not points else hdbscan.clusterings(frame, (0.08,), 5)[0]
+        got = {}
+        for r in found.regions().collect():
+            got.setdefault(r.cluster_label, set()).add(r.point_id)
+        ids = [r[0] for r in rows]
+        want = sorted((sorted(ids[k] for k in c), {ids[k] for k in ties}) for c, ties in _brute_clusters(np.array([r[1:] for r in rows]), found.min_size))
+        assert want and len(want) == len(got)
+        for own, (members, ties) in zip(sorted(got.values(), key=min), want, strict=True):
+            assert set(members) <= own <= set(members) | ties
+    sizes = {(r.cluster_label, r.n) for r in QUERIES["hdbscan_sizes"](spark, sf).collect()}
+    assert sizes == {(label, len(c)) for label, c in got.items()}
+
+
 def test_min_cluster_size_rounds_half_to_even():
     assert [min_cluster_size(0.005, n, 1) for n in (500, 1500)] == [2, 8]
 
