@@ -6,10 +6,11 @@ buckets; documents that share a bucket are candidates.
 
 No bucket is ever gathered: bucket rows are sorted into ranges and each range links its members to the
 first of them. The links are checked, components are formed, and only buckets in which two components
-still meet are looked at again, first against another member, then in full. So a group of copies costs
-links in proportion to its size, and no pair that shares a bucket and lies in two components at the end
-is left out. The full look compares blocks of members by their signatures and passes on the members with
-a likely partner, not the pairs; a pair is looked at in the first bucket that it shares.
+still meet are looked at again, in full. So a group of copies costs links in proportion to its size, and
+no pair that shares a bucket and lies in two components at the end is left out. The full look compares
+blocks of members by their signatures and passes on the members with a likely partner, not the pairs; a
+pair is looked at in the first bucket that it shares. Its links join components, which are contracted to
+one node each, so that what was found before is not gone through again.
 """
 
 from __future__ import annotations
@@ -19,13 +20,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from . import words as W
 from .components import connected_components
-from .process import bounded_batches, keep_nothing
-from .rows import groups
+from .process import bounded_batches, keep_nothing, kept
+from .rows import groups, text_of, with_text
 from .scratch import Scratch
 
 
@@ -44,9 +47,9 @@ class NearDupConfig:
     rows: int = 5
     universe_bits: int = 20
     seed: int = 20251
-    salts: int = 64
     slack: int = 13
-    block: int = 512
+    block: int = 256
+    block_shingles: int = 1 << 19
 
 
 class CirculantMinHash:
@@ -87,18 +90,21 @@ def _sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
             yield own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) > 1 else own
 
 
-SIGNATURES = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, low binary"
+SIGNATURES = "number long, n_shingles long, h1 long, h2 long, bands array<long>, low binary"
 
 
-def signatures(docs: DataFrame, config: NearDupConfig) -> DataFrame:
-    """Set size, 128-bit set hash and bucket names of every document; no bands for an empty set."""
+def signatures(rows: DataFrame, config: NearDupConfig) -> DataFrame:
+    """A number for every row of ``with_text``, its set's size, 128-bit hash and buckets.
+
+    No bands for an empty set. Numbers are unique: the partition's and a count within it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep_nothing()
-        hasher = CirculantMinHash(config)
+        hasher = kept(config, lambda: CirculantMinHash(config))
+        number = TaskContext.get().partitionId() << 33
         for batch in batches:
             n, h1, h2, bands, low, known = [], [], [], [], [], {}
-            for own in _sets(batch.column("text"), config.shingle):
+            for own in _sets(text_of(batch), config.shingle):
                 key = (len(own), int(np.sum(W.mix(own), dtype=np.uint64)), int(np.sum(W.mix(own ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)))
                 if key not in known:
                     known[key] = hasher.bands(own) if len(own) else (np.zeros(0, np.uint64), b"")
@@ -107,17 +113,20 @@ def signatures(docs: DataFrame, config: NearDupConfig) -> DataFrame:
             at = np.concatenate([[0], np.cumsum([len(x) for x in bands])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"),
+                    *batch.columns,
+                    pa.array(np.arange(number, number + batch.num_rows)),
                     pa.array(n, pa.int64()),
                     pa.array(np.array(h1, np.uint64).view(np.int64)),
                     pa.array(np.array(h2, np.uint64).view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(at), pa.array(flat)),
                     pa.array(low, pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "h1", "h2", "bands", "low"],
+                names=[*batch.schema.names, "number", "n_shingles", "h1", "h2", "bands", "low"],
             )
+            number += batch.num_rows
 
-    return docs.select("doc_id", "text").mapInArrow(run, SIGNATURES)
+    kind = StructType([*rows.schema.fields, *_parse_datatype_string(SIGNATURES).fields])
+    return rows.mapInArrow(run, kind)
 
 
 def _stars(buckets: DataFrame) -> DataFrame:
@@ -180,66 +189,106 @@ def _verified(pairs: DataFrame, texts: DataFrame, config: NearDupConfig) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_nothing()
-        kept_id, kept = None, None
+        known, own = None, None
         for batch in batches:
             a, b, text_b = batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("text_b")
             good = []
             for k, left in enumerate(_sets(batch.column("text_a"), config.shingle)):
-                if b[k] != kept_id:
-                    kept_id, kept = b[k], next(_sets(text_b.slice(k, 1), config.shingle))
-                good.append(_similar(left, kept, config))
+                if b[k] != known:
+                    known, own = b[k], next(_sets(text_b.slice(k, 1), config.shingle))
+                good.append(_similar(left, own, config))
             good = np.array(good, bool)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good)), batch.column("b").filter(pa.array(good))], names=["a", "b"])
 
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(config.salts)).cast("int"))
-    right = salted.select("b", "salt").distinct().join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    both = salted.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(right, ["b", "salt"])
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return both.select("a", "text_a", "b", "text_b").mapInArrow(run, "a long, b long")
 
 
+_HEAD = ["bucket", "block", "least", "most", "small", "large"]
+_SIDE = ["node", "component", "n_shingles", "bands", "low"]
+_BLOCK = "bucket long, block long, least long, most long, small long, large long, node array<long>, component array<long>, n_shingles array<long>, bands array<array<long>>, low array<binary>"
+
+
+def _blocks(members: DataFrame, config: NearDupConfig) -> DataFrame:
+    """Members of mixed buckets, sorted by bucket and component, as one row for each block of them.
+
+    A block ends with its bucket, with its Arrow batch, after ``block`` members or with ``block_shingles`` shingles.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            bucket, component, size = (batch.column(c).to_numpy() for c in ("bucket", "component", "n_shingles"))
+            total = np.concatenate([[0], np.cumsum(size)])
+            ends, low, at = np.append(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)), 0, []
+            for end in ends.tolist():
+                while low < end:
+                    high = min(end, low + config.block, max(low + 1, int(np.searchsorted(total, total[low] + config.block_shingles, side="right")) - 1))
+                    at.append((low, high))
+                    low = high
+            heads = [(int(bucket[b]), number + k, int(component[b:e].min()), int(component[b:e].max()), int(size[b:e].min()), int(size[b:e].max())) for k, (b, e) in enumerate(at)]
+            number += len(at)
+            offsets = pa.array([0, *(e for _, e in at)], pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array([h[k] for h in heads], pa.int64()) for k in range(6)), *(pa.ListArray.from_arrays(offsets, batch.column(c)) for c in _SIDE)],
+                names=[*_HEAD, *_SIDE],
+            )
+
+    return members.mapInArrow(run, _BLOCK)
+
+
 _GROUP = ["bucket", "one", "two"]
 
 
-def _likely(members: DataFrame, config: NearDupConfig) -> DataFrame:
-    """The members of each block pair that have likely partners in it, and those partners."""
+Side = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+_LIKELY = "bucket long, one long, two long, node long, component long, partners array<long>"
+
+
+def _side(row: dict, name: str = "") -> Side:
+    return (*(np.array(row[f"{name}{c}"], np.int64) for c in _SIDE[:-1]), np.frombuffer(b"".join(row[f"{name}low"]), np.uint8).reshape(len(row[f"{name}node"]), -1))
+
+
+def _partners(bucket: int, x: Side, y: Side, same: bool, config: NearDupConfig) -> tuple[list[int], list[int], list[list[int]]]:
+    """Of two blocks of a bucket, or of one with itself: members with likely partners, their components, the partners."""
     least = (config.percent - config.slack) * config.bands * config.rows / 100
+    partners: dict[int, list[int]] = {}
+    component = dict(zip(y[0].tolist(), y[1].tolist(), strict=True))
+    for i, node in enumerate(x[0].tolist()):
+        j = np.flatnonzero((y[1] != x[1][i]) & (100 * np.minimum(y[2], x[2][i]) >= config.percent * np.maximum(y[2], x[2][i])))
+        if same:
+            j = j[j > i]
+        if len(j):
+            j = j[x[3][i][np.argmax(y[3][j] == x[3][i], axis=1)] == bucket]
+            j = j[np.count_nonzero(y[4][j] == x[4][i], axis=1) >= least]
+            if len(j):
+                partners[node] = y[0][j].tolist()
+                component[node] = int(x[1][i])
+    used = sorted({*partners, *(b for own in partners.values() for b in own)})
+    return used, [component[u] for u in used], [partners.get(u, []) for u in used]
+
+
+def _likely(blocks: DataFrame, config: NearDupConfig) -> DataFrame:
+    """For rows with one block, or with two (columns ``one_...`` and ``two_...``): members with likely partners."""
+    two = "two" in blocks.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(batches, 3):
-            if group.num_rows < 2:
-                continue
-            group = group.combine_chunks()
-            bucket, one, two = (group.column(c)[0].as_py() for c in _GROUP)
-            side, node, component, size = (group.column(c).to_numpy() for c in ("side", "node", "component", "n_shingles"))
-            if (component == component[0]).all():
-                continue
-            bands = np.array(group.column("bands").to_pylist(), np.int64)
-            low = np.frombuffer(b"".join(group.column("low").to_pylist()), np.uint8).reshape(len(node), -1)
-            rows = []
-            for i in range(len(node) - 1):
-                rest = slice(i + 1, None)
-                fit = (component[rest] != component[i]) & (100 * np.minimum(size[rest], size[i]) >= config.percent * np.maximum(size[rest], size[i]))
-                if one != two:
-                    fit &= side[rest] != side[i]
-                j = np.flatnonzero(fit) + i + 1
-                if len(j):
-                    j = j[bands[i][np.argmax(bands[j] == bands[i], axis=1)] == bucket]
-                    j = j[np.count_nonzero(low[j] == low[i], axis=1) >= least]
-                    if len(j):
-                        rows.append((i, j))
-            if rows:
-                partners = {i: j for i, j in rows}
-                used = np.unique(np.concatenate([[i for i, _ in rows], *(j for _, j in rows)]))
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array([x] * len(used), k) for x, k in ((bucket, pa.int64()), (one, pa.int32()), (two, pa.int32()))), pa.array(node[used]), pa.array(component[used]), pa.array([node[partners[i]].tolist() if i in partners else [] for i in used.tolist()], pa.list_(pa.int64()))],
-                    names=[*_GROUP, "node", "component", "partners"],
-                )
-
-    return members.mapInArrow(run, "bucket long, one int, two int, node long, component long, partners array<long>")
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                if not two and row["least"] == row["most"]:
+                    continue
+                one, other = (row["one"], row["two"]) if two else (row["block"], row["block"])
+                x = _side(row, "one_" if two else "")
+                used, component, partners = _partners(row["bucket"], x, _side(row, "two_") if two else x, not two, config)
+                if used:
+                    heads = [pa.array([v] * len(used), pa.int64()) for v in (row["bucket"], one, other)]
+                    yield pa.RecordBatch.from_arrays([*heads, pa.array(used, pa.int64()), pa.array(component, pa.int64()), pa.array(partners, pa.list_(pa.int64()))], names=[*_GROUP, "node", "component", "partners"])
+
+    return blocks.mapInArrow(run, _LIKELY)
 
 
 def _joined(members: DataFrame, config: NearDupConfig) -> DataFrame:
-    """The links between partners, one at most for two components in a block pair."""
+    """Links between components by their similar partners, one at most for two components in a block pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, 3):
@@ -257,25 +306,72 @@ def _joined(members: DataFrame, config: NearDupConfig) -> DataFrame:
                     x, y = find(of[a]), find(of[b])
                     if x != y and _similar(sets[a], sets[b], config):
                         root[x] = y
-                        links.append((a, b))
+                        links.append((of[a], of[b]))
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], names=["a", "b"])
 
     return members.mapInArrow(run, "a long, b long")
 
 
-def _remaining(mixed: DataFrame, features: DataFrame, texts: DataFrame, config: NearDupConfig) -> DataFrame:
-    """All links left between components that meet in a bucket; ``mixed``: bucket, members, node, component."""
-    blocks = F.ceil(F.col("members") / config.block).cast("int")
-    side = mixed.withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    pairs = side.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.select("bucket", F.least("side", "other").alias("one"), F.greatest("side", "other").alias("two"), "side", "node", "component")
-    rows = pairs.join(features, "node").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
-    likely = _likely(rows.select(*_GROUP, "side", "node", "component", "n_shingles", "bands", "low"), config)
+def _remaining(members: DataFrame, texts: DataFrame, scratch: Scratch, config: NearDupConfig) -> DataFrame:
+    """All links left between components that meet in a bucket; ``members`` of those, with their signatures.
+
+    Blocks hold members in the order of components, and two blocks of one component, or of sizes that
+    cannot be similar, are not compared: one large component beside some others costs in proportion to
+    its size.
+    """
+    ordered = members.repartitionByRange("bucket", "component", "node").sortWithinPartitions("bucket", "component", "node")
+    blocks = scratch.write(_blocks(ordered.select("bucket", *_SIDE), config), "blocks")
+    heads = blocks.select(*_HEAD)
+    other = heads.select("bucket", *(F.col(c).alias(f"other_{c}") for c in _HEAD[1:]))
+    pairs = heads.join(other, "bucket").where(
+        (F.col("block") < F.col("other_block"))
+        & ((F.col("least") != F.col("most")) | (F.col("other_least") != F.col("other_most")) | (F.col("least") != F.col("other_least")))
+        & (F.col("large") * 100 >= F.col("other_small") * config.percent)
+        & (F.col("other_large") * 100 >= F.col("small") * config.percent)
+    )
+    pairs = pairs.select("bucket", F.col("block").alias("one"), F.col("other_block").alias("two"))
+    for name in ("one", "two"):
+        pairs = pairs.join(blocks.select("bucket", F.col("block").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in _SIDE)), ["bucket", name])
+    likely = scratch.write(_likely(blocks, config).unionAll(_likely(pairs, config)), "likely")
     whole = likely.join(texts, "node").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
     return _joined(whole.select(*_GROUP, "node", "component", "partners", "text"), config)
 
 
+_SET = ["n_shingles", "h1", "h2"]
+
+
+def _grouped(docs: DataFrame, columns: list[str], scratch: Scratch, config: NearDupConfig) -> tuple[DataFrame, DataFrame]:
+    """All rows with their signatures and ``columns`` as struct ``row``; and of each set, its group's first row.
+
+    The first row of a group, as struct ``first``, is that with the smallest ``doc_id``, then ``number``.
+    """
+    signed = scratch.write(signatures(with_text(docs, columns), config), "signatures").withColumn("doc_id", F.col("row.doc_id").cast("long"))
+    text = F.col("row.text" if "text" in columns else "text").alias("text")
+    sets = signed.where("n_shingles > 0 and doc_id is not null")
+    classes = scratch.write(sets.groupBy(*_SET).agg(F.min("number").alias("node"), F.min(F.struct("doc_id", "number")).alias("first")), "classes")
+    buckets = scratch.write(signed.select("number", "bands").join(classes.select(F.col("node").alias("number")), "number", "left_semi").select(F.explode("bands").alias("bucket"), F.col("number").alias("node")), "buckets")
+    members = scratch.write(_stars(buckets.repartitionByRange("bucket", "node").sortWithinPartitions("bucket", "node")), "members")
+    scratch.drop(buckets)
+    texts = scratch.write(signed.select(F.col("number").alias("node"), text).join(members.select("node").distinct(), "node", "left_semi"), "texts")
+
+    links = scratch.write(_verified(members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), texts, config), "links")
+    found = connected_components(links, scratch)
+    placed = members.select("bucket", "node").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
+    features = signed.select(F.col("number").alias("node"), "n_shingles", "bands", "low")
+    mixed = scratch.write(placed.join(mixed.select("bucket"), "bucket", "left_semi").join(features, "node"), "mixed")
+    if not mixed.isEmpty():
+        more = scratch.write(_remaining(mixed, texts, scratch, config), "links")
+        # The components so far are the nodes of what is left to join.
+        wider = connected_components(more, scratch).select(F.col("node").alias("component"), F.col("component").alias("wider"))
+        alone = wider.join(found.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("node"), "component")
+        found = found.unionAll(alone).join(wider, "component", "left").select("node", F.coalesce("wider", "component").alias("component"))
+    joined = classes.select("node", "first").join(found, "node")
+    first = joined.join(joined.groupBy("component").agg(F.min("first").alias("least")), "component").select("node", "least")
+    return signed, classes.join(scratch.write(first, "first"), "node", "left").select(*_SET, F.coalesce("least", "first").alias("first"))
+
+
 def near_duplicates(docs: DataFrame, config: NearDupConfig = NearDupConfig()) -> DataFrame:
     """Link documents whose shingle sets have a Jaccard similarity of ``percent`` or more.
 
@@ -283,51 +379,25 @@ def near_duplicates(docs: DataFrame, config: NearDupConfig = NearDupConfig()) ->
     n_shingles, component_id`` (smallest doc_id that links lead to, itself included), ``kept``
     (doc_id = component_id), one row for each row of ``docs``. Words are split at white space, with A-Z in
     lower case; a text with fewer words than a shingle has one shingle, its whole sequence. A text that is
-    null or has no words has an empty set and is linked with nothing. Rows with the same doc_id count as
-    one document if their sets are equal. A null doc_id takes no part: component_id is null and kept true.
-    Exact copies are one class and are compared once. An empty table gives an empty result.
+    null or has no words has an empty set and is linked with nothing. Every row is a document of its own:
+    rows that share a doc_id are linked by their texts alone. A row with a null doc_id takes no part:
+    component_id is null and kept true. Exact copies are one class and are compared once. An empty table
+    gives an empty result.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    scratch = Scratch(spark, "neardup")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = scratch.write(signatures(docs, config), "signatures")
-    sets = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = scratch.write(
-        sets.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("node")), "classes"
-    )
-    representatives = sets.join(classes.select(F.col("node").alias("doc_id"), "n_shingles", "h1", "h2"), ["doc_id", "n_shingles", "h1", "h2"], "left_semi")
-    buckets = scratch.write(representatives.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("node")), "buckets")
-    ranged = buckets.repartitionByRange("bucket", "node").sortWithinPartitions("bucket", "node")
-    members = scratch.write(_stars(ranged), "members")
-    scratch.drop(buckets)
-    wanted = members.select("node").distinct()
-    texts = scratch.write(
-        docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node").dropDuplicates(["node"]), "texts"
-    )
+    bounded_batches(docs.sparkSession)
+    signed, groups_ = _grouped(docs, ["doc_id"], Scratch(docs.sparkSession, "neardup"), config)
+    out = signed.select("doc_id", *_SET).join(groups_, _SET, "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("first.doc_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
-    links = scratch.write(_verified(members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), texts, config), "links")
-    found = scratch.write(connected_components(links, scratch), "components")
-    for full in (False, True):
-        placed = members.select("bucket", "node").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-        other = F.max(F.struct(F.xxhash64("node", "bucket"), "node", "component")).alias("other")
-        mixed = placed.groupBy("bucket").agg(F.count("*").alias("members"), F.min("component").alias("least"), F.max("component").alias("most"), other).where("least <> most")
-        mixed = scratch.write(placed.join(mixed.select("bucket", "members", "other"), "bucket"), "mixed")
-        if mixed.isEmpty():
-            break
-        if full:
-            features = signed.join(mixed.select(F.col("node").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("node"), "n_shingles", "bands", "low").dropDuplicates(["node"])
-            more = _remaining(mixed, features, texts, config)
-        else:
-            pairs = mixed.where("component <> other.component").select(F.col("node").alias("a"), F.col("other.node").alias("b"))
-            more = _verified(pairs.distinct(), texts, config)
-        more = scratch.write(more, "links")
-        if not more.isEmpty():
-            links = links.unionAll(more)
-            found = scratch.write(connected_components(links, scratch), "components")
-
-    of_class = scratch.write(
-        classes.join(found, "node", "left").select("n_shingles", "h1", "h2", F.coalesce("component", "node").alias("component")), "classes"
-    )
-    out = signed.join(of_class, ["n_shingles", "h1", "h2"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+def without_near_duplicates(docs: DataFrame, config: NearDupConfig = NearDupConfig(), scratch: Scratch | None = None) -> DataFrame:
+    """``docs`` with one row of each group of ``near_duplicates``: the smallest doc_id, and one row of that id.
+
+    All columns stay. Rows without words, or with a null doc_id, are in no group and all stay. Rows that
+    repeat a doc_id stay if their texts are in different groups. ``scratch``: the caller's folder.
+    """
+    bounded_batches(docs.sparkSession)
+    signed, groups_ = _grouped(docs, docs.columns, scratch or Scratch(docs.sparkSession, "neardup"), config)
+    out = signed.select("row", "doc_id", "number", *_SET).join(groups_, _SET, "left")
+    return out.where(F.col("doc_id").isNull() | F.col("first").isNull() | (F.col("first.number") == F.col("number"))).select("row.*")

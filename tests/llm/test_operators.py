@@ -19,7 +19,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from geoaudit.llm import ann, chat, decontam, html, langid, lm, neardup, packing, quality, substring
-from geoaudit.llm.components import connected_components
+from geoaudit.llm.components import connected_components, least_reachable
 from geoaudit.llm.queries import ORACLE_SQL, QUERIES
 from geoaudit.llm.scratch import Scratch, shared_dir
 
@@ -124,11 +124,50 @@ def test_circulant_coordinates_agree_as_often_as_sets_overlap():
     assert abs((h.signature(a) == h.signature(b)).mean() - 320 / 480) < 0.1
 
 
-def test_components(spark):
+def test_near_duplicates_that_repeat_an_id(spark):
+    """Rows are documents of their own: a text under a taken id is linked, and kept, by itself."""
+    texts = {name: " ".join(f"{name}{k}" for k in range(40)) for name in "AUV"}
+    rows = [(1, texts["A"]), (2, texts["A"]), (2, texts["U"]), (5, texts["V"] + " end"), (5, texts["A"]), (7, texts["V"]), (1, texts["A"])]
+    frame = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCUMENT).withColumns({k: F.lit(v) for k, v in {**CLASH, "first": 1, "number": 2, "component": 3, "least": 4}.items()})
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(frame).collect())
+    assert got == Counter({(1, 1, True): 2, (2, 1, False): 1, (2, 2, True): 1, (5, 5, True): 1, (5, 1, False): 1, (7, 5, False): 1})
+    left = neardup.without_near_duplicates(frame)
+    assert left.columns == frame.columns
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == sorted([(1, texts["A"]), (2, texts["U"]), (5, texts["V"] + " end")])
+
+
+def test_large_mixed_buckets(spark):
+    """Families that share a passage meet in buckets of several blocks, and single members link families."""
+    rng = np.random.default_rng(7)
+    fresh = lambda n: [f"v{x}" for x in rng.integers(0, 10**9, n)]
+    common, rows = fresh(70), []
+    for family in range(6):
+        own = fresh(22)
+        for k in range(40):
+            text = [*common, *own]
+            text[int(rng.integers(0, 92))] = f"e{family}_{k}"
+            rows.append((1000 * family + k, " ".join(text)))
+    frame = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCUMENT)
+    want = {(i, n, c, i == c) for i, (n, c) in linked(rows).items()}
+    assert near(frame, block=16) == want == near(frame, block=16, block_shingles=400)
+
+
+@pytest.mark.parametrize("one_task", [0, 1 << 20])
+def test_components(spark, one_task):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, 90), (90, 95), (95, 100), (7, 7)]
-    got = connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test")).collect()
-    assert {(r.node, r.component) for r in got} == {(k, 0) for k in range(41)} | {(90, 90), (95, 90), (100, 90)}
-    assert connected_components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "test")).count() == 0
+    got = connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test"), one_task).collect()
+    assert Counter((r.node, r.component) for r in got) == Counter([*((k, 0) for k in range(41)), (90, 90), (95, 90), (100, 90)])
+    assert connected_components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "test"), one_task).count() == 0
+
+
+@given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), max_size=14))
+def test_least_reachable_nodes(edges):
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    nodes, least = least_reachable(*np.array(edges, np.int64).reshape(-1, 2).T)
+    assert dict(zip(nodes.tolist(), least.tolist())) == root
 
 
 # --- 9: decontamination -----------------------------------------------------------------------------------
