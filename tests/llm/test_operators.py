@@ -389,14 +389,42 @@ def test_partners_that_fail_do_not_close_a_stretch(spark):
     rows += [(100, [*fresh(60), *passage, *fresh(60)]), (200, [*fresh(60), *passage, *fresh(60)])]
     frame = spark.createDataFrame([(k, " ".join(w), None, None, None) for k, w in rows], DOCUMENT)
     assert {(r.doc_id, r.match_doc_id) for r in substring.repeated_passages(frame).collect()} == {(200, 100)}
-    # Eight partners in the same surroundings, only the last of which has the whole passage.
-    seed = lambda at, match: (at << 32) | (match << 1) | 1
-    seeds, config = {e: {seed(10, 10), seed(20, 20)} for e in range(8)}, substring.SubstringConfig()
-    left, tried = seeds, []
-    while left:
-        tried += [e for e, _ in substring.chosen_partners(left, config, 3)]
-        left = {e: set(x) for e, x in substring.left_partners(left, [(0, 52)] if 7 in tried else [], config, 3).items()}
-    assert sorted(tried) == list(range(8))
+
+
+def test_near_copies_are_found(spark):
+    """Pairs of passages with 0.75 to 0.9 in common, among documents that share 14 to 35 of their words."""
+    rng = np.random.default_rng(31)
+    fresh = lambda n: [f"n{x}" for x in rng.integers(0, 10**9, n)]
+    rows, wanted, same = [], [], lambda x, y: len(x & y) / len(x | y)
+    for k in range(60):
+        base, copy = fresh(int(rng.integers(55, 90))), None
+        while copy is None or not 0.75 <= same(shingles(" ".join(base)), shingles(" ".join(copy))) <= 0.9:
+            copy = [f"e{rng.integers(10**9)}" if rng.random() < 0.035 else w for w in base]
+        for j in range(30):  # others with part of the passage, some before and some after the pair
+            n = int(rng.integers(14, 36))
+            at = int(rng.integers(0, len(base) - n + 1))
+            rows.append((10_000 * (j % 2 * 2) + 100 * k + j, [*fresh(40), *base[at : at + n], *fresh(40)]))
+        rows += [(10_000 + 2 * k, [*fresh(30), *base, *fresh(30)]), (10_001 + 2 * k, [*fresh(30), *copy, *fresh(30)])]
+        wanted.append((10_001 + 2 * k, 10_000 + 2 * k))
+    frame = spark.createDataFrame([(i, " ".join(w), None, None, None) for i, w in rows], DOCUMENT).repartition(4)
+    for config in (substring.SubstringConfig(), substring.SubstringConfig(common=8, batch_docs=200)):
+        found = {(r.doc_id, r.match_doc_id) for r in substring.repeated_passages(frame, config).collect()}
+        assert sum(pair in found for pair in wanted) >= 0.95 * len(wanted)
+        assert {d for d, _ in found} <= {d for d, _ in wanted}
+
+
+def test_repeats_under_one_id(spark):
+    rng = np.random.default_rng(12)
+    fresh = lambda n: [f"r{x}" for x in rng.integers(0, 10**9, n)]
+    passage, short, other = fresh(60), fresh(3), fresh(130)
+    rows = [(1, [*fresh(40), *passage]), (2, [*fresh(100), *passage, "tail"]), (2, short), (2, other)]
+    frame = spark.createDataFrame([(i, " ".join(w), None, None, None) for i, w in rows], DOCUMENT)
+    frame = frame.withColumns({k: F.lit(v) for k, v in {"__spans": 1, "__id": 2, "spans": 3, "span_doc_id": 4, "SPAN_HASH": 5, "own_hash": 6}.items()})
+    left = substring.without_repeats(frame)
+    assert left.columns == frame.columns
+    texts = sorted(r.text for r in left.collect())
+    assert texts == sorted([" ".join(rows[0][1]), " ".join([*rows[1][1][:100], "tail"]), " ".join(short), " ".join(other)])
+    assert [(r.doc_id, r.match_doc_id, r.start, r.end) for r in substring.repeated_passages(frame).collect()] == [(2, 1, 100, 160)]
 
 
 def test_passages_go_on_over_long_gaps():
@@ -405,7 +433,7 @@ def test_passages_go_on_over_long_gaps():
         tokens = rng.integers(0, 2**60, 2 * half + gap, dtype=np.uint64)
         short, full = np.delete(tokens, slice(half, half + gap)), tokens
         for later, earlier, e in ((short, full, 2 * half), (full, short, 2 * half + gap)):
-            ((s, t, *_, similarity),) = substring.passages(later, earlier, [(5 << 32) | (5 << 1)], config)
+            ((s, t, *_, similarity),) = substring.passages(later, substring.Places(earlier), [(5 << 32) | 5], config)
             assert (s, t) == (0, e + 4) and similarity == 2 * half / (2 * half + gap)
 
 
