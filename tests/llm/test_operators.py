@@ -477,6 +477,26 @@ def test_base_scores_by_brute_force(docs):
         base = sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)
         assert (got[i].held_out, got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (out[i], len(ws), sum(counts[w] > 0 for w in ws), n)
         assert got[i].base_score == pytest.approx(base, abs=1e-6) and -30 * len(ws) < got[i].score < 0
+    size = {r.doc_id: max(1, len((r.text or "").encode())) for r in docs.collect()}
+    assert all(r.bits_per_byte == pytest.approx(-r.score * math.log2(10) / size[i]) for i, r in got.items())
+
+
+def test_scores_of_known_words(spark):
+    """No known word is less likely than its discounted share, and equal texts have equal scores."""
+    config = lm.LmConfig(slots=(12, 12, 12, 12, 12), discounts=(0.5,), urns=(100.0,), slice_bits=10, run_tokens=40)
+    texts = [f"the cat {a} on the {b}. {a} is" for a in ("sat", "lay", "slept", "stood") for b in ("mat", "bed", "hat")] * 2
+    frame = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCUMENT)
+    got = {r.doc_id: r for r in lm.score_texts(frame, config).collect()}
+    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1]
+    counts = Counter(w for t in train for w in [*words(t), ""])
+    n = sum(counts.values())
+    for i, r in got.items():
+        own = [*words(texts[i]), ""]
+        assert r.n_tokens == len(own) and r.train_tokens == n
+        known = [max(counts[w] - 0.5, 0) / n for w in own]
+        least = sum(math.log10(k) for k in known)
+        assert r.score > least - math.log10(3) and r.score < 0
+    assert all(got[i].score == pytest.approx(got[j].score) for i in got for j in got if texts[i] == texts[j])
 
 
 def test_spelling_probabilities_add_up_to_one():
@@ -500,7 +520,7 @@ def test_spelling_probabilities_add_up_to_one():
 
 def test_urn_is_a_product_of_steps():
     chance, times, strength = np.array([0.2, 0.05]), np.array([3, 2]), 10.0
-    got = lm.document_scores(np.array([0, 1]), times, np.array([2]), np.array([0, 0]), np.log10(chance), 10, 5, (0.0,), (strength,))["score"][0]
+    got = lm.document_scores(np.array([0, 1]), times, np.array([2]), np.array([0, 0]), np.log10(chance), 0, 0, (0.5,), (strength,))["score"][0]
     steps, had = 0.0, Counter()
     for t, w in enumerate([0, 1, 0, 0, 1]):
         steps += math.log10((strength * chance[w] + had[w]) / (strength + t))
