@@ -22,23 +22,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rows import groups
+from .scratch import Scratch
 
 
 @dataclass(frozen=True)
 class NearestConfig:
-    """Neighbours for each query, and sizes of the broadcast query block and of the tiles."""
+    """Neighbours for each query, and sizes of the broadcast query block, in rows and bytes, and of the tiles."""
 
     k: int = 20
     query_block: int = 32_768
+    block_bytes: int = 1 << 26
     query_tile: int = 1024
     tile: int = 1024
 
 
+_LONGEST = 1e100
+
+
 class Quantised:
     """Vectors as int8 times a scale, with the lengths that bound the error."""
 
     def __init__(self, vectors: np.ndarray):
-        self.scale = np.abs(vectors).max(axis=1) / 127.0
+        most = np.abs(vectors).max(axis=1)
+        # Of vectors this long or short, products can leave the range of doubles: no bound is set for them.
+        self.wild = (most > _LONGEST) | (most < 1 / _LONGEST)
+        vectors = np.where(self.wild[:, None], 0.0, vectors)
+        self.scale = np.where(self.wild, 1.0, most) / 127.0
         codes = np.rint(vectors / self.scale[:, None])
         # int8 values; held as floats, in which their products and sums are exact, for the matrix product.
         self.codes = codes.astype(np.float32 if vectors.shape[1] <= 1000 else np.float64)
@@ -51,15 +60,21 @@ def _product(a: Quantised, b: Quantised, rows: slice) -> tuple[np.ndarray, np.nd
     """Approximate inner products of a's ``rows`` and all of b, and how far they can be off."""
     near = (a.codes[rows] @ b.codes.T).astype(np.float64) * a.scale[rows, None] * b.scale
     off = a.length[rows, None] * b.rest + a.rest[rows, None] * (b.length + b.rest)
-    return near, off * (1 + 1e-9) + 1e-12 * np.abs(near) + 1e-300
+    off = off * (1 + 1e-9) + 1e-12 * np.abs(near) + 1e-300
+    off[a.wild[rows]], off[:, b.wild] = np.inf, np.inf
+    return near, off
 
 
 def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row, in double precision, summed from the first component to the last."""
+    """Row by row, in double precision, summed from the first component to the last.
+
+    Sums beyond the range of doubles are infinite; of infinite parts of both signs, the least of all.
+    """
     total = np.zeros(len(a))
-    for k in range(a.shape[1]):
-        total += a[:, k] * b[:, k]
-    return total
+    with np.errstate(over="ignore", invalid="ignore"):
+        for k in range(a.shape[1]):
+            total += a[:, k] * b[:, k]
+    return np.where(np.isnan(total), -np.inf, total)
 
 
 def _vectors(ids: pa.Array, column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -82,6 +97,9 @@ def _vectors(ids: pa.Array, column: pa.Array) -> dict[int, tuple[np.ndarray, np.
     return out
 
 
+_NOBODY = np.iinfo(np.int64).max
+
+
 class Best:
     """The k best of each query so far."""
 
@@ -89,7 +107,7 @@ class Best:
         self.ids, self.vectors, self.config = ids, vectors, config
         self.near = Quantised(vectors)
         self.score = np.full((len(ids), config.k), -np.inf)
-        self.found = np.full((len(ids), config.k), np.iinfo(np.int64).max)
+        self.found = np.full((len(ids), config.k), _NOBODY)
 
     def offer(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         k, near = self.config.k, Quantised(vectors)
@@ -123,9 +141,8 @@ class Best:
 _PARTIAL = "query_id long, vec_id array<long>, score array<double>"
 
 
-def _block_pass(candidates: DataFrame, queries: pa.Table, config: NearestConfig) -> DataFrame:
-    """Each task's best for every query of the block."""
-    sent = candidates.sparkSession.sparkContext.broadcast(_vectors(queries.column("vec_id"), queries.column("embedding")))
+def _block_pass(candidates: DataFrame, sent, config: NearestConfig) -> DataFrame:
+    """Each task's best for every query of the broadcast block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = {n: Best(*own, config) for n, own in sent.value.items()}
@@ -135,7 +152,7 @@ def _block_pass(candidates: DataFrame, queries: pa.Table, config: NearestConfig)
                     for at in range(0, len(ids), config.tile):
                         best[n].offer(ids[at : at + config.tile], vectors[at : at + config.tile])
         for b in best.values():
-            real = [np.count_nonzero(np.isfinite(x)) for x in b.score]
+            real = [np.count_nonzero(x != _NOBODY) for x in b.found]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(b.ids), pa.array([x[:r].tolist() for x, r in zip(b.found, real, strict=True)], pa.list_(pa.int64())), pa.array([x[:r].tolist() for x, r in zip(b.score, real, strict=True)], pa.list_(pa.float64()))],
                 names=["query_id", "vec_id", "score"],
@@ -151,15 +168,22 @@ def nearest(vectors: DataFrame, queries: DataFrame, config: NearestConfig = Near
     product, ties go to the smaller vec_id; fewer rows where there are fewer candidates. Rows with the
     query's vec_id are no candidates for it. Null ids, and vectors that are null, empty, zero or hold null or
     non-finite components, take no part; only vectors of one dimension are compared. A vec_id that repeats
-    among the queries is asked once, with the vector that sorts first; repeated candidates all count.
+    among the queries is asked once, with the vector that sorts first; repeated candidates all count. Finite
+    vectors of any length take part; their product can be infinite (``exact_products``).
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     asked = queries.where("vec_id is not null").groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min(F.col("embedding").cast("array<double>")).alias("embedding"))
-    blocks = max(1, -(-queries.select("vec_id").count() // config.query_block))
-    parts = None
+    number, widest = queries.agg(F.count("vec_id"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
+    blocks = max(1, -(-number // max(1, min(config.query_block, config.block_bytes // (8 * max(1, widest))))))
+    parts, scratch = None, Scratch(vectors.sparkSession, "nearest")
+    asked = scratch.write(asked, "queries") if blocks > 1 else asked
     for b in range(blocks):
-        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
-        part = _block_pass(rows, block.toArrow(), config)
+        block = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)).toArrow()
+        sent = vectors.sparkSession.sparkContext.broadcast(_vectors(block.column("vec_id"), block.column("embedding")))
+        part = _block_pass(rows, sent, config)
+        if blocks > 1:  # one block after the other: neither the plan nor what is broadcast grows with the queries
+            part = scratch.write(part, "best")
+            sent.unpersist()
         parts = part if parts is None else parts.unionAll(part)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

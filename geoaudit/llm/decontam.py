@@ -214,7 +214,7 @@ def _scan(rows: DataFrame, benchmark: Benchmark) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, columns: list[str], config: DecontamConfig = DecontamConfig()) -> DataFrame:
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, columns: list[str], config: DecontamConfig = DecontamConfig(), scratch: Scratch | None = None) -> DataFrame:
     """Each document's ``columns`` as struct ``row`` (and its ``text``), and what of the benchmark it holds.
 
     ``hit`` has a bit for each word, in bytes (empty if none is hit); ``n_words``, ``n_hit`` and ``items``
@@ -222,16 +222,18 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, columns: list[str], co
     ``text``. Words are runs of digits, letters and all that is not ASCII, with A-Z in lower case. Null
     texts have no words; rows of the benchmark with a null id or text, or without words, hold no window.
     Repeated rows on either side, and further columns of any name, do no harm. One row for each row of
-    ``docs``; an empty benchmark hits nothing.
+    ``docs``; an empty benchmark hits nothing. ``scratch``: the caller's folder.
     """
     nothing = {"hit": F.lit(b""), "n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long"), "items": F.array().cast("array<long>")}
     out = with_text(docs, columns).withColumns(nothing)
     bounded_batches(docs.sparkSession)
-    scratch = None
+    scratch, before = scratch or Scratch(docs.sparkSession, "decontam"), None
     for k, block in enumerate(_blocks(benchmark, config)):
         if k:
-            scratch = scratch or Scratch(docs.sparkSession, "decontam")
             out = scratch.write(out, "hits")
+            if before is not None:
+                scratch.drop(before)  # only the last block's table is read again
+            before = out
         out = _scan(out, block)
     return out
 
@@ -249,16 +251,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, config: DecontamConfig
     return found.select("row.doc_id", "n_words", "n_hit", "items", _contaminated(config).alias("contaminated"))
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, config: DecontamConfig = DecontamConfig(), longest_span: int | None = None) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, config: DecontamConfig = DecontamConfig(), longest_span: int | None = None, scratch: Scratch | None = None) -> DataFrame:
     """``docs`` without contaminated documents; all columns and the other texts stay as they are.
 
     With ``longest_span``, hit spans of more words than that are also cut out of the texts that stay.
     """
-    found = benchmark_hits(docs, benchmark, docs.columns, config).where(~_contaminated(config))
-    if longest_span is not None:
-        cut = F.udf(lambda text, hit: _cut(text, hit, longest_span) if hit else text, "string")
-        found = found.withColumn("row", F.col("row").withField("text", cut("row.text", "hit")))
-    return found.select("row.*")
+    found = benchmark_hits(docs, benchmark, docs.columns, config, scratch).where(~_contaminated(config))
+    if longest_span is None:
+        return found.select("row.*")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [_cut(t, h, longest_span) if h else t for t, h in zip(text_of(batch).to_pylist(), batch.column("hit").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "cut"])
+
+    cut = found.select("row", "hit").mapInArrow(run, found.select("row").schema.add("cut", "string"))
+    return cut.withColumn("row", F.col("row").withField("text", F.col("cut"))).select("row.*")
 
 
 def _cut(text: str, hit: bytes, longest: int) -> str:

@@ -32,8 +32,12 @@ _RUN[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 @dataclass(frozen=True)
 class LangIdConfig:
-    """Bounds of the sample that each automaton is built from, and the words whose parses are remembered."""
+    """Bounds of the sample that each automaton is built from, and the words whose parses are remembered.
 
+    Of the values of ``lang``, the ``languages`` that most documents have are learnt.
+    """
+
+    languages: int = 256
     sample_docs: int = 400
     sample_words: int = 20_000
     cached: int = 200_000
@@ -121,11 +125,11 @@ def learn_sample(training: DataFrame, config: LangIdConfig) -> dict[str, list[st
     times as many as needed are ranked, so that no language is ranked as a whole.
     """
     rows = training.where("text is not null and lang is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(config.languages).collect()}
     if not counts:
         return {}
     rate = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (4 * config.sample_docs + 20) / n))))
-    some = rows.where(F.pmod("h", F.lit(1 << 30)) < rate[F.col("lang")] * float(1 << 30))
+    some = rows.where(F.pmod("h", F.lit(1 << 30)) < F.coalesce(rate[F.col("lang")], F.lit(0.0)) * float(1 << 30))
     ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", F.xxhash64("text")))).where(F.col("rank") <= config.sample_docs)
     words: dict[str, dict[str, None]] = {lang: {} for lang in sorted(counts, key=lambda x: (-counts[x], x))}
     for r in ranked.orderBy("lang", "rank").toLocalIterator():
@@ -174,5 +178,12 @@ def language_report(docs: DataFrame, config: LangIdConfig = LangIdConfig()) -> D
 
 
 def with_language(docs: DataFrame, config: LangIdConfig = LangIdConfig()) -> DataFrame:
-    """``docs`` without those whose language cannot be told (``und``); columns stay as they are."""
-    return identify(docs, docs, docs.columns, config).where(F.col("lang_pred") != UNDETERMINED).select("row.*")
+    """``docs`` without those whose language cannot be told (``und``), with ``lang`` as it was told.
+
+    All columns stay; of a table without ``lang`` nothing is learnt. By the rules of ``identify``: rows with a
+    null text, or without letters, go, and repeated rows come as often as they do. Labels are learnt from all
+    rows that have one.
+    """
+    at = next((c for c in docs.columns if c.lower() == "lang"), None)
+    found = identify(docs, docs if at else docs.withColumn("lang", F.lit(None).cast("string")), docs.columns, config).where(F.col("lang_pred") != UNDETERMINED)
+    return (found.withColumn("row", F.col("row").withField(at, F.col("lang_pred"))) if at else found).select("row.*")

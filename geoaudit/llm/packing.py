@@ -223,17 +223,18 @@ def tokenised(docs: DataFrame, config: PackingConfig) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, part int, begin long, doc_tokens long, ids binary")
 
 
-def pack(docs: DataFrame, config: PackingConfig) -> DataFrame:
+def pack(docs: DataFrame, config: PackingConfig, scratch: Scratch | None = None) -> DataFrame:
     """Cut the stream of all documents' tokens into windows; one row for each document's part in a window.
 
     ``doc_id``; ``start``, the document's ids before the piece; ``length``; ``doc_tokens``, with the end id;
     ``sequence_id`` and ``offset`` of the piece in its window; ``begins`` and ``ends``, whether the piece
     holds the document's first and last id; ``ids``, little-endian unsigned 32-bit. A null text counts as
     empty and is the end id alone. Only the last window can be short. Repeated rows are packed as often as
-    they come; a null doc_id stays null; other columns are not read; no rows give no rows.
+    they come; a null doc_id stays null; other columns are not read; no rows give no rows. ``scratch``: the
+    caller's folder.
     """
     bounded_batches(docs.sparkSession)
-    scratch = Scratch(docs.sparkSession, "packing")
+    scratch = scratch or Scratch(docs.sparkSession, "packing")
     stream = scratch.write(tokenised(docs, config), "stream")
     totals = {r["part"]: r["n"] for r in stream.groupBy("part").agg(F.sum("doc_tokens").alias("n")).collect()}
     parts = sorted(totals)
@@ -274,6 +275,6 @@ def sequences(pieces: DataFrame, window: int = 2048) -> DataFrame:
     return whole.select("sequence_id", "n_tokens", F.rpad(joined, 4 * window, F.lit(b"\0")).alias("ids"))
 
 
-def packing_digest(docs: DataFrame, config: PackingConfig) -> DataFrame:
+def packing_digest(docs: DataFrame, config: PackingConfig, scratch: Scratch | None = None) -> DataFrame:
     """``pack`` with the ids as their CRC-32."""
-    return pack(docs, config).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pack(docs, config, scratch).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -1,8 +1,8 @@
 """Tables that an operator writes between its steps, in the folder that the whole cluster shares.
 
 A written table is cut off from its lineage: when an executor is lost, later steps read it again
-instead of computing it again. The folder is ``spark.checkpoint.dir``; only where that is unset (tests,
-notebooks) a temporary one is made.
+instead of computing it again. The folder is ``spark.checkpoint.dir``; only where that is unset and all
+runs on this machine (tests, notebooks) a temporary one is made.
 """
 
 from __future__ import annotations
@@ -16,33 +16,26 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, or a folder of our own where none is set."""
+    """The cluster's shared folder, or a folder of our own where none is set and Spark runs locally."""
     root = spark.conf.get(SETTING, None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError(f"set {SETTING} to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="geoaudit-")
         spark.conf.set(SETTING, root)
     return root.rstrip("/")
 
 
-_open: list[Scratch] = []
-
-
-def release() -> None:
-    """Delete the tables of all operators so far. For callers who have written what they wanted of them."""
-    while _open:
-        _open.pop().drop()
-
-
 class Scratch:
-    """A folder of tables that belong to one run of one operator."""
+    """A folder of tables that belong to one run of one operator, or of its caller, who can ``drop`` them.
+
+    What is left goes when the session's JVM ends.
+    """
 
-    def __init__(self, spark: SparkSession, label: str, lasting: bool = False):
-        """``lasting`` tables are left alone by ``release``; all go when the session's JVM ends."""
+    def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/geoaudit/{label}-{uuid.uuid4().hex}"
         self.tables = 0
-        if not lasting:
-            _open.append(self)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` as Parquet and return the table as read back."""

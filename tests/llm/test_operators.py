@@ -337,6 +337,22 @@ def test_nearest_of_odd_rows(spark):
     assert ann.nearest_report(frame.limit(0)).count() == 0
 
 
+def test_nearest_of_extreme_vectors(spark):
+    """Very long and very short vectors beside ordinary ones; products that leave the range of doubles."""
+    rng = np.random.default_rng(5)
+    rows = [(k, x.tolist()) for k, x in enumerate(rng.normal(size=(60, 2)))]
+    rows += [(k, [v, 0.0]) for k, v in ((100, 1e200), (101, 5e-324), (102, 1e-310), (103, -1e200), (104, 1e200))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for config in (ann.NearestConfig(), ann.NearestConfig(block_bytes=64, tile=7)):
+        got = defaultdict(list)
+        for r in ann.nearest(frame, frame, config).orderBy("query_id", "rank").collect():
+            got[r.query_id].append((r.vec_id, r.score))
+        for q, x in rows:
+            with np.errstate(over="ignore"):
+                want = sorted((-(np.float64(x[0]) * y[0] + np.float64(x[1]) * y[1]), i) for i, y in rows if i != q)[:20]
+            assert got[q] == [(i, -s) for s, i in want]
+
+
 def test_error_bounds_hold():
     rng = np.random.default_rng(0)
     a, b = rng.normal(size=(50, 24)) * 10.0 ** rng.integers(-6, 6, (50, 1)), rng.normal(size=(60, 24))
@@ -668,7 +684,7 @@ def test_pipeline_by_its_parts(spark, sf, docs, tokenizer):
     names = [name for name, _ in corpus_pipeline.STAGES]
     assert names == ["language", "near_dedup", "substring_dedup", "decontamination", "packing"]
     now, steps = docs, {}
-    keep = Scratch(spark, "test", lasting=True)
+    keep = Scratch(spark, "test")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         now = steps[name] = keep.write(stage(spark, now, sf), name)
         assert now.columns == docs.columns
@@ -684,5 +700,34 @@ def test_pipeline_by_its_parts(spark, sf, docs, tokenizer):
     assert ends == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in rows["decontamination"].items()}
 
 
+def test_pipeline_of_odd_rows(spark, sf, odd, none):
+    """Clashing names, repeated ids, nulls and nothing at all go through every stage."""
+    import corpus_pipeline
+
+    names = {**CLASH, "__gone": 1, "__spans": 2, "__id": 3, "lang_pred": "x", "number": 4, "first": 5, "cut": "c", "row": 6}
+    taken = spark.createDataFrame([(1, "another text", "en", "s", 12), (1, "a b c d e f g h", "de", "s", 15), (None, "x", None, None, None)], DOCUMENT)
+    for start in (odd.select("doc_id", "text", "lang", "source", "n_chars").unionAll(taken).withColumns({k: F.lit(v) for k, v in names.items()}), none):
+        now, keep = start, Scratch(spark, "test")
+        for name, stage in corpus_pipeline.Corpus().stages()[:-1]:
+            now = keep.write(stage(spark, now, sf), name)
+            assert now.columns == start.columns
+            if name == "near_dedup" and start is not none:
+                got = Counter((r.doc_id, r.text) for r in now.collect())
+                assert got[1, "another text"] == 1 and got[1, "a b c d e f g"] == 1 and got[5, "A B C D E F G"] == 0
+        packed = corpus_pipeline.STAGES[-1][1](spark, now, sf)
+        assert (packed.count() > 0) == (start is not none)
+
+
+def test_runs_leave_each_others_tables_alone(spark, sf, docs):
+    import corpus_pipeline
+
+    waiting = neardup.near_duplicates(docs)
+    one, other = corpus_pipeline.Corpus(), corpus_pipeline.Corpus()
+    held = one.near_dedup(spark, docs, sf)
+    other.near_dedup(spark, docs, sf).count()
+    other.packing(spark, docs, sf)
+    assert waiting.count() == docs.count() and held.count() <= docs.count()
+
+
 def test_shared_folder_is_the_sessions(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
