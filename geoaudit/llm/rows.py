@@ -49,11 +49,24 @@ def text_of(batch: pa.RecordBatch) -> pa.Array:
 
 
 def document_batches(rows: Iterator[pa.RecordBatch], most_docs: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Whole documents in batches of bounded size; a longer document is a batch of its own."""
+    """Whole documents in batches of bounded size, across those they came in; a longer document is one of its own."""
+    held: list[pa.RecordBatch] = []
+    docs = size = 0
     for batch in rows:
         _, at = utf8(batch.column("text"))
         row = 0
         while row < batch.num_rows:
-            end = min(row + most_docs, max(row + 1, int(np.searchsorted(at, at[row] + most_bytes, side="right")) - 1))
-            yield batch.slice(row, end - row)
-            row = end
+            fit = int(np.searchsorted(at, at[row] + most_bytes - size, side="right")) - 1
+            end = min(batch.num_rows, row + most_docs - docs, max(fit, row if held else row + 1))
+            if end > row:
+                held.append(batch.slice(row, end - row))
+                docs, size, row = docs + end - row, size + int(at[end] - at[row]), end
+            if row < batch.num_rows or docs == most_docs:
+                yield _joined(held)
+                held, docs, size = [], 0, 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
