@@ -47,7 +47,8 @@ _CONTENT = len(TOKENS) - 1
 _BOILER_TAGS = {TAG_GROUP[t] for t in ("nav", "footer", "aside", "form")}
 _ARTICLE_TAGS = {TAG_GROUP[t] for t in ("article", "main")}
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|[^<]+|<""", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/<>]*")
+_SPECIAL = re.compile(r"""[>"']""")
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
@@ -59,6 +60,7 @@ class Node:
     depth: int
     tokens: int  #: bits of token groups
     tag: str
+    place: int = 0  #: among its parent's children
     children: list[int] = field(default_factory=list)
     tags: int = 0  #: tags of any kind directly in it
     chars: int = 0
@@ -77,6 +79,10 @@ class Page:
         self.nodes = [Node(TAG_GROUP["html"], -1, 0, 0, "#")]
         self.runs: list[tuple[int, str]] = []
         self._open = [0]
+        self._count: Counter[str] = Counter()  # of open elements, by tag
+        self._dead: set[int] = set()  # signs outside of quotes after which no tag has an end
+        self._sign = (0, -1)  # the first sign at or after the one place is the other
+        self._ends: dict[str, re.Pattern | None] = {}
         self._text: list[str] = []
         self._links = self._linked = 0
         self._read(source)
@@ -95,9 +101,13 @@ class Page:
 
     def _close(self, names: set[str], within: set[str]) -> None:
         """Close the innermost open element of ``names``, unless one of ``within`` is nearer."""
+        if not any(self._count[name] for name in names):
+            return
         for k in range(len(self._open) - 1, 0, -1):
             tag = self.nodes[self._open[k]].tag
             if tag in names:
+                for node in self._open[k:]:
+                    self._count[self.nodes[node].tag] -= 1
                 del self._open[k:]
                 return
             if tag in within:
@@ -117,40 +127,84 @@ class Page:
                     if (k := TOKEN_GROUP.get(word)) is not None:
                         tokens |= 1 << k
         parent = self._open[-1]
+        place = len(self.nodes[parent].children)
         self.nodes[parent].children.append(len(self.nodes))
         self._open.append(len(self.nodes))
-        self.nodes.append(Node(TAG_GROUP[tag], parent, self.nodes[parent].depth + 1, tokens, tag))
+        self._count[tag] += 1
+        self.nodes.append(Node(TAG_GROUP[tag], parent, self.nodes[parent].depth + 1, tokens, tag, place))
+
+    def _tag_end(self, source: str, at: int, last: dict[str, int]) -> int:
+        """Where the tag whose name ends at ``at`` is closed, not in quotes; -1 if nowhere."""
+        if at > last[">"]:
+            return -1
+        seen = []
+        while True:
+            if not self._sign[0] <= at <= self._sign[1]:  # else the next sign is the one found before
+                found = _SPECIAL.search(source, at)
+                self._sign = (at, found.start() if found else len(source))
+            place = self._sign[1]
+            if place == len(source) or place in self._dead:
+                break
+            sign, at = source[place], place + 1
+            if sign == ">":
+                return place
+            seen.append(place)
+            if at <= last[sign]:  # a quote that is never closed is a sign like others
+                at = source.index(sign, at) + 1
+        self._dead.update(seen)  # so that no sign is gone through twice
+        return -1
+
+    def _add(self, raw: str) -> None:
+        text = entities.unescape(raw) if "&" in raw else raw
+        self._text.append(text)
+        if self._links:
+            self._linked += len(text.strip())
 
     def _read(self, source: str) -> None:
-        at, scan = 0, _TOKEN.match
-        while token := scan(source, at):
-            at = token.end()
-            tag = token[2]
-            if tag is None:
-                raw = token[0]
-                if raw[0] != "<" or raw == "<":
-                    text = entities.unescape(raw) if "&" in raw else raw
-                    self._text.append(text)
-                    if self._links:
-                        self._linked += len(text.strip())
+        at, last = 0, {sign: source.rfind(sign) for sign in ">\"'"}
+        while at < len(source):
+            start = source.find("<", at)
+            if start != at:
+                start = len(source) if start < 0 else start
+                self._add(source[at:start])
+                at = start
                 continue
+            if source.startswith("<!--", at):
+                end = source.find("-->", at + 4)
+                at = len(source) if end < 0 else end + 3
+                continue
+            if source.startswith(("<!", "<?"), at) and at < last[">"]:
+                at = source.index(">", at) + 1
+                continue
+            closing = source.startswith("/", at + 1)
+            name = _NAME.match(source, at + 1 + closing)
+            end = self._tag_end(source, name.end(), last) if name else -1
+            if end < 0:
+                self._add("<")
+                at += 1
+                continue
+            tag, attributes, at = name[0], source[name.end() : end], end + 1
             tag = tag.lower()
             self.nodes[self._open[-1]].tags += 1
-            if token[1]:
+            if closing:
                 if tag in TAG_GROUP:
                     self._flush()
                     self._close({tag}, set())
                 elif tag == "a":
                     self._links = max(0, self._links - 1)
             elif tag in HIDDEN:
-                if not token[3].endswith("/") or tag in ("script", "style"):
-                    end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(source, at)
-                    if end:
-                        at = end.end()
-                    elif tag != "head":
-                        at = len(source)
+                if not attributes.endswith("/") or tag in ("script", "style"):
+                    if tag not in self._ends:
+                        self._ends[tag] = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I)
+                    found = self._ends[tag] and self._ends[tag].search(source, at)
+                    if found:
+                        at = found.end()
+                    else:
+                        self._ends[tag] = None  # none follows further on either
+                        if tag != "head":
+                            at = len(source)
             elif tag in TAG_GROUP:
-                self._start(tag, token[3])
+                self._start(tag, attributes)
             elif tag in ("br", "hr"):
                 self._text.append(" ")
                 if tag == "hr":
@@ -182,7 +236,7 @@ def node_features(page: Page) -> np.ndarray:
         up = above[x.parent]
         above[k] = (up[0] | x.tokens, up[1] + (x.group in _BOILER_TAGS), up[2] + (x.group in _ARTICLE_TAGS))
         family = nodes[x.parent].children
-        place = family.index(k) if len(family) < 64 else int(np.searchsorted(family, k))
+        place = x.place
         row = out[k]
         row[x.group] = 1
         for b in range(t):
@@ -297,7 +351,23 @@ class PageMaker:
     def _links(self, n: int) -> str:
         return "<ul>" + "".join(f'<li><a href="/{k}">{self._words(1, 3)}</a></li>' for k in range(n)) + "</ul>"
 
+    def _plain(self) -> str:
+        """An article without paragraph tags: blocks of its own, or lines parted by breaks, under any name or none."""
+        kind = self.rng.random()
+        head = f"<{(h := self._pick(('h1', 'h2', 'div')))} data-k>{self._words(2, 9)}</{h}>" if self.rng.random() < 0.7 else ""
+        blocks = [self._words(*self._pick(((4, 15), (10, 60), (40, 120)))) for _ in range(int(self.rng.integers(2, 12)))]
+        if kind < 0.5:
+            inner = "".join(f"<div data-k{self._named('content', 0.8)}>{b}</div>" for b in blocks)
+        elif kind < 0.8:
+            inner = self._pick(("<br>", "<br><br>", "<br/>\n")).join(blocks)
+        else:
+            inner = "".join(f"<section data-k>{self._words(2, 5) if self.rng.random() < 0.3 else ''}<div data-k>{b}</div></section>" for b in blocks)
+        tag = self._pick(("article", "div", "div", "div", "main", "section"))
+        return f"<{tag} data-k{self._named('content', 0.4)}>{head}{inner}</{tag}>"
+
     def _article(self) -> str:
+        if self.rng.random() < 0.3:
+            return self._plain()
         parts = [f"<h1 data-k>{self._words(2, 10)}</h1>"] if self.rng.random() < 0.85 else []
         for _ in range(int(self.rng.integers(1, 14))):
             kind = self.rng.random()

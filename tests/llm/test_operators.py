@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -641,6 +642,52 @@ def test_like_siblings_are_counted_on_long_pages():
     assert len(own) == 30 and {int(html.node_features(page)[k - 1][-2]) for k in own} == {30}
 
 
+def main_of(source, trees):
+    page = html.Page(source)
+    return html.main_text(page, trees.odds(html.node_features(page)))
+
+
+def test_articles_without_paragraphs():
+    trees = html.learn_trees()
+    say = lambda k: " ".join(f"Word{k}x{j} goes on here," for j in range(9)) + " and ends."
+    one, two, three = say(1), say(2), say(3)
+    nav, foot = '<nav class="menu"><ul><li><a href="/">Home</a></li><li><a href="/b">News</a></li></ul></nav>', '<footer class="footer"><p>Copyright by us</p></footer>'
+    for body in (
+        f"<article><h1>A title of it</h1><div>{one}</div><div>{two}</div><div>{three}</div></article>",
+        f'<div id="content"><div>{one}</div><div>{two}</div><div>{three}</div></div>',
+        f'<div class="post">{one}<br>{two}<br>{three}</div>',
+        f"<div><div><section><div>{one}</div></section><section><div>{two}</div></section><section><div>{three}</div></section></div></div>",
+    ):
+        text = main_of(f"<html><body>{nav}{body}{foot}</body></html>", trees)
+        assert all(t in text for t in (one, two, three)) and "Home" not in text and "Copyright" not in text
+
+
+@pytest.mark.parametrize("piece", ['<a href="x>', "<a '", '<p "">', "<ul><li>x</li>", "<div>", "</p>", "<b", "<script>", '<a ""', "<!--", "<li>x", "</section><div>", "<a<"])
+def test_parsing_is_linear(piece):
+    took = []
+    for size in (60_000, 480_000):
+        source, begin = piece * (size // len(piece)) + "'>'", time.process_time()
+        html.node_features(html.Page(source))
+        took.append(time.process_time() - begin)
+    assert took[1] < 20 * took[0] + 1.5
+
+
+def test_decoding_by_enumeration():
+    """The kept nodes are the closed set of the largest sum."""
+    rng = np.random.default_rng(11)
+    for _ in range(40):
+        source = "<div>x" + "".join(rng.choice(["<div>a", "</div>", "<p>b</p>", "<ul><li>c</ul>"], 7)) + "</div>"
+        page = html.Page(source)
+        n = len(page.nodes) - 1
+        odds = rng.normal(size=n)
+        best = (0.0, frozenset())
+        for chosen in itertools.product((False, True), repeat=n):
+            kept = frozenset(k + 1 for k, c in enumerate(chosen) if c)
+            if all(page.nodes[k].parent == 0 or page.nodes[k].parent in kept for k in kept):
+                best = max(best, (sum(odds[k - 1] for k in kept), kept), key=lambda x: x[0])
+        assert html.main_text(page, odds) == "\n".join(t for k, t in page.runs if k == 0 or k in best[1])
+
+
 def test_decoding_keeps_no_node_below_a_dropped_one():
     page = html.Page("<div><p>a</p><div><p>b</p></div></div>")
     assert html.main_text(page, np.array([1.0, 1.0, -5.0, 2.0])) == "a"
