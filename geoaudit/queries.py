@@ -330,22 +330,15 @@ def _blobs(spark, sf_dir):
     return points, hdbscan.clusterings(points)
 
 
-@query("hdbscan_members", f"WITH {_pts('blobs')} SELECT CAST(point_id % 5 AS INTEGER) blob, count(*) n, CAST(sum(outcome) AS BIGINT) p FROM pts WHERE point_id % 11 <> 0 GROUP BY ALL")
+@query("hdbscan_members")
 def hdbscan_members(spark, sf_dir):
-    """Clusters of all points, named by their least member's blob; planted outliers, which border on none, are not counted."""
+    """All members of each cluster, named by the least one's blob. SQL cannot tell which planted outliers are taken in."""
     points, found = _blobs(spark, sf_dir)
-    members = found[0].regions().join(points, "point_id").where("point_id % 11 <> 0")
+    members = found[0].regions().join(points, "point_id")
     least = members.groupBy("cluster_label").agg(F.min("point_id").alias("first"), F.count("*").alias("n"), F.sum("outcome").alias("p"))
     return least.select((F.col("first") % 5).cast("int").alias("blob"), "n", "p")
 
 
-@query("hdbscan_sizes")
-def hdbscan_sizes(spark, sf_dir):
-    """All members of the clusters, planted outliers that were taken in too: SQL cannot tell which those are."""
-    points, found = _blobs(spark, sf_dir)
-    return found[0].regions().join(points, "point_id").groupBy("cluster_label").agg(F.count("*").alias("n"), F.sum("outcome").alias("p"))
-
-
 @query("hdbscan_labels")
 def hdbscan_labels(spark, sf_dir):
     return _blobs(spark, sf_dir)[1][0].labels

@@ -273,8 +273,9 @@ def test_all_members_are_those_of_brute_force(spark, sf):
         assert want and len(want) == len(got)
         for own, (members, ties) in zip(sorted(got.values(), key=min), want, strict=True):
             assert set(members) <= own <= set(members) | ties
-    sizes = {(r.cluster_label, r.n) for r in QUERIES["hdbscan_sizes"](spark, sf).collect()}
-    assert sizes == {(label, len(c)) for label, c in got.items()}
+    positive = {r.point_id for r in view(spark, sf, "blobs").where("outcome = 1").collect()}
+    sizes = sorted((r.blob, r.n, r.p) for r in QUERIES["hdbscan_members"](spark, sf).collect())
+    assert sizes == sorted((min(c) % 5, len(c), len(c & positive)) for c in got.values())
 
 
 def test_min_cluster_size_rounds_half_to_even():
