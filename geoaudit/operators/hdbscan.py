@@ -13,34 +13,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scores import central_angle, min_cluster_size
+from ..functions.scores import min_cluster_size
 
 MOST_POINTS = 1_000_000
 _BLOCK = 1024
 
 
-def core_distances(points: DataFrame, k: int) -> DataFrame:
-    """``point_id, core``: distance to the k-th nearest point, itself included. All pairs: for small tables."""
-    rows = points.select("point_id", F.radians("lat").alias("la"), F.radians("lon").alias("lo"))
-    one, two = (rows.select(*(F.col(c).alias(f"{c}{n}") for c in ("point_id", "la", "lo"))) for n in (1, 2))
-    pairs = one.crossJoin(F.broadcast(two)).withColumn("d", F.round(central_angle(F.col("la1"), F.col("lo1"), F.col("la2"), F.col("lo2")), 8))
-    order = F.row_number().over(Window.partitionBy("point_id1").orderBy("d", "point_id2"))
-    return pairs.withColumn("k", order).where(F.col("k") == k).select(F.col("point_id1").alias("point_id"), F.col("d").alias("core"))
-
-
-def mutual_reachability(points: DataFrame, k: int) -> DataFrame:
-    """``a, b, distance`` for a < b: the largest of the two core distances and their own. For small tables."""
-    core = core_distances(points, k)
-    rows = points.select("point_id", F.radians("lat").alias("la"), F.radians("lon").alias("lo")).join(core, "point_id")
-    one, two = (rows.select(*(F.col(c).alias(f"{c}{n}") for c in ("point_id", "la", "lo", "core"))) for n in (1, 2))
-    d = F.round(central_angle(F.col("la1"), F.col("lo1"), F.col("la2"), F.col("lo2")), 8)
-    pairs = one.join(F.broadcast(two), F.col("point_id1") < F.col("point_id2"))
-    return pairs.select(F.col("point_id1").alias("a"), F.col("point_id2").alias("b"), F.greatest("core1", "core2", d).alias("distance"))
-
-
 def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Central angles between rows of (lat, lon) in radians."""
     half = np.sin((a[:, None, 0] - b[None, :, 0]) / 2) ** 2 + np.cos(a[:, None, 0]) * np.cos(b[None, :, 0]) * np.sin((a[:, None, 1] - b[None, :, 1]) / 2) ** 2
@@ -74,6 +55,59 @@ def _cores(spark, where, n: int, k: int) -> np.ndarray:
     return found.column("core").to_numpy()
 
 
+def _placed(points: DataFrame) -> tuple[pa.ChunkedArray, np.ndarray]:
+    """Ids in order and places in radians; more than ``MOST_POINTS`` points raise: coarsen them first."""
+    n = points.count()
+    if n > MOST_POINTS:
+        raise ValueError(f"{n} points; at most {MOST_POINTS} are compared with each other")
+    table = points.select("point_id", F.radians("lat").alias("la"), F.radians("lon").alias("lo")).toArrow().sort_by("point_id")
+    return table.column("point_id"), np.stack([table.column("la").to_numpy(), table.column("lo").to_numpy()], axis=1)
+
+
+def _frame(spark: SparkSession, columns: dict, schema: str) -> DataFrame:
+    table = pa.table(columns)
+    return spark.createDataFrame(table) if table.num_rows else spark.createDataFrame([], schema)
+
+
+def core_distances(points: DataFrame, k: int) -> DataFrame:
+    """``point_id, core``: distance to the k-th nearest point, itself included; no rows with fewer than k points."""
+    spark, (ids, places) = points.sparkSession, _placed(points)
+    if len(places) < k:
+        return _frame(spark, {"point_id": ids[:0]}, "point_id long, core double")
+    core = _cores(spark, spark.sparkContext.broadcast(places), len(places), k)
+    return _frame(spark, {"point_id": ids, "core": core.round(8)}, "point_id long, core double")
+
+
+def mutual_reachability(points: DataFrame, k: int) -> DataFrame:
+    """``point_id, core, nearest, farthest``: the extremes of a point's mutual reachability distances to the others.
+
+    That distance is the largest of the two core distances and their own. Pairs are compared in blocks and
+    never become rows. No rows with fewer than k points, or one.
+    """
+    schema = "point_id long, core double, nearest double, farthest double"
+    spark, (ids, places) = points.sparkSession, _placed(points)
+    n = len(places)
+    if n < max(k, 2):
+        return _frame(spark, {"point_id": ids[:0]}, schema)
+    where = spark.sparkContext.broadcast(places)
+    core = _cores(spark, where, n, k)
+    cores = spark.sparkContext.broadcast(core)
+
+    def work(first: int, end: int) -> pa.RecordBatch:
+        low, high = np.full(end - first, np.inf), np.full(end - first, -np.inf)
+        for b in range(0, n, _BLOCK):
+            other = np.arange(b, min(n, b + _BLOCK))
+            d = np.maximum(np.maximum(_angles(where.value[first:end], where.value[other]), cores.value[first:end, None]), cores.value[other])
+            same = np.arange(first, end)[:, None] == other
+            low = np.minimum(low, np.where(same, np.inf, d).min(axis=1))
+            high = np.maximum(high, np.where(same, -np.inf, d).max(axis=1))
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(first, end)), pa.array(low), pa.array(high)], names=["i", "nearest", "farthest"])
+
+    found = _by_chunk(spark, n, work, "i long, nearest double, farthest double").sort_by("i")
+    near, far = (found.column(c).to_numpy().round(8) for c in ("nearest", "farthest"))
+    return _frame(spark, {"point_id": ids, "core": core.round(8), "nearest": near, "farthest": far}, schema)
+
+
 def _spanning_tree(spark, where, core: np.ndarray) -> np.ndarray:
     """Edges (distance, a, b) of a minimum spanning tree of the mutual reachability graph."""
     n, edges = len(core), []
@@ -224,15 +258,10 @@ def clusterings(points: DataFrame, fractions: tuple[float, ...] = (0.005, 0.01,
     """One clustering for each fraction of the points that a cluster must have (and ``least`` of them).
 
     Labels go by the clusters' first points in point_id order. With fewer points than a cluster needs, all
-    are noise. More than ``MOST_POINTS`` points raise: coarsen them first.
+    are noise. More than ``MOST_POINTS`` points raise.
     """
-    spark = points.sparkSession
-    n = points.count()
-    if n > MOST_POINTS:
-        raise ValueError(f"{n} points; the tree is built for {MOST_POINTS} at most")
-    table = points.select("point_id", F.radians("lat").alias("la"), F.radians("lon").alias("lo")).toArrow().sort_by("point_id")
-    ids = table.column("point_id").to_numpy()
-    where = spark.sparkContext.broadcast(np.stack([table.column("la").to_numpy(), table.column("lo").to_numpy()], axis=1))
+    spark, (ids, places) = points.sparkSession, _placed(points)
+    n, where = len(places), spark.sparkContext.broadcast(places)
     out, known = [], {}
     for fraction in fractions:
         size = min_cluster_size(fraction, n, least)
@@ -241,7 +270,6 @@ def clusterings(points: DataFrame, fractions: tuple[float, ...] = (0.005, 0.01,
                 labels = np.full(n, -1)
             else:
                 labels = cluster_labels(_spanning_tree(spark, where, _cores(spark, where, n, size)), n, size)
-            rows = pa.table({"point_id": ids, "label": labels.astype(np.int32)})
-            known[size] = spark.createDataFrame(rows) if n else spark.createDataFrame([], "point_id long, label int")
+            known[size] = _frame(spark, {"point_id": ids, "label": labels.astype(np.int32)}, "point_id long, label int")
         out.append(Clustering(known[size], fraction, size))
     return out

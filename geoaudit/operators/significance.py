@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from ..functions.scores import likelihood_ratio, rounded
 
 MODES = ("binomial", "portable", "fast", "exact")
+#: Boxes that are pruned at most: they are gone through in one row.
+MOST_RANKED = 100_000
+_ROWS = 1 << 16
 
 
 def portable_uniform(seed: int, world: Column, point_id: Column) -> Column:
@@ -44,11 +47,15 @@ def _drawn_by_atom(points: DataFrame, worlds: int, chance: float, seed: int) ->
     atoms = points.groupBy("region_ids").agg(F.count("*").alias("m")).withColumn("key", F.xxhash64("region_ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, _ROWS // worlds)
         for batch in batches:
-            for row in range(batch.num_rows):
-                rng = np.random.default_rng([seed, batch.column("key")[row].as_py() & (1 << 63) - 1])
-                drawn = rng.binomial(batch.column("m")[row].as_py(), chance, worlds)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(worlds), pa.int32()), pa.array([batch.column("region_ids")[row].as_py()] * worlds, pa.list_(pa.int64())), pa.array(drawn)], names=["world", "region_ids", "drawn"])
+            for first in range(0, batch.num_rows, step):
+                some = batch.slice(first, step)
+                keys, sizes = (some.column(c).to_pylist() for c in ("key", "m"))
+                drawn = [np.random.default_rng([seed, key & (1 << 63) - 1]).binomial(m, chance, worlds) for key, m in zip(keys, sizes)]
+                world = np.tile(np.arange(worlds, dtype=np.int32), len(keys))
+                ids = some.column("region_ids").take(pa.array(np.repeat(np.arange(len(keys)), worlds)))
+                yield pa.RecordBatch.from_arrays([pa.array(world), ids, pa.array(np.concatenate(drawn))], names=["world", "region_ids", "drawn"])
 
     return atoms.mapInArrow(run, "world int, region_ids array<long>, drawn long")
 
@@ -127,24 +134,43 @@ def boxes_meet(a: Column, b: Column) -> Column:
 
 
 _BOX = ("lon_min", "lat_min", "lon_max", "lat_max")
+_BOXES = f"array<struct<rank: int, {', '.join(f'{c}: double' for c in _BOX)}>>"
 
 
 def overlapping_pairs(regions: DataFrame) -> DataFrame:
-    """Pairs of regions that meet, ``a < b`` by region_id."""
-    one, two = (regions.select(F.col("region_id").alias(name), F.struct(*_BOX).alias(f"box_{name}")) for name in ("a", "b"))
-    return one.join(two, (F.col("a") < F.col("b")) & boxes_meet(F.col("box_a"), F.col("box_b"))).select("a", "b")
+    """Pairs of regions that meet, ``a < b`` by region_id.
+
+    Boxes are joined within squares of the widest box's side, which each box touches a few of; a pair counts
+    in the square of its common part's lower left corner alone.
+    """
+    widest = regions.agg(F.max(F.greatest(F.col("lon_max") - F.col("lon_min"), F.col("lat_max") - F.col("lat_min")))).first()[0]
+    side = widest if widest else 1.0
+
+    def square(x: Column) -> Column:
+        return F.floor(x / F.lit(side))
+
+    laid = regions.select("region_id", F.struct(*_BOX).alias("box"))
+    for axis in ("lon", "lat"):
+        laid = laid.withColumn(f"at_{axis}", F.explode(F.sequence(square(F.col(f"box.{axis}_min")), square(F.col(f"box.{axis}_max")))))
+    one, two = (laid.withColumnsRenamed({"region_id": name, "box": f"box_{name}"}) for name in ("a", "b"))
+    both = one.join(two, ["at_lon", "at_lat"]).where((F.col("a") < F.col("b")) & boxes_meet(F.col("box_a"), F.col("box_b")))
+    corner = (square(F.greatest(f"box_a.{x}_min", f"box_b.{x}_min")) == F.col(f"at_{x}") for x in ("lon", "lat"))
+    return both.where(next(corner) & next(corner)).select("a", "b")
 
 
 def pruned(ranked: DataFrame) -> DataFrame:
     """Ranked boxes without those that meet a box kept before them; ``kept_rank`` from 1.
 
     Later decisions hang on earlier ones, so this is one fold over the ranked boxes: seeds by radii at most.
+    More than ``MOST_RANKED`` raise.
     """
-    rows = F.array_sort(F.collect_list(F.struct("rank", *_BOX)))
+    listed = F.collect_list(F.struct("rank", *_BOX))
+    rows = F.array_sort(listed)
+    rows = F.when(F.size(listed) <= MOST_RANKED, rows).otherwise(F.raise_error(F.lit(f"more than {MOST_RANKED} ranked boxes")).cast(_BOXES))
     keep = F.aggregate(
         rows,
         F.slice(rows, 1, 0),
         lambda kept, x: F.when(F.exists(kept, lambda y: boxes_meet(x, y)), kept).otherwise(F.array_append(kept, x)),
     )
-    places = ranked.agg(F.transform(keep, lambda x: x["rank"]).alias("ranks")).select(F.posexplode("ranks").alias("at", "rank"))
+    places = ranked.limit(MOST_RANKED + 1).agg(F.transform(keep, lambda x: x["rank"]).alias("ranks")).select(F.posexplode("ranks").alias("at", "rank"))
     return ranked.join(places, "rank").withColumn("kept_rank", F.col("at") + 1).drop("at")

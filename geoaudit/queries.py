@@ -307,8 +307,8 @@ def non_overlapping(spark, sf_dir):
 _ANGLE = "2 * asin(sqrt(pow(sin((b.la - a.la) / 2), 2) + cos(a.la) * cos(b.la) * pow(sin((b.lo - a.lo) / 2), 2)))"
 _CORE_SQL = f"""WITH {_pts("embed")},
 rd AS (SELECT point_id, radians(lat) la, radians(lon) lo FROM pts),
-pr AS (SELECT a.point_id a, b.point_id b, round({_ANGLE}, 8) d FROM rd a, rd b),
-co AS (SELECT a point_id, d core FROM pr QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) = 25)"""
+pr AS MATERIALIZED (SELECT a.point_id a, b.point_id b, round({_ANGLE}, 8) d FROM rd a, rd b),
+co AS MATERIALIZED (SELECT a point_id, d core FROM pr QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) = 25)"""
 
 
 def _embed(spark, sf_dir):
@@ -320,7 +320,11 @@ def core_distance(spark, sf_dir):
     return hdbscan.core_distances(_embed(spark, sf_dir), 25)
 
 
-@query("mutual_reachability", f"{_CORE_SQL} SELECT a, b, greatest(x.core, y.core, d) distance FROM pr JOIN co x ON a = x.point_id JOIN co y ON b = y.point_id WHERE a < b")
+@query(
+    "mutual_reachability",
+    f"""{_CORE_SQL}, mr AS (SELECT a, x.core, greatest(x.core, y.core, d) d FROM pr JOIN co x ON a = x.point_id JOIN co y ON b = y.point_id WHERE a <> b)
+SELECT a point_id, any_value(core) core, min(d) nearest, max(d) farthest FROM mr GROUP BY a""",
+)
 def mutual_reachability(spark, sf_dir):
     return hdbscan.mutual_reachability(_embed(spark, sf_dir), 25)
 

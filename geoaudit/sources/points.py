@@ -80,19 +80,19 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """``point_id`` from 0 in file order, in two passes: rows of each partition, then places within it."""
+    """``point_id`` from 0 in file order: rows of each partition are counted first, then every row's place follows.
+
+    Spark's own row numbers hold the partition above 33 bits and the row in it below; only the totals, one row
+    for each partition, are gathered and sent out again.
+    """
     tagged = rows.withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33))
-    counts = {r["__part"]: r["count"] for r in tagged.groupBy("__part").count().collect()}
-    base, pairs = 0, []
-    for part in sorted(counts):
-        pairs += [F.lit(part), F.lit(base)]
-        base += counts[part]
-    if not pairs:
-        return tagged.withColumn("point_id", F.lit(0).cast("long")).drop("__at", "__part")
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("__part").orderBy("__at")) - 1
-    return tagged.withColumn("point_id", (F.create_map(*pairs)[F.col("__part")] + place).cast("long")).drop("__at", "__part")
+    before, pairs = 0, []
+    for part, n in sorted(tuple(r) for r in tagged.groupBy("__part").count().collect()):
+        pairs.append((part, before))
+        before += n
+    bases = rows.sparkSession.createDataFrame(pairs, "__part long, __base long")
+    place = F.col("__base") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return tagged.join(F.broadcast(bases), "__part").withColumn("point_id", place).drop("__at", "__part", "__base")
 
 
 def load_dataset(spark: SparkSession, spec: Dataset, root: str = "datasets/old") -> DataFrame:
