@@ -7,14 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.scores import rounded
+from .functions.scores import min_cluster_size, rounded
 from .operators import hdbscan, layers
 from .operators import regions as R
 from .operators import significance as S
 from .operators.scan import best_region, deviations, scored, variance_summary
+from .plans.audit import MOST_BOXES
 from .plans.report import params_json
 from .sources.catalog import DATASETS, radius_values
-from .sources.points import normalised, profile, profile_frame, view, view_sql
+from .sources.points import normalised, numbered, profile, profile_frame, view, view_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -93,6 +94,12 @@ def load_normalize(spark, sf_dir):
     return normalised(raw, "action_taken", DATASETS["lar"].recode).select("event_id", "lon", "lat", "note", "outcome")
 
 
+@query("row_numbers", "SELECT event_id, CAST(row_number() OVER () - 1 AS BIGINT) point_id FROM events")
+def row_numbers(spark, sf_dir):
+    """Rows of a file in its order."""
+    return numbered(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id"))
+
+
 @query("dataset_profile", f"WITH {_pts('orders')} SELECT count(*) n, CAST(sum(outcome) AS BIGINT) p, min(lon) lon_min, max(lon) lon_max, min(lat) lat_min, max(lat) lat_max, round(avg(lon), 6) lon_mean, round(avg(lat), 6) lat_mean, round(sum(outcome) / CAST(count(*) AS DOUBLE), 6) global_rate FROM pts")
 def dataset_profile(spark, sf_dir):
     rows = profile_frame(view(spark, sf_dir, "orders"))
@@ -224,19 +231,28 @@ def square_sul(spark, sf_dir):
 # --- significance ------------------------------------------------------------------------------------------
 
 
-def _worlds_sql(name: str, worlds: int = WORLDS) -> str:
+_IN_CELLS = "cells JOIN pts ON lon BETWEEN lon_start AND lon_end AND lat BETWEEN lat_start AND lat_end"
+_IN_SQUARES = "sq JOIN pts ON lon BETWEEN lon_min AND lon_max AND lat BETWEEN lat_min AND lat_max"
+
+
+def _worlds_sql(members: str, worlds: int = WORLDS) -> str:
     uniform = f"CAST(CAST('0x' || substr(md5('{SEED}|' || w || '|' || point_id), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496e0"
     return f"""
-mem AS (SELECT region_id, point_id, nt, pt FROM cells JOIN pts ON lon BETWEEN lon_start AND lon_end AND lat BETWEEN lat_start AND lat_end),
+mem AS (SELECT region_id, point_id FROM {members}),
 ws AS (SELECT CAST(unnest(range({worlds})) AS INTEGER) w),
 hit AS (SELECT w, point_id FROM ws, pts, b WHERE {uniform} < pt / CAST(nt AS DOUBLE)),
 dr AS (SELECT w, region_id, count(*) p FROM hit JOIN mem USING (point_id) GROUP BY ALL),
 wr AS (SELECT w, st.region_id, n, coalesce(dr.p, 0) p, nt, pt FROM st CROSS JOIN ws LEFT JOIN dr USING (w, region_id))"""
 
 
-def _maxima_sql(name: str) -> str:
+def _maxima_of(regions: str, members: str) -> str:
+    """CTE ``mx``, the largest score of each world, after the CTEs of ``regions``."""
     inner = _scored_sql("wr").replace("r AS (", "wr1 AS (", 1).replace("FROM r)", "FROM wr1)").replace("sc AS (", "wsc AS (")
-    return f"WITH {_pts(name)},{_cells_sql()},{_worlds_sql(name)},{inner},mx AS (SELECT w AS world, max(sul) max_sul FROM wsc GROUP BY w)"
+    return f"{regions},{_worlds_sql(members)},{inner},mx AS (SELECT w AS world, max(sul) max_sul FROM wsc GROUP BY w)"
+
+
+def _maxima_sql(name: str) -> str:
+    return f"WITH {_maxima_of(f'{_pts(name)},{_cells_sql()}', _IN_CELLS)}"
 
 
 def _maxima(spark, sf_dir, name):
@@ -285,15 +301,20 @@ def region_overlap_pairs(spark, sf_dir):
     return S.overlapping_pairs(_squares(spark, sf_dir)[3])
 
 
-@query(
-    "non_overlapping",
-    f"""WITH RECURSIVE {_SQUARES_SQL},
-rk AS (SELECT *, CAST(row_number() OVER (ORDER BY sul DESC, region_id DESC) AS INTEGER) rank FROM sc),
+#: Greedy pruning of ``rk`` (rank and box): ``f``, the ranks that are kept.
+_PRUNED_SQL = f"""
 g AS (SELECT 0 k, []::STRUCT(rank INTEGER, lon_min DOUBLE, lat_min DOUBLE, lon_max DOUBLE, lat_max DOUBLE)[] kept
   UNION ALL SELECT k + 1, CASE WHEN len(list_filter(kept, lambda b: {_MEET.replace("a.", "rk.")})) > 0 THEN kept
     ELSE list_append(kept, {{'rank': rk.rank, 'lon_min': rk.lon_min, 'lat_min': rk.lat_min, 'lon_max': rk.lon_max, 'lat_max': rk.lat_max}}) END
   FROM g JOIN rk ON rk.rank = g.k + 1),
-f AS (SELECT unnest(kept).rank rank FROM (SELECT kept FROM g ORDER BY k DESC LIMIT 1))
+f AS (SELECT unnest(kept).rank rank FROM (SELECT kept FROM g ORDER BY k DESC LIMIT 1))"""
+_RANK = "CAST(row_number() OVER (ORDER BY sul DESC, region_id DESC) AS INTEGER) rank"
+
+
+@query(
+    "non_overlapping",
+    f"""WITH RECURSIVE {_SQUARES_SQL},
+rk AS (SELECT *, {_RANK} FROM sc),{_PRUNED_SQL}
 SELECT rk.region_id, rk.rank, CAST(row_number() OVER (ORDER BY rank) AS INTEGER) kept_rank, n, p, sul FROM f JOIN rk USING (rank)""",
 )
 def non_overlapping(spark, sf_dir):
@@ -302,6 +323,20 @@ def non_overlapping(spark, sf_dir):
     return S.pruned(ranked).select("region_id", "rank", "kept_rank", "n", "p", "sul")
 
 
+@query(
+    "map_boxes",
+    f"""{_grid_sql("biased").replace("WITH", "WITH RECURSIVE", 1)},
+rk AS (SELECT region_id, lon_start lon_min, lat_start lat_min, lon_end lon_max, lat_end lat_max, sul, {_RANK} FROM sc),{_PRUNED_SQL}
+SELECT region_id, lon_min, lat_min, lon_max, lat_max, sul, CAST(row_number() OVER (ORDER BY rank) AS INTEGER) kept_rank FROM f JOIN rk USING (rank) QUALIFY kept_rank <= {MOST_BOXES}""",
+)
+def map_boxes(spark, sf_dir):
+    """The first boxes that a map shows of all 400 cells, ranked and pruned: cells next to each other meet."""
+    _, p, cells = _grid(spark, sf_dir, "biased")
+    boxes = scored(cells, p.n, p.p).withColumnsRenamed({"lon_start": "lon_min", "lat_start": "lat_min", "lon_end": "lon_max", "lat_end": "lat_max"})
+    ranked = S.significant(boxes, spark.createDataFrame([(-1.0,)], "threshold double"))
+    return S.pruned(ranked).where(F.col("kept_rank") <= MOST_BOXES).select("region_id", "lon_min", "lat_min", "lon_max", "lat_max", "sul", "kept_rank")
+
+
 # --- clusters ------------------------------------------------------------------------------------------------
 
 _ANGLE = "2 * asin(sqrt(pow(sin((b.la - a.la) / 2), 2) + cos(a.la) * cos(b.la) * pow(sin((b.lo - a.lo) / 2), 2)))"
@@ -329,6 +364,15 @@ def mutual_reachability(spark, sf_dir):
     return hdbscan.mutual_reachability(_embed(spark, sf_dir), 25)
 
 
+FRACTIONS = (0.005, 0.01, 0.02)
+
+
+@query("min_cluster_sizes", f"SELECT fraction, CAST(greatest(25, round_even(fraction * (SELECT count(*) FROM events), 0)) AS INTEGER) min_size FROM (SELECT CAST(unnest({list(FRACTIONS)}) AS DOUBLE) fraction)")
+def min_cluster_sizes(spark, sf_dir):
+    n = profile(view(spark, sf_dir, "events")).n
+    return spark.createDataFrame([(f, min_cluster_size(f, n, 25)) for f in FRACTIONS], "fraction double, min_size int")
+
+
 def _blobs(spark, sf_dir):
     points = view(spark, sf_dir, "blobs")
     return points, hdbscan.clusterings(points)
@@ -422,14 +466,40 @@ def report_one_partitioning(spark, sf_dir):
     return row.withColumns({k: F.lit(v) for k, v in fixed.items()} | {"n_points": F.lit(p.n).cast("long"), "p_points": F.lit(p.p).cast("long"), "global_rate": F.round(F.lit(p.rate), 6)})
 
 
-@query("report_multiple", f"SELECT 'multiple_partitionings' experiment, 'random_grid' \"method\", grid_idx, n_regions, meanvar, max_score meanvar_max_score, best_n best_region_n, best_p best_region_p, best_rho best_region_rate FROM ({_RANDOM_SUMMARY})")
+_GRIDS_PARAMS = [(k, params_json({"partitioning_idx": k, "lon_n": x, "lat_n": y})) for k, x, y in _SIZES]
+_ALL_PARAMS = params_json({"n_partitionings": len(_SIZES), "lat_n_range": [10, 40], "lon_n_range": [10, 40]})
+
+
+@query(
+    "report_multiple",
+    f"""WITH d AS ({_RANDOM_SUMMARY}), pa AS (SELECT CAST(column0 AS INTEGER) grid_idx, column1 params FROM (VALUES {", ".join(f"({k}, '{text}')" for k, text in _GRIDS_PARAMS)}) v(column0, column1))
+SELECT 'multiple_partitionings' experiment, 'random_grid' "method", params, n_regions, meanvar, max_score meanvar_max_score, best_n best_region_n, best_p best_region_p, best_rho best_region_rate FROM d JOIN pa USING (grid_idx)
+UNION ALL SELECT 'multiple_partitionings', 'random_grid_summary', '{_ALL_PARAMS}', CAST(sum(n_regions) AS BIGINT), round(avg(mean_score), 6) + 0e0, max(max_score), 0, 0, NULL FROM d""",
+)
 def report_multiple(spark, sf_dir):
-    rows = variance_summary(_random(spark, sf_dir), "grid_idx")
-    return rows.select(F.lit("multiple_partitionings").alias("experiment"), F.lit("random_grid").alias("method"), "grid_idx", "n_regions", "meanvar", F.col("max_score").alias("meanvar_max_score"), F.col("best_n").alias("best_region_n"), F.col("best_p").alias("best_region_p"), F.col("best_rho").alias("best_region_rate"))
+    """A row for each grid, and the summary's."""
+    grids = variance_summary(_random(spark, sf_dir), "grid_idx").join(F.broadcast(spark.createDataFrame(_GRIDS_PARAMS, "grid_idx int, params string")), "grid_idx")
+    detail = grids.select(F.lit("random_grid").alias("method"), "params", "n_regions", "meanvar", F.col("max_score").alias("meanvar_max_score"), F.col("best_n").alias("best_region_n"), F.col("best_p").alias("best_region_p"), F.col("best_rho").alias("best_region_rate"))
+    whole = grids.agg(F.sum("n_regions").alias("n_regions"), rounded(F.avg("mean_score")).alias("meanvar"), F.max("max_score").alias("meanvar_max_score"))
+    fixed = {"method": F.lit("random_grid_summary"), "params": F.lit(_ALL_PARAMS), "best_region_n": F.lit(0).cast("long"), "best_region_p": F.lit(0).cast("long")}
+    return detail.unionByName(whole.withColumns(fixed), allowMissingColumns=True).withColumn("experiment", F.lit("multiple_partitionings"))
 
 
-@query("report_unrestricted", f"WITH {_SQUARES_SQL} SELECT 'unrestricted' experiment, 'squares' \"method\", max(nt) n_points, max(pt) p_points, count(*) n_regions, max(sul) max_sul, arg_max(n, (sul, -region_id)) best_region_n, arg_max(p, (sul, -region_id)) best_region_p FROM sc")
+@query(
+    "report_unrestricted",
+    f"""WITH RECURSIVE {_maxima_of(_SQUARES_SQL, _IN_SQUARES)},{_THRESHOLD_SQL},
+rk AS (SELECT sc.*, {_RANK} FROM sc, th WHERE sul >= threshold),{_PRUNED_SQL}
+SELECT 'unrestricted' experiment, 'squares' "method", max(nt) n_points, max(pt) p_points, count(*) n_regions, max(sul) max_sul, any_value(threshold) signif_threshold,
+  (SELECT count(*) FROM rk) significant_regions, (SELECT count(*) FROM f) non_overlapping_regions,
+  arg_max(n, (sul, -region_id)) best_region_n, arg_max(p, (sul, -region_id)) best_region_p FROM sc, th""",
+)
 def report_unrestricted(spark, sf_dir):
-    _, p, _, scores = _squares(spark, sf_dir)
+    """The scan with its threshold, ranking and pruning, around fixed places where KMeans has none that SQL knows."""
+    points, p, seeds, scores = _squares(spark, sf_dir)
+    limit = S.threshold(S.world_maxima(R.with_square_ids(points, seeds, RADII), scores, p.n, p.p, WORLDS, SEED, "portable"), WORLDS, LEVEL)
+    ranked = S.significant(scores, limit)
     top = F.struct("sul", -F.col("region_id"))
-    return scores.agg(F.count("*").alias("n_regions"), F.max("sul").alias("max_sul"), F.max_by("n", top).alias("best_region_n"), F.max_by("p", top).alias("best_region_p")).withColumns({"experiment": F.lit("unrestricted"), "method": F.lit("squares"), "n_points": F.lit(p.n).cast("long"), "p_points": F.lit(p.p).cast("long")})
+    row = scores.agg(F.count("*").alias("n_regions"), F.max("sul").alias("max_sul"), F.max_by("n", top).alias("best_region_n"), F.max_by("p", top).alias("best_region_p"))
+    row = row.crossJoin(limit.withColumnRenamed("threshold", "signif_threshold")).crossJoin(ranked.agg(F.count("*").alias("significant_regions")))
+    row = row.crossJoin(S.pruned(ranked).agg(F.count("*").alias("non_overlapping_regions")))
+    return row.withColumns({"experiment": F.lit("unrestricted"), "method": F.lit("squares"), "n_points": F.lit(p.n).cast("long"), "p_points": F.lit(p.p).cast("long")})

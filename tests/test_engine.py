@@ -19,7 +19,7 @@ from geoaudit.plans.audit import Audit
 from geoaudit.plans.report import params_json, write_by_dataset, write_csv
 from geoaudit.queries import QUERIES
 from geoaudit.sources.catalog import DATASETS, Dataset, dataset, dataset_path, radius_values
-from geoaudit.sources.points import load_dataset, normalised, profile, view
+from geoaudit.sources.points import load_dataset, normalised, numbered, profile, view
 from geoaudit.streaming.counts import stream_cells
 
 POINT = "point_id long, lon double, lat double, outcome int"
@@ -203,6 +203,57 @@ def test_pruned_boxes_are_apart_and_many(spark):
     assert S.overlapping_pairs(kept).count() == 0
 
 
+def test_overlapping_pairs_are_those_of_brute_force(spark):
+    rng = np.random.default_rng(6)
+    low = rng.uniform(-9, 9, (80, 2)).round(0)
+    boxes = [(k, x, y, x + w, y + h) for k, ((x, y), (w, h)) in enumerate(zip(low.tolist(), rng.integers(0, 4, (80, 2)).astype(float).tolist()))]
+    schema = "region_id long, lon_min double, lat_min double, lon_max double, lat_max double"
+    want = {(a[0], b[0]) for a in boxes for b in boxes if a[0] < b[0] and a[3] >= b[1] and b[3] >= a[1] and a[4] >= b[2] and b[4] >= a[2]}
+    got = S.overlapping_pairs(spark.createDataFrame(boxes, schema)).collect()
+    assert want and len(got) == len(want) and {(r.a, r.b) for r in got} == want
+    points = [(k, x, y, x, y) for k, x, y, _, _ in boxes]
+    assert S.overlapping_pairs(spark.createDataFrame(points, schema)).count() == sum(a[1:] == b[1:] for a in points for b in points if a[0] < b[0])
+    assert S.overlapping_pairs(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_too_many_ranked_boxes_raise(spark, monkeypatch):
+    ranked = spark.createDataFrame([(k, k + 1, float(k), 0.0, k + 0.5, 0.5) for k in range(4)], "region_id long, rank int, lon_min double, lat_min double, lon_max double, lat_max double")
+    monkeypatch.setattr(S, "MOST_RANKED", 4)
+    assert S.pruned(ranked).count() == 4
+    monkeypatch.setattr(S, "MOST_RANKED", 3)
+    with pytest.raises(Exception, match="more than 3 ranked boxes"):
+        S.pruned(ranked).count()
+
+
+def test_rows_are_numbered_over_partitions(spark):
+    rows = spark.range(0, 50, 1, 7).where("id % 10 != 3 AND (id < 14 OR id > 27)")
+    got = [(r.id, r.point_id) for r in numbered(rows).orderBy("id").collect()]
+    assert [k for _, k in got] == list(range(len(got))) and len(got) == rows.count()
+    assert numbered(rows.limit(0)).count() == 0
+
+
+def test_reachability_is_that_of_brute_force(spark, monkeypatch):
+    where = np.random.default_rng(8).normal(size=(70, 2)) * 20
+    where[5] = where[6]
+    points = spark.createDataFrame([(100 - k, float(x), float(y), 0) for k, (x, y) in enumerate(where)], POINT)
+    rad = np.radians(where[:, ::-1])
+    every = hdbscan._angles(rad, rad)
+    core = np.sort(every, axis=1)[:, 3]
+    reach = np.maximum(np.maximum(core[:, None], core), every)
+    reach[np.diag_indices(70)] = np.nan
+    monkeypatch.setattr(hdbscan, "_BLOCK", 16)
+    got = {r.point_id: (r.core, r.nearest, r.farthest) for r in hdbscan.mutual_reachability(points, 4).collect()}
+    assert len(got) == 70
+    for k in range(70):
+        assert got[100 - k] == pytest.approx((core[k], np.nanmin(reach[k]), np.nanmax(reach[k])), abs=2e-8)
+    assert {r.point_id: r.core for r in hdbscan.core_distances(points, 4).collect()} == {k: v[0] for k, v in got.items()}
+    few = points.limit(3)
+    assert hdbscan.core_distances(few, 4).count() == hdbscan.mutual_reachability(few, 4).count() == 0
+    monkeypatch.setattr(hdbscan, "MOST_POINTS", 69)
+    with pytest.raises(ValueError, match="70 points"):
+        hdbscan.core_distances(points, 4)
+
+
 def test_two_blobs_and_an_outlier(spark):
     places = [0, 0.0001, 0.0002, 1, 1.0001, 1.0002, 20]
     points = spark.createDataFrame([(k, float(x), float(x), 0) for k, x in enumerate(places)], POINT)
@@ -299,9 +350,9 @@ def test_spanning_tree_is_minimal(spark):
     assert hdbscan._spanning_tree(spark, sent, core)[:, 0].sum() == pytest.approx(total)
 
 
-def _hull(spark, places):
+def _hull(spark, places, slice_of=2048):
     points = spark.createDataFrame([(k, float(x), float(y), 0) for k, (x, y) in enumerate(places)], POINT).withColumn("g", F.lit(1))
-    return [(v.lon, v.lat) for v in layers.hulls(points, "g").first().hull]
+    return [(v.lon, v.lat) for v in layers.hulls(points, "g", slice_of=slice_of).first().hull]
 
 
 @pytest.mark.parametrize(
@@ -324,6 +375,11 @@ def test_random_hulls(spark):
         assert all((u - x) * (b - y) - (v - y) * (a - x) >= -1e-12 for a, b in places)
 
 
+def test_hulls_do_not_hang_on_slices(spark):
+    places = np.random.default_rng(4).normal(size=(300, 2)).round(1).tolist()
+    assert _hull(spark, places) == _hull(spark, places, 16) == _hull(spark, places, 1)
+
+
 def test_sample_gives_what_positives_leave_to_negatives(spark):
     points = spark.createDataFrame([(k, 0.0, 0.0, int(k < 3)) for k in range(50)], POINT)
     got = layers.stratified_sample(points, 20)
