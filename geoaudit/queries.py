@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.scores import min_cluster_size, rounded
@@ -159,9 +159,13 @@ def grid_meanvar(spark, sf_dir):
 
 
 _SIZES = R.random_grids(8, seed=42)
-_RANDOM_SQL = f"""WITH {_pts("orders")},
+_ALL_SIZES = R.random_grids(100, seed=42)
+
+
+def _random_sql(sizes: list[tuple[int, int, int]]) -> str:
+    cells = f"""WITH {_pts("orders")},
 b AS (SELECT min(lon) lo0, max(lon) lo1, min(lat) la0, max(lat) la1, count(*) nt, CAST(sum(outcome) AS BIGINT) pt FROM pts),
-g AS (SELECT CAST(column0 AS INTEGER) grid_idx, CAST(column1 AS INTEGER) lon_n, CAST(column2 AS INTEGER) lat_n FROM (VALUES {", ".join(map(str, _SIZES))}) v(column0, column1, column2)),
+g AS (SELECT CAST(column0 AS INTEGER) grid_idx, CAST(column1 AS INTEGER) lon_n, CAST(column2 AS INTEGER) lat_n FROM (VALUES {", ".join(map(str, sizes))}) v(column0, column1, column2)),
 c AS (SELECT grid_idx, lon_n, lat_n, unnest(range(lon_n * lat_n)) k FROM g),
 cells AS (
   SELECT grid_idx, CAST(k AS BIGINT) region_id, nt, pt,
@@ -170,12 +174,21 @@ cells AS (
 st AS (
   SELECT grid_idx, region_id, nt, pt, count(outcome) n, CAST(coalesce(sum(outcome), 0) AS BIGINT) p
   FROM cells LEFT JOIN pts ON lon BETWEEN xs AND xe AND lat BETWEEN ys AND ye GROUP BY ALL),{_scored_sql("st")}"""
-_RANDOM_SUMMARY = _RANDOM_SQL + "," + _SUMMARY_SQL.format(keys="grid_idx,", part="PARTITION BY grid_idx", group="GROUP BY grid_idx", using="USING (grid_idx)")
+    return cells + "," + _SUMMARY_SQL.format(keys="grid_idx,", part="PARTITION BY grid_idx", group="GROUP BY grid_idx", using="USING (grid_idx)")
+
 
+_RANDOM_SUMMARY = _random_sql(_SIZES)
 
-def _random(spark, sf_dir):
+
+def _random(spark, sf_dir, sizes=_SIZES):
     points = view(spark, sf_dir, "orders")
-    return R.grid_stats(points, R.grid_table(spark, _SIZES), _SIZES, profile(points))
+    return R.grid_stats(points, R.grid_table(spark, sizes), sizes, profile(points))
+
+
+@query("random_grids_full", _random_sql(_ALL_SIZES))
+def random_grids_full(spark, sf_dir):
+    """All 100 grids of the published experiment, 59,089 cells."""
+    return variance_summary(_random(spark, sf_dir, _ALL_SIZES), "grid_idx")
 
 
 @query("random_grids_meanvar", _RANDOM_SUMMARY)
@@ -287,6 +300,32 @@ def alt_world_max_binomial(spark, sf_dir):
     return S.world_maxima(R.with_cells(points, p, GRID, GRID), cells, p.n, p.p, 200, SEED)
 
 
+@query("grid_worlds_full")
+def grid_worlds_full(spark, sf_dir):
+    """Both grids of the largest published experiment, 5,300 cells, with its 1,000 worlds each."""
+    points, out = view(spark, sf_dir, "biased"), None
+    p = profile(points)
+    for x, y in DATASETS["lar"].grids:
+        cells = R.grid_of(points, x, y, p)
+        maxima = S.world_maxima(R.with_cells(points, p, x, y), cells, p.n, p.p, 1000, SEED + x + y)
+        rows = S.significant(scored(cells, p.n, p.p), S.threshold(maxima, 1000, LEVEL)).select(F.lit(x).alias("lon_n"), F.lit(y).alias("lat_n"), "region_id", "n", "p", "sul", "rank")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("square_worlds_full")
+def square_worlds_full(spark, sf_dir):
+    """The published free scan: 100 KMeans seeds by 20 radii, 200 worlds, ranked and pruned."""
+    points, radii = view(spark, sf_dir, "orders"), [0.5 * k for k in range(1, 21)]
+    p, seeds = profile(points), R.kmeans_seeds(points, 100, 42)
+    scores = scored(R.square_stats(points, seeds, radii), p.n, p.p)
+    maxima = S.world_maxima(R.with_square_ids(points, seeds, radii), scores, p.n, p.p, 200, SEED)
+    limit = S.threshold(maxima, 200, LEVEL)
+    ranked = scores.crossJoin(limit).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("sul"), F.desc("region_id"))))
+    kept = S.pruned(ranked.where("sul >= threshold")).select("region_id", "kept_rank")
+    return ranked.join(kept, "region_id", "left").select("region_id", "center", "radius", "n", "p", "sul", "threshold", "rank", "kept_rank")
+
+
 @query("square_worlds_fast")
 def square_worlds_fast(spark, sf_dir):
     points, p, seeds, scores = _squares(spark, sf_dir)
