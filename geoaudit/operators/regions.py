@@ -196,8 +196,13 @@ def square_stats(points: DataFrame, seeds: DataFrame, radii: list[float]) -> Dat
     return joined.withColumn("n", F.sum("n").over(outwards)).withColumn("p", F.sum("p").over(outwards)).drop("ring")
 
 
-def with_square_ids(points: DataFrame, seeds: DataFrame, radii: list[float]) -> DataFrame:
-    """Points with the ``region_ids`` of all squares that hold them; no shuffle of points."""
+def with_square_ids(points: DataFrame, seeds: DataFrame, radii: list[float], smallest: bool = False) -> DataFrame:
+    """Points with the ``region_ids`` of all squares that hold them; no shuffle of points.
+
+    With ``smallest``, of each seed's squares only the smallest one that does; radii must then ascend.
+    """
+    if smallest and radii != sorted(radii):
+        raise ValueError("Radii must ascend")
     largest = max(radii)
     size = 2 * largest if largest > 0 else 1.0
     reach = seeds.select("seed_rank", "lon", "lat", F.explode(F.sequence(F.floor((F.col("lon") - largest) / size) - 1, F.floor((F.col("lon") + largest) / size) + 1)).alias("bx"))
@@ -210,6 +215,10 @@ def with_square_ids(points: DataFrame, seeds: DataFrame, radii: list[float]) ->
         lon, lat, r = F.col("lon"), F.col("lat"), c["r"]
         return (lon >= s["x"] - r) & (lon <= s["x"] + r) & (lat >= s["y"] - r) & (lat <= s["y"] + r)
 
-    ids = F.flatten(F.transform("near", lambda s: F.transform(F.filter(ranks, lambda c: held(s, c)), lambda c: s["seed_rank"].cast("long") * len(radii) + c["k"])))
+    def holding(s: Column) -> Column:
+        found = F.filter(ranks, lambda c: held(s, c))
+        return F.slice(found, 1, 1) if smallest else found
+
+    ids = F.flatten(F.transform("near", lambda s: F.transform(holding(s), lambda c: s["seed_rank"].cast("long") * len(radii) + c["k"])))
     none = F.array().cast("array<long>")
     return keyed.withColumn("region_ids", F.array_sort(F.coalesce(ids, none))).drop("bx", "by", "near")

@@ -84,11 +84,12 @@ def _drawn_exactly(points: DataFrame, worlds: int, n: int, chance: float, seed:
     return rows.groupBy("world", "region_ids").agg(F.sum("drawn").alias("drawn"))
 
 
-def world_maxima(points: DataFrame, regions: DataFrame, total: int, positive: int, worlds: int, seed: int, mode: str = "binomial") -> DataFrame:
+def world_maxima(points: DataFrame, regions: DataFrame, total: int, positive: int, worlds: int, seed: int, mode: str = "binomial", nested: int = 0) -> DataFrame:
     """``world, max_sul``: the largest score of each simulated world.
 
     ``points`` has ``point_id`` and ``region_ids``, ``regions`` has ``region_id`` and ``n``. No rows without
-    worlds or regions.
+    worlds or regions. With ``nested``, that many regions in a row (by region_id, from 0) lie each in the next
+    one, ``region_ids`` name only the innermost of them, and draws are summed outwards.
     """
     if mode not in MODES:
         raise ValueError(f"Unknown mode {mode!r}; known: {', '.join(MODES)}")
@@ -106,6 +107,9 @@ def world_maxima(points: DataFrame, regions: DataFrame, total: int, positive: in
     by_region = drawn.select("world", F.explode("region_ids").alias("region_id"), "drawn").groupBy("world", "region_id").agg(F.sum("drawn").alias("p"))
     every = regions.select("region_id", "n").crossJoin(F.broadcast(spark.range(worlds).select(F.col("id").cast("int").alias("world"))))
     counted = every.join(by_region, ["world", "region_id"], "left").na.fill({"p": 0})
+    if nested:
+        outwards = Window.partitionBy("world", F.floor(F.col("region_id") / nested)).orderBy("region_id").rowsBetween(Window.unboundedPreceding, 0)
+        counted = counted.withColumn("p", F.sum("p").over(outwards))
     score = rounded(likelihood_ratio(F.col("n"), F.col("p"), F.lit(total).cast("long"), F.lit(positive).cast("long")))
     return counted.groupBy("world").agg(F.max(score).alias("max_sul"))
 

@@ -133,7 +133,7 @@ class Audit:
         stats = R.square_stats(data.points, seeds, radii).persist()
         scores = scored(stats, p.n, p.p).persist()
         best, top, n = _scan_row(scores)
-        maxima = S.world_maxima(R.with_square_ids(data.points, seeds, radii), stats, p.n, p.p, worlds, self.seed, self.mode)
+        maxima = S.world_maxima(R.with_square_ids(data.points, seeds, radii, True), stats, p.n, p.p, worlds, self.seed, self.mode, len(radii))
         limit = S.threshold(maxima, worlds, level).first()["threshold"] if n else 0.0
         ranked = S.significant(scores, self.spark.createDataFrame([(limit,)], "threshold double")).persist()
         kept = S.pruned(ranked).persist()

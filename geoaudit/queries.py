@@ -319,7 +319,7 @@ def square_worlds_full(spark, sf_dir):
     points, radii = view(spark, sf_dir, "orders"), [0.5 * k for k in range(1, 21)]
     p, seeds = profile(points), R.kmeans_seeds(points, 100, 42)
     scores = scored(R.square_stats(points, seeds, radii), p.n, p.p)
-    maxima = S.world_maxima(R.with_square_ids(points, seeds, radii), scores, p.n, p.p, 200, SEED)
+    maxima = S.world_maxima(R.with_square_ids(points, seeds, radii, True), scores, p.n, p.p, 200, SEED, nested=len(radii))
     limit = S.threshold(maxima, 200, LEVEL)
     ranked = scores.crossJoin(limit).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("sul"), F.desc("region_id"))))
     kept = S.pruned(ranked.where("sul >= threshold")).select("region_id", "kept_rank")
@@ -535,7 +535,7 @@ SELECT 'unrestricted' experiment, 'squares' "method", max(nt) n_points, max(pt)
 def report_unrestricted(spark, sf_dir):
     """The scan with its threshold, ranking and pruning, around fixed places where KMeans has none that SQL knows."""
     points, p, seeds, scores = _squares(spark, sf_dir)
-    limit = S.threshold(S.world_maxima(R.with_square_ids(points, seeds, RADII), scores, p.n, p.p, WORLDS, SEED, "portable"), WORLDS, LEVEL)
+    limit = S.threshold(S.world_maxima(R.with_square_ids(points, seeds, RADII, True), scores, p.n, p.p, WORLDS, SEED, "portable", len(RADII)), WORLDS, LEVEL)
     ranked = S.significant(scores, limit)
     top = F.struct("sul", -F.col("region_id"))
     row = scores.agg(F.count("*").alias("n_regions"), F.max("sul").alias("max_sul"), F.max_by("n", top).alias("best_region_n"), F.max_by("p", top).alias("best_region_p"))

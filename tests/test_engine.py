@@ -141,6 +141,17 @@ def test_square_counts_and_ids_agree(diagonal):
     assert counts == {r.region_id: (r.n, r.p) for r in R.counted(ids, "region_id").collect()}
 
 
+@pytest.mark.parametrize("mode", ("portable", "fast"))
+def test_worlds_of_nested_squares_are_those_of_all(diagonal, mode):
+    seeds, radii = R.nearest_points(diagonal, [(0.2, 0.2), (0.9, 0.9), (0.25, 0.3)]), [0.05, 0.1, 0.3]
+    stats, p = R.square_stats(diagonal, seeds, radii), profile(diagonal)
+    every = S.world_maxima(R.with_square_ids(diagonal, seeds, radii), stats, p.n, p.p, 12, 3, mode).orderBy("world").collect()
+    inner = S.world_maxima(R.with_square_ids(diagonal, seeds, radii, True), stats, p.n, p.p, 12, 3, mode, len(radii)).orderBy("world").collect()
+    assert len(every) == 12 and len({r.max_sul for r in every}) > 1 and inner == every
+    with pytest.raises(ValueError, match="ascend"):
+        R.with_square_ids(diagonal, seeds, radii[::-1], True)
+
+
 def test_variance_ignores_empty_regions(spark):
     rows = spark.createDataFrame([(0, 4, 0), (1, 0, 0), (2, 4, 4)], "region_id long, n long, p long")
     got = variance_summary(rows).first()
