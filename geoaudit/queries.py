@@ -542,3 +542,6 @@ def report_unrestricted(spark, sf_dir):
     row = row.crossJoin(limit.withColumnRenamed("threshold", "signif_threshold")).crossJoin(ranked.agg(F.count("*").alias("significant_regions")))
     row = row.crossJoin(S.pruned(ranked).agg(F.count("*").alias("non_overlapping_regions")))
     return row.withColumns({"experiment": F.lit("unrestricted"), "method": F.lit("squares"), "n_points": F.lit(p.n).cast("long"), "p_points": F.lit(p.p).cast("long")})
+
+
+from . import structure_queries  # noqa: E402, F401  registers its queries here
