@@ -69,45 +69,6 @@ def _frame(spark: SparkSession, columns: dict, schema: str) -> DataFrame:
     return spark.createDataFrame(table) if table.num_rows else spark.createDataFrame([], schema)
 
 
-def core_distances(points: DataFrame, k: int) -> DataFrame:
-    """``point_id, core``: distance to the k-th nearest point, itself included; no rows with fewer than k points."""
-    spark, (ids, places) = points.sparkSession, _placed(points)
-    if len(places) < k:
-        return _frame(spark, {"point_id": ids[:0]}, "point_id long, core double")
-    core = _cores(spark, spark.sparkContext.broadcast(places), len(places), k)
-    return _frame(spark, {"point_id": ids, "core": core.round(8)}, "point_id long, core double")
-
-
-def mutual_reachability(points: DataFrame, k: int) -> DataFrame:
-    """``point_id, core, nearest, farthest``: the extremes of a point's mutual reachability distances to the others.
-
-    That distance is the largest of the two core distances and their own. Pairs are compared in blocks and
-    never become rows. No rows with fewer than k points, or one.
-    """
-    schema = "point_id long, core double, nearest double, farthest double"
-    spark, (ids, places) = points.sparkSession, _placed(points)
-    n = len(places)
-    if n < max(k, 2):
-        return _frame(spark, {"point_id": ids[:0]}, schema)
-    where = spark.sparkContext.broadcast(places)
-    core = _cores(spark, where, n, k)
-    cores = spark.sparkContext.broadcast(core)
-
-    def work(first: int, end: int) -> pa.RecordBatch:
-        low, high = np.full(end - first, np.inf), np.full(end - first, -np.inf)
-        for b in range(0, n, _BLOCK):
-            other = np.arange(b, min(n, b + _BLOCK))
-            d = np.maximum(np.maximum(_angles(where.value[first:end], where.value[other]), cores.value[first:end, None]), cores.value[other])
-            same = np.arange(first, end)[:, None] == other
-            low = np.minimum(low, np.where(same, np.inf, d).min(axis=1))
-            high = np.maximum(high, np.where(same, -np.inf, d).max(axis=1))
-        return pa.RecordBatch.from_arrays([pa.array(np.arange(first, end)), pa.array(low), pa.array(high)], names=["i", "nearest", "farthest"])
-
-    found = _by_chunk(spark, n, work, "i long, nearest double, farthest double").sort_by("i")
-    near, far = (found.column(c).to_numpy().round(8) for c in ("nearest", "farthest"))
-    return _frame(spark, {"point_id": ids, "core": core.round(8), "nearest": near, "farthest": far}, schema)
-
-
 def _spanning_tree(spark, where, core: np.ndarray) -> np.ndarray:
     """Edges (distance, a, b) of a minimum spanning tree of the mutual reachability graph."""
     n, edges = len(core), []

@@ -43,15 +43,16 @@ def _pts(name: str) -> str:
 # --- SQL shared by the oracles ------------------------------------------------------------------------
 
 
-def _cells_sql(n: int = GRID) -> str:
-    """Cells of a grid with counts, by the closed range join."""
+def _cells_sql(n: int = GRID, m: int | None = None) -> str:
+    """Cells of a grid of n columns and m rows (as many) with counts, by the closed range join."""
+    m = m or n
     return f"""
 b AS (SELECT min(lon) lo0, max(lon) lo1, min(lat) la0, max(lat) la1, count(*) nt, CAST(coalesce(sum(outcome), 0) AS BIGINT) pt FROM pts),
 cells AS (
   SELECT CAST(i.id * {n} + j.id AS BIGINT) region_id, CAST(j.id AS INTEGER) j, CAST(i.id AS INTEGER) i,
-    lo0 + (j.id / {n}e0) * (lo1 - lo0) lon_start, la0 + (i.id / {n}e0) * (la1 - la0) lat_start,
-    lo0 + ((j.id + 1) / {n}e0) * (lo1 - lo0) lon_end, la0 + ((i.id + 1) / {n}e0) * (la1 - la0) lat_end, nt, pt
-  FROM b, (SELECT unnest(range({n})) id) i, (SELECT unnest(range({n})) id) j),
+    lo0 + (j.id / {n}e0) * (lo1 - lo0) lon_start, la0 + (i.id / {m}e0) * (la1 - la0) lat_start,
+    lo0 + ((j.id + 1) / {n}e0) * (lo1 - lo0) lon_end, la0 + ((i.id + 1) / {m}e0) * (la1 - la0) lat_end, nt, pt
+  FROM b, (SELECT unnest(range({m})) id) i, (SELECT unnest(range({n})) id) j),
 st AS (
   SELECT region_id, j, i, lon_start, lat_start, lon_end, lat_end, nt, pt, count(outcome) n, CAST(coalesce(sum(outcome), 0) AS BIGINT) p
   FROM cells LEFT JOIN pts ON lon BETWEEN lon_start AND lon_end AND lat BETWEEN lat_start AND lat_end
@@ -300,19 +301,44 @@ def alt_world_max_binomial(spark, sf_dir):
     return S.world_maxima(R.with_cells(points, p, GRID, GRID), cells, p.n, p.p, 200, SEED)
 
 
-@query("grid_worlds_full")
-def grid_worlds_full(spark, sf_dir):
-    """Both grids of the largest published experiment, 5,300 cells, with its 1,000 worlds each."""
+def _rows_of_grids(spark, sf_dir, worlds: int, mode: str):
+    """Both grids of the largest published experiment: a row for each significant cell, or for a grid without any."""
     points, out = view(spark, sf_dir, "biased"), None
     p = profile(points)
     for x, y in DATASETS["lar"].grids:
         cells = R.grid_of(points, x, y, p)
-        maxima = S.world_maxima(R.with_cells(points, p, x, y), cells, p.n, p.p, 1000, SEED + x + y)
-        rows = S.significant(scored(cells, p.n, p.p), S.threshold(maxima, 1000, LEVEL)).select(F.lit(x).alias("lon_n"), F.lit(y).alias("lat_n"), "region_id", "n", "p", "sul", "rank")
+        maxima = S.world_maxima(R.with_cells(points, p, x, y), cells, p.n, p.p, worlds, SEED + x + y, mode)
+        limit = S.threshold(maxima, worlds, LEVEL)
+        hits = S.significant(scored(cells, p.n, p.p), limit).select("region_id", "n", "p", "sul", "rank")
+        grid = limit.crossJoin(F.broadcast(hits.agg(F.count("*").alias("n_significant")))).crossJoin(F.broadcast(cells.agg(F.count("*").alias("n_regions"))))
+        rows = grid.join(hits, F.lit(True), "left").select(F.lit(x).alias("lon_n"), F.lit(y).alias("lat_n"), "threshold", "n_regions", "n_significant", "region_id", "n", "p", "sul", "rank")
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+@query("grid_worlds_full")
+def grid_worlds_full(spark, sf_dir):
+    """5,300 cells with the 1,000 worlds of the published experiment for each grid."""
+    return _rows_of_grids(spark, sf_dir, 1000, "binomial")
+
+
+def _rows_of_grids_sql() -> str:
+    """The same with worlds that SQL can draw too."""
+    parts = []
+    for x, y in DATASETS["lar"].grids:
+        of = _maxima_of(f"{_pts('biased')},{_cells_sql(x, y)}", _IN_CELLS).replace(f"'{SEED}|'", f"'{SEED + x + y}|'")
+        parts.append(f"""(WITH {of},{_THRESHOLD_SQL},{_scored_sql("st")},
+h AS (SELECT region_id, n, p, sul, CAST(row_number() OVER (ORDER BY sul DESC, region_id DESC) AS INTEGER) rank FROM sc, th WHERE sul >= threshold)
+SELECT CAST({x} AS INTEGER) lon_n, CAST({y} AS INTEGER) lat_n, threshold, (SELECT count(*) FROM st) n_regions, (SELECT count(*) FROM h) n_significant, h.* FROM th LEFT JOIN h ON true)""")
+    return " UNION ALL ".join(parts)
+
+
+@query("grid_worlds_portable", _rows_of_grids_sql())
+def grid_worlds_portable(spark, sf_dir):
+    """The same grids whole, with fewer worlds, drawn point by point as SQL can."""
+    return _rows_of_grids(spark, sf_dir, WORLDS, "portable")
+
+
 @query("square_worlds_full")
 def square_worlds_full(spark, sf_dir):
     """The published free scan: 100 KMeans seeds by 20 radii, 200 worlds, ranked and pruned."""
@@ -378,31 +404,6 @@ def map_boxes(spark, sf_dir):
 
 # --- clusters ------------------------------------------------------------------------------------------------
 
-_ANGLE = "2 * asin(sqrt(pow(sin((b.la - a.la) / 2), 2) + cos(a.la) * cos(b.la) * pow(sin((b.lo - a.lo) / 2), 2)))"
-_CORE_SQL = f"""WITH {_pts("embed")},
-rd AS (SELECT point_id, radians(lat) la, radians(lon) lo FROM pts),
-pr AS MATERIALIZED (SELECT a.point_id a, b.point_id b, round({_ANGLE}, 8) d FROM rd a, rd b),
-co AS MATERIALIZED (SELECT a point_id, d core FROM pr QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) = 25)"""
-
-
-def _embed(spark, sf_dir):
-    return view(spark, sf_dir, "embed")
-
-
-@query("core_distance", f"{_CORE_SQL} SELECT point_id, core FROM co")
-def core_distance(spark, sf_dir):
-    return hdbscan.core_distances(_embed(spark, sf_dir), 25)
-
-
-@query(
-    "mutual_reachability",
-    f"""{_CORE_SQL}, mr AS (SELECT a, x.core, greatest(x.core, y.core, d) d FROM pr JOIN co x ON a = x.point_id JOIN co y ON b = y.point_id WHERE a <> b)
-SELECT a point_id, any_value(core) core, min(d) nearest, max(d) farthest FROM mr GROUP BY a""",
-)
-def mutual_reachability(spark, sf_dir):
-    return hdbscan.mutual_reachability(_embed(spark, sf_dir), 25)
-
-
 FRACTIONS = (0.005, 0.01, 0.02)
 
 

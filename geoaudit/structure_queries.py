@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .operators import autocorrelation as A
+from .operators import neighbours as N
+from .operators import pyramid as P
 from .operators import regions as R
 from .operators.dbscan import cluster_table, dbscan
-from .queries import GRID, SEED, _cells_sql, _pts, query
+from .queries import GRID, SEED, _cells_sql, _pts, _scored_sql, query
 from .sources.points import profile, view
 
 # --- autocorrelation ------------------------------------------------------------------------------------
@@ -147,3 +149,113 @@ def dbscan_quality(spark, sf_dir):
     """Clusters with their points, core points, rates, shares of all points, and bounds."""
     points = view(spark, sf_dir, "blobs")
     return cluster_table(dbscan(points, *_DENSE), points)
+
+
+# --- neighbours -----------------------------------------------------------------------------------------
+
+_ANGLE = "2 * asin(sqrt(pow(sin((b.la - a.la) / 2), 2) + cos(a.la) * cos(b.la) * pow(sin((b.lo - a.lo) / 2), 2)))"
+_CORE_SQL = f"""WITH {_pts("embed")},
+rd AS (SELECT point_id, radians(lat) la, radians(lon) lo FROM pts),
+pr AS MATERIALIZED (SELECT a.point_id a, b.point_id b, round({_ANGLE}, 8) d FROM rd a, rd b),
+co AS MATERIALIZED (SELECT a point_id, d core FROM pr QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) = 25)"""
+
+
+def _embed(spark, sf_dir):
+    return view(spark, sf_dir, "embed")
+
+
+@query("core_distance", f"{_CORE_SQL} SELECT point_id, core FROM co")
+def core_distance(spark, sf_dir):
+    return N.core_distances(_embed(spark, sf_dir), 25)
+
+
+@query(
+    "mutual_reachability",
+    f"""{_CORE_SQL}, mr AS (SELECT a, x.core, greatest(x.core, y.core, d) d FROM pr JOIN co x ON a = x.point_id JOIN co y ON b = y.point_id WHERE a <> b)
+SELECT a point_id, any_value(core) core, min(d) nearest, max(d) farthest FROM mr GROUP BY a""",
+)
+def mutual_reachability(spark, sf_dir):
+    return N.mutual_reachability(_embed(spark, sf_dir), 25)
+
+
+_K = 5
+
+
+@query(
+    "nearest_neighbours",
+    f"""WITH {_pts("embed")}, rd AS (SELECT point_id, radians(lat) la, radians(lon) lo FROM pts),
+pr AS (SELECT a.point_id, b.point_id neighbour, {_ANGLE} d FROM rd a JOIN rd b ON a.point_id <> b.point_id)
+SELECT point_id, CAST(row_number() OVER (PARTITION BY point_id ORDER BY d, neighbour) AS INTEGER) rank, neighbour, round(d, 8) distance FROM pr QUALIFY rank <= {_K}""",
+)
+def nearest_neighbours(spark, sf_dir):
+    """The nearest others of each point: the edges of a neighbour graph."""
+    return N.nearest_neighbours(_embed(spark, sf_dir), _K)
+
+
+@query(
+    "neighbours_orders",
+    f"""WITH {_pts("orders")}, rd AS (SELECT point_id, lat, lon, radians(lat) la, radians(lon) lo FROM pts),
+pr AS (SELECT a.point_id, {_ANGLE} d FROM rd a JOIN rd b ON b.lat BETWEEN a.lat - 12 AND a.lat + 12),
+k AS (SELECT point_id, d FROM pr QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY d) = 10)
+SELECT point_id, round(d, 8) core FROM k""",
+)
+def neighbours_orders(spark, sf_dir):
+    """Core distances of all orders' points, on a part of the sphere where they are dense and at its rim."""
+    return N.core_distances(view(spark, sf_dir, "orders"), 10)
+
+
+# --- scales ---------------------------------------------------------------------------------------------
+
+LEVELS = 6
+
+#: Every level counted on its own, from the points.
+_PYRAMID_SQL = f"""{_pts("biased")},
+b AS (SELECT min(lon) lo0, max(lon) lo1, min(lat) la0, max(lat) la1, count(*) nt, CAST(sum(outcome) AS BIGINT) pt FROM pts),
+lv AS (SELECT CAST(unnest(range({LEVELS + 1})) AS INTEGER) AS level),
+ce AS (
+  SELECT level, CAST(least(floor((lon - lo0) / (lo1 - lo0) * (1 << level)), (1 << level) - 1) AS BIGINT) j, CAST(least(floor((lat - la0) / (la1 - la0) * (1 << level)), (1 << level) - 1) AS BIGINT) i, nt, pt, outcome
+  FROM pts, b, lv),
+st AS (
+  SELECT level, CAST(list_sum(list_transform(range({LEVELS + 1}), lambda k: (((j >> k) & 1) << (2 * k)) + (((i >> k) & 1) << (2 * k + 1)))) AS BIGINT) AS cell, j, i, nt, pt, count(*) n, CAST(sum(outcome) AS BIGINT) p
+  FROM ce GROUP BY level, j, i, nt, pt),{_scored_sql("st")}"""
+_SCALES_SQL = f"""{_PYRAMID_SQL},
+gs AS (SELECT level, count(*) occupied, round(var_pop(rho), 6) + 0e0 meanvar, sum(n * ri * ri) / sum(n) - (sum(p) / CAST(sum(n) AS DOUBLE)) ** 2 bt, sum(p) / CAST(sum(n) AS DOUBLE) m,
+  max(sul) max_sul, arg_max(cell, (sul, -cell)) best_cell FROM sc GROUP BY level),
+sl AS (SELECT level, occupied, meanvar, round(greatest(0, bt), 6) + 0e0 "between", round(greatest(0, m * (1 - m) - greatest(0, bt)), 6) + 0e0 "within", round(greatest(0, bt) / (m * (1 - m)), 6) + 0e0 explained, max_sul, best_cell FROM gs)"""
+
+
+def _pyramid(spark, sf_dir):
+    return P.pyramid(view(spark, sf_dir, "biased"), LEVELS)
+
+
+@query("pyramid_cells", f"WITH {_PYRAMID_SQL} SELECT level, cell, j, i, n, p, rho, sul FROM sc")
+def pyramid_cells(spark, sf_dir):
+    """Cells of all scales from one count; SQL counts each level from the points."""
+    return _pyramid(spark, sf_dir)
+
+
+@query("pyramid_scales", f"WITH {_SCALES_SQL} SELECT * FROM sl")
+def pyramid_scales(spark, sf_dir):
+    """How the outcome's variance divides between and within cells at each scale."""
+    return P.scales(_pyramid(spark, sf_dir))
+
+
+def _told_sql(c: str) -> str:
+    return f"round(avg({c}), 6) + 0e0 {c}_mean, round(stddev_pop({c}), 6) + 0e0 {c}_spread, round(stddev_pop({c}) / avg({c}), 6) + 0e0 {c}_variation, arg_max(level, ({c}, -level)) {c}_level"
+
+
+@query("maup_sensitivity", f"WITH {_SCALES_SQL} SELECT count(*) levels, {_told_sql('meanvar')}, {_told_sql('max_sul')} FROM sl WHERE level > 0")
+def maup_sensitivity(spark, sf_dir):
+    """How far variance and largest score move with the scale."""
+    return P.sensitivity(P.scales(_pyramid(spark, sf_dir)))
+
+
+@query(
+    "region_stability",
+    f"""WITH {_PYRAMID_SQL}, f AS (SELECT cell, n fn FROM sc WHERE level = {LEVELS}), w AS (SELECT ri mean FROM sc WHERE level = 0),
+g AS (SELECT f.cell, any_value(fn) n, count(*) FILTER (ri > mean) above, count(*) FILTER (ri < mean) below, min(rho) rho_min, max(rho) rho_max FROM f JOIN sc ON level > 0 AND sc.cell = f.cell >> (2 * ({LEVELS} - level)), w GROUP BY f.cell)
+SELECT cell, n, above, below, round(greatest(above, below) / {LEVELS}e0, 6) agreement, rho_min, rho_max FROM g""",
+)
+def region_stability(spark, sf_dir):
+    """On how many scales each finest cell is told the same way."""
+    return P.stability(_pyramid(spark, sf_dir), LEVELS)

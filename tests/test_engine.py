@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from geoaudit.cli import fractions, parser
 from geoaudit.functions.scores import likelihood_ratio, min_cluster_size
-from geoaudit.operators import hdbscan, layers
+from geoaudit.operators import hdbscan, layers, neighbours
 from geoaudit.operators import regions as R
 from geoaudit.operators import significance as S
 from geoaudit.operators.scan import best_region, scored, variance_summary
@@ -248,21 +248,21 @@ def test_reachability_is_that_of_brute_force(spark, monkeypatch):
     where[5] = where[6]
     points = spark.createDataFrame([(100 - k, float(x), float(y), 0) for k, (x, y) in enumerate(where)], POINT)
     rad = np.radians(where[:, ::-1])
-    every = hdbscan._angles(rad, rad)
+    every = neighbours.angles(rad, rad)
     core = np.sort(every, axis=1)[:, 3]
     reach = np.maximum(np.maximum(core[:, None], core), every)
     reach[np.diag_indices(70)] = np.nan
-    monkeypatch.setattr(hdbscan, "_BLOCK", 16)
-    got = {r.point_id: (r.core, r.nearest, r.farthest) for r in hdbscan.mutual_reachability(points, 4).collect()}
+    monkeypatch.setattr(neighbours, "_LEAF", 16)
+    got = {r.point_id: (r.core, r.nearest, r.farthest) for r in neighbours.mutual_reachability(points, 4).collect()}
     assert len(got) == 70
     for k in range(70):
         assert got[100 - k] == pytest.approx((core[k], np.nanmin(reach[k]), np.nanmax(reach[k])), abs=2e-8)
-    assert {r.point_id: r.core for r in hdbscan.core_distances(points, 4).collect()} == {k: v[0] for k, v in got.items()}
+    assert {r.point_id: r.core for r in neighbours.core_distances(points, 4).collect()} == {k: v[0] for k, v in got.items()}
     few = points.limit(3)
-    assert hdbscan.core_distances(few, 4).count() == hdbscan.mutual_reachability(few, 4).count() == 0
+    assert neighbours.core_distances(few, 4).count() == neighbours.mutual_reachability(few, 4).count() == 0
     monkeypatch.setattr(hdbscan, "MOST_POINTS", 69)
     with pytest.raises(ValueError, match="70 points"):
-        hdbscan.core_distances(points, 4)
+        hdbscan.clusterings(points, (0.5,), 2)
 
 
 def test_two_blobs_and_an_outlier(spark):
