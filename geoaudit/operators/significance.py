@@ -15,10 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import likelihood_ratio, rounded
+from ..sources.written import Rounds
+from .places import with_places
 
 MODES = ("binomial", "portable", "fast", "exact")
-#: Boxes that are pruned at most: they are gone through in one row.
-MOST_RANKED = 100_000
 _ROWS = 1 << 16
 
 
@@ -138,7 +138,6 @@ def boxes_meet(a: Column, b: Column) -> Column:
 
 
 _BOX = ("lon_min", "lat_min", "lon_max", "lat_max")
-_BOXES = f"array<struct<rank: int, {', '.join(f'{c}: double' for c in _BOX)}>>"
 
 
 def overlapping_pairs(regions: DataFrame) -> DataFrame:
@@ -162,19 +161,46 @@ def overlapping_pairs(regions: DataFrame) -> DataFrame:
     return both.where(next(corner) & next(corner)).select("a", "b")
 
 
+def _touched(boxes: DataFrame, levels: list[int]) -> DataFrame:
+    """Boxes by the squares that they touch: of their own level (``own``) and of each coarser one that has boxes."""
+    upper = boxes.withColumn("lv", F.explode(F.filter(F.array(*map(F.lit, levels)), lambda x: x >= F.col("level")))).withColumn("own", F.col("lv") == F.col("level"))
+    for axis in ("lon", "lat"):
+        ends = (F.floor(F.col(f"{axis}_{end}") / F.pow(F.lit(2.0), F.col("lv"))) for end in ("min", "max"))
+        upper = upper.withColumn(f"at_{axis}", F.explode(F.sequence(*ends)))
+    return upper
+
+
+_SQUARE = ("lv", "at_lon", "at_lat")
+
+
 def pruned(ranked: DataFrame) -> DataFrame:
     """Ranked boxes without those that meet a box kept before them; ``kept_rank`` from 1.
 
-    Later decisions hang on earlier ones, so this is one fold over the ranked boxes: seeds by radii at most.
-    More than ``MOST_RANKED`` raise.
+    A box's fate hangs on those ranked before it that it meets, so all boxes that come first in every square that
+    they touch are kept at once, those that meet them go, and the rest has another round. Squares are as wide as
+    the boxes, a power of two, so that few boxes touch one without meeting; a box looks into the squares of its own
+    width and of wider boxes, and is seen there by these. A round joins each box with at most one kept box of a
+    square, never all that meet with each other. Ranks are different; boxes with null sides take no part.
     """
-    listed = F.collect_list(F.struct("rank", *_BOX))
-    rows = F.array_sort(listed)
-    rows = F.when(F.size(listed) <= MOST_RANKED, rows).otherwise(F.raise_error(F.lit(f"more than {MOST_RANKED} ranked boxes")).cast(_BOXES))
-    keep = F.aggregate(
-        rows,
-        F.slice(rows, 1, 0),
-        lambda kept, x: F.when(F.exists(kept, lambda y: boxes_meet(x, y)), kept).otherwise(F.array_append(kept, x)),
-    )
-    places = ranked.limit(MOST_RANKED + 1).agg(F.transform(keep, lambda x: x["rank"]).alias("ranks")).select(F.posexplode("ranks").alias("at", "rank"))
-    return ranked.join(places, "rank").withColumn("kept_rank", F.col("at") + 1).drop("at")
+    rounds = Rounds(ranked.sparkSession, "pruned")
+    side = F.greatest(F.col("lon_max") - F.col("lon_min"), F.col("lat_max") - F.col("lat_min"))
+    level = F.ceil(F.log2(F.greatest(side, F.lit(2.0**-40)))).cast("int")
+    left = rounds.kept(ranked.select("rank", *_BOX, level.alias("level")).where(level.isNotNull()))
+    winners = None
+    while True:
+        levels = sorted(r[0] for r in left.select("level").distinct().collect())  # powers of two
+        if not levels:
+            break
+        looks = _touched(left, levels)
+        first = looks.groupBy(*_SQUARE).agg(F.min("rank").alias("first"), F.min(F.when(F.col("own"), F.col("rank"))).alias("first_own"))
+        # Another box counts in a square if either of the two is as wide as it.
+        behind = looks.join(first, list(_SQUARE)).where(F.when(F.col("own"), F.col("first")).otherwise(F.col("first_own")) < F.col("rank"))
+        now = rounds.kept(left.join(behind.select("rank").distinct(), "rank", "left_anti"))
+        kept = _touched(now, levels).select(*_SQUARE, F.col("own").alias("wide"), F.struct(*_BOX).alias("kept"))
+        gone = looks.join(kept, list(_SQUARE)).where((F.col("own") | F.col("wide")) & boxes_meet(F.struct(*_BOX), F.col("kept")))
+        left = rounds.kept(left.join(gone.select("rank").distinct(), "rank", "left_anti"))
+        winners = now if winners is None else winners.unionByName(now)
+    if winners is None:
+        return ranked.limit(0).withColumn("kept_rank", F.lit(0))
+    places = with_places(winners.select("rank"), [F.asc("rank")], rounds)
+    return ranked.join(places, "rank").withColumn("kept_rank", (F.col("place") + 1).cast("int")).drop("place")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -227,13 +228,61 @@ def test_overlapping_pairs_are_those_of_brute_force(spark):
     assert S.overlapping_pairs(spark.createDataFrame([], schema)).count() == 0
 
 
-def test_too_many_ranked_boxes_raise(spark, monkeypatch):
-    ranked = spark.createDataFrame([(k, k + 1, float(k), 0.0, k + 0.5, 0.5) for k in range(4)], "region_id long, rank int, lon_min double, lat_min double, lon_max double, lat_max double")
-    monkeypatch.setattr(S, "MOST_RANKED", 4)
-    assert S.pruned(ranked).count() == 4
-    monkeypatch.setattr(S, "MOST_RANKED", 3)
-    with pytest.raises(Exception, match="more than 3 ranked boxes"):
-        S.pruned(ranked).count()
+BOXES = "region_id long, rank int, lon_min double, lat_min double, lon_max double, lat_max double"
+
+
+def _greedy(boxes):
+    """Ranks that are kept, one box after another, with kept boxes looked up by the unit squares that they touch."""
+    kept, by = [], {}
+    for rank, a in enumerate(boxes, 1):
+        squares = [(x, y) for x in range(int(np.floor(a[0])), int(np.floor(a[2])) + 1) for y in range(int(np.floor(a[1])), int(np.floor(a[3])) + 1)]
+        if not any(a[2] >= b[0] and b[2] >= a[0] and a[3] >= b[1] and b[3] >= a[1] for s in squares for b in by.get(s, ())):
+            kept.append(rank)
+            for s in squares:
+                by.setdefault(s, []).append(a)
+    return kept
+
+
+@pytest.mark.parametrize("kind", ["mixed", "nested", "grid", "flat"])
+def test_pruning_is_that_of_one_fold(spark, kind):
+    """Boxes of very different sizes, squares inside each other, cells with common edges, and points and lines."""
+    rng = np.random.default_rng(15)
+    if kind == "mixed":
+        at, side = rng.uniform(-30, 30, (700, 2)), 2.0 ** rng.uniform(-6, 4, (700, 1))
+        boxes = np.concatenate([at, at + side * rng.uniform(0.2, 1, (700, 2))], axis=1)
+    elif kind == "nested":
+        at = np.repeat(rng.uniform(-9, 9, (30, 2)), 20, axis=0)
+        r = np.tile(np.arange(1, 21) * 0.1, 30)[:, None]
+        boxes = np.concatenate([at - r, at + r], axis=1)
+    elif kind == "grid":
+        j, i = np.divmod(np.arange(400), 20)
+        boxes = np.stack([j, i, j + 1, i + 1], axis=1).astype(float)
+    else:
+        at = rng.integers(-5, 5, (200, 2)).astype(float)
+        boxes = np.concatenate([at, at + rng.integers(0, 2, (200, 2)) * [2, 0]], axis=1)
+    boxes = rng.permutation(boxes).tolist()
+    ranked = spark.createDataFrame([(k, k + 1, *b) for k, b in enumerate(boxes)], BOXES).repartition(3)
+    got = sorted((r.kept_rank, r["rank"]) for r in S.pruned(ranked).collect())
+    assert got == list(enumerate(_greedy(boxes), 1))
+
+
+def test_pruning_many_boxes(spark):
+    """As many boxes as one row could not hold."""
+    n = 300_000
+    rng = np.random.default_rng(16)
+    at = rng.uniform(0, 700, (n, 2))
+    boxes = np.concatenate([at, at + rng.uniform(0.3, 1, (n, 2))], axis=1)
+    frame = pd.DataFrame(boxes, columns=["lon_min", "lat_min", "lon_max", "lat_max"]).assign(region_id=range(n), rank=range(1, n + 1))
+    got = [r["rank"] for r in S.pruned(spark.createDataFrame(frame)).select("rank").collect()]
+    assert sorted(got) == _greedy(boxes.tolist())
+
+
+def test_pruning_boxes_that_all_meet(spark):
+    """Pairs that meet are never listed: twenty thousand boxes over one place leave one."""
+    k = F.col("id")
+    ranked = spark.range(20_000).select(k.alias("region_id"), (k + 1).cast("int").alias("rank"), (-1 - k % 7).cast("double").alias("lon_min"), F.lit(-1.0).alias("lat_min"), F.lit(1.0).alias("lon_max"), (1 + k % 5).cast("double").alias("lat_max"))
+    assert [(r["rank"], r.kept_rank) for r in S.pruned(ranked).collect()] == [(1, 1)]
+    assert S.pruned(ranked.limit(0)).count() == 0
 
 
 def test_rows_are_numbered_over_partitions(spark):
