@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from ..functions.scores import rate, rounded
 from ..sources.points import Profile, profile
 from ..sources.written import Rounds
-from .regions import counted
 from .scan import scored
 
 #: The bits of a key are those of a column and a row in turn, 31 of each at most.
@@ -53,7 +52,7 @@ def pyramid(points: DataFrame, levels: int, p: Profile | None = None) -> DataFra
     cells; the levels above are sums over those. No points give no cells.
     """
     p = p or profile(points)
-    finest = counted(with_finest(points, p, levels).select("j", "i", "outcome"), "j", "i")
+    finest = with_finest(points, p, levels).groupBy("j", "i").agg(F.count("*").alias("n"), F.sum(F.col("outcome").cast("long")).alias("p"))
     finest = Rounds(points.sparkSession, "pyramid").kept(finest.withColumn("key", z_order(F.col("j"), F.col("i"))))
     level = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")
     up = f"{levels} - level"

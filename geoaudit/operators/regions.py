@@ -10,10 +10,12 @@ from __future__ import annotations
 import random
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.points import Profile, profile
+from .kmeans import first_centres, lloyd, nearest_to
 
 NO_GRID = 0
 
@@ -113,15 +115,10 @@ def nearest_points(points: DataFrame, centres: list[tuple[float, float]]) -> Dat
 
     One pass with one minimum for each centre: centres are few, points are not.
     """
-    spark, kind = points.sparkSession, "seed_rank int, center long, lon double, lat double"
     if not centres:
-        return spark.createDataFrame([], kind)
-    found = []
-    for at in range(0, len(centres), 20):  # few enough at a time for one generated function
-        least = [F.min(F.struct(((F.col("lon") - x) * (F.col("lon") - x) + (F.col("lat") - y) * (F.col("lat") - y)).alias("d"), "point_id", "lon", "lat")).alias(f"c{k}") for k, (x, y) in enumerate(centres[at : at + 20])]
-        row = points.agg(*least).first()
-        found += [(at + k, c["point_id"], c["lon"], c["lat"]) for k, c in enumerate(row) if c is not None]
-    return spark.createDataFrame(found, kind)
+        return points.sparkSession.createDataFrame([], "seed_rank int, center long, lon double, lat double")
+    found = nearest_to(points, np.array(centres, float).reshape(-1, 2))
+    return found.select(F.col("c").cast("int").alias("seed_rank"), F.col("point_id").alias("center"), "lon", "lat")
 
 
 def kmeans_seeds(points: DataFrame, n_seeds: int, seed: int = 42) -> DataFrame:
@@ -129,20 +126,11 @@ def kmeans_seeds(points: DataFrame, n_seeds: int, seed: int = 42) -> DataFrame:
 
     Where KMeans finds fewer centres (equal points), seeds are repeated to make up the number.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
     k = min(n_seeds, points.count())
     if k == 0:
         return nearest_points(points, [])
-    if k == 1:
-        centre = points.agg(F.avg("lon"), F.avg("lat")).first()
-        return nearest_points(points, [tuple(centre)])
-    rows = VectorAssembler(inputCols=["lon", "lat"], outputCol="features").transform(points.select("lon", "lat"))
-    model = KMeans(k=k, seed=seed, initMode="random").fit(rows.persist())
-    rows.unpersist()
-    centres = [(float(x), float(y)) for x, y in model.clusterCenters()]
-    return nearest_points(points, [centres[i % len(centres)] for i in range(k)])
+    centres = lloyd(points, first_centres(points, k, seed))
+    return nearest_points(points, [tuple(centres[i % len(centres)]) for i in range(k)])
 
 
 def squares(seeds: DataFrame, radii: list[float]) -> DataFrame:

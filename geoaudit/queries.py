@@ -11,6 +11,7 @@ from .functions.scores import min_cluster_size, rounded
 from .operators import hdbscan, layers
 from .operators import regions as R
 from .operators import significance as S
+from .operators.kmeans import DIGITS, STEPS, SUMMARY_LEVELS
 from .operators.scan import best_region, deviations, scored, variance_summary
 from .plans.audit import MOST_BOXES
 from .plans.report import params_json
@@ -227,8 +228,36 @@ def nearest_seed(spark, sf_dir):
     return R.nearest_points(view(spark, sf_dir, "orders"), CENTRES)
 
 
-@query("kmeans_seeds")
+def _kmeans_sql(k: int, seed: int) -> str:
+    """CTEs up to ``sd``, the seeds: centres drawn from the cells' means one after another, then moved over all points."""
+    n, digits, uniform = 1 << SUMMARY_LEVELS, DIGITS, f"CAST(CAST('0x' || substr(md5('{seed}|' || step || '|' || cell), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496e0"
+    wait = f"CASE WHEN away > 0 THEN -ln(1 - {uniform}) / (w * away) END"
+    return f"""{_pts("orders")},
+bx AS (SELECT min(lon) lo0, max(lon) lo1, min(lat) la0, max(lat) la1 FROM pts),
+su AS (
+  SELECT i * {n} + j cell, count(*) w, round(avg(lon), {digits}) x, round(avg(lat), {digits}) y
+  FROM (SELECT lon, lat, CAST(least(floor((lon - lo0) / (lo1 - lo0) * {n}), {n - 1}) AS BIGINT) j, CAST(least(floor((lat - la0) / (la1 - la0) * {n}), {n - 1}) AS BIGINT) i FROM pts, bx) GROUP BY i, j),
+dw AS (
+  SELECT 0 step, cell, w, x, y, 1e0 away FROM su
+  UNION ALL
+  SELECT step + 1, cell, w, x, y, CASE WHEN step = 0 THEN d ELSE least(away, d) END
+  FROM (SELECT *, (x - to_.x) * (x - to_.x) + (y - to_.y) * (y - to_.y) d FROM (SELECT *, arg_min({{'x': x, 'y': y}}, ({wait}, cell)) OVER () to_ FROM dw)) WHERE step < {k}),
+fc AS (SELECT step c, x, y FROM dw WHERE step < {k} QUALIFY row_number() OVER (PARTITION BY step ORDER BY {wait}, cell) = 1),
+ll AS (
+  SELECT 0 step, c, x, y FROM fc
+  UNION ALL
+  SELECT any_value(step) + 1, c, coalesce(round(avg(lon), {digits}), any_value(x)), coalesce(round(avg(lat), {digits}), any_value(y))
+  FROM (SELECT ll.*, near.lon, near.lat FROM ll LEFT JOIN (
+    SELECT point_id, any_value(lon) lon, any_value(lat) lat, arg_min(c, ((lon - x) * (lon - x) + (lat - y) * (lat - y), c)) own FROM pts, ll GROUP BY point_id) near ON own = c)
+  WHERE step < {STEPS} GROUP BY c),
+sd AS (
+  SELECT c seed_rank, point_id center, lon, lat FROM ll, pts WHERE step = {STEPS}
+  QUALIFY row_number() OVER (PARTITION BY c ORDER BY (lon - x) * (lon - x) + (lat - y) * (lat - y), point_id) = 1)"""
+
+
+@query("kmeans_seeds", f"WITH RECURSIVE {_kmeans_sql(20, 42)} SELECT CAST(seed_rank AS INTEGER) seed_rank, center, lon, lat FROM sd")
 def kmeans_seeds(spark, sf_dir):
+    """Points nearest to the centres of KMeans, as many as asked for."""
     return R.kmeans_seeds(view(spark, sf_dir, "orders"), 20, 42)
 
 
