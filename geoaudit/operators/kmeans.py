@@ -42,12 +42,17 @@ def first_centres(points: DataFrame, k: int, seed: int) -> np.ndarray:
     cells.sort(key=lambda r: (r.i, r.j))
     at, weight = np.array([(r.x, r.y) for r in cells]).reshape(-1, 2), np.array([r.w for r in cells], float)
     names = np.array([r.i * (1 << SUMMARY_LEVELS) + r.j for r in cells])
-    out, away = [], np.ones(len(cells))
-    for step in range(min(k, len(cells))):
+    return drawn(at, weight, names, k, seed)
+
+
+def drawn(at: np.ndarray, weight: np.ndarray, names: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """``k`` of the places ``at``, one after another, fewer where no others are left."""
+    out, away = [], np.ones(len(at))
+    for step in range(min(k, len(at))):
         rate = weight * away
         if not (rate > 0).any():
             break
-        with np.errstate(divide="ignore"):
+        with np.errstate(divide="ignore", invalid="ignore"):
             # Cells at a centre wait for ever.
             first = int(np.where(rate > 0, _waits(seed, step, names) / rate, np.inf).argmin())
         out.append(at[first])

@@ -136,12 +136,14 @@ def farthest_bounds(a: str, b: str) -> tuple[Column, Column]:
 
 def candidates(tree: Tree, bounds: Bounds, need: int, rounds: Rounds) -> DataFrame:
     """``q, to, low``: leaves, and those that may hold one of the ``need`` smallest answers for one of their places."""
-    root = F.struct(*(F.lit(0).alias(c) for c in _NODE))
-    here = tree.leaves.select(F.col("node").alias("q"), F.col("box").alias("a"), root.alias("at"))
+    here = tree.leaves.select(F.col("node").alias("q"), F.col("box").alias("a"))
+    # All begin at the root, which has 64 nodes below it at most.
+    root = F.broadcast(tree.steps.where("from.l = 0").select(F.col("node").alias("to"), F.col("box").alias("b")))
     steps = tree.steps.select(F.col("from").alias("at"), F.col("node").alias("to"), F.col("box").alias("b"))
     low, high = bounds("a", "b")
     for level in range(max(1, tree.depth)):
-        seen = here.join(steps, "at").select("q", "a", "to", F.col("b.n").alias("n"), low.alias("low"), high.alias("high"))
+        met = here.join(steps, "at") if level else here.crossJoin(root)
+        seen = met.select("q", "a", "to", F.col("b.n").alias("n"), low.alias("low"), high.alias("high"))
         # The answer that so many points are sure to reach.
         sure = F.sum("n").over(Window.partitionBy("q").orderBy("high"))
         seen = seen.withColumn("sure", F.when(sure >= need, F.col("high"))).withColumn("bound", F.min("sure").over(Window.partitionBy("q")))

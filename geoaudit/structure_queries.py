@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .functions.scores import rounded
 from .operators import autocorrelation as A
+from .operators import communities as C
+from .operators import layers
 from .operators import neighbours as N
+from .operators import polygons as G
 from .operators import pyramid as P
 from .operators import regions as R
 from .operators.dbscan import cluster_table, dbscan
+from .operators.scan import scored
 from .queries import GRID, SEED, _cells_sql, _pts, _scored_sql, query
 from .sources.points import profile, view
 
@@ -259,3 +264,91 @@ SELECT cell, n, above, below, round(greatest(above, below) / {LEVELS}e0, 6) agre
 def region_stability(spark, sf_dir):
     """On how many scales each finest cell is told the same way."""
     return P.stability(_pyramid(spark, sf_dir), LEVELS)
+
+
+# --- polygons -------------------------------------------------------------------------------------------
+
+#: Hulls of the groups of `embed`, their sides in order round the middle, and measures, without the operators' own ways.
+_HULL_SQL = f"""{_pts("embed")}, d AS (SELECT DISTINCT label, lon, lat FROM pts),
+e AS (SELECT a.label, a.lon ax, a.lat ay, b.lon bx, b.lat by_ FROM d a JOIN d b ON a.label = b.label AND (a.lon <> b.lon OR a.lat <> b.lat)),
+bad AS (SELECT DISTINCT e.label, ax, ay, bx, by_ FROM e JOIN d c ON e.label = c.label WHERE (bx - ax) * (c.lat - ay) - (by_ - ay) * (c.lon - ax) < 0),
+side AS MATERIALIZED (SELECT label, ax, ay, bx, by_ FROM e ANTI JOIN bad USING (label, ax, ay, bx, by_)),
+inn AS (SELECT side.label, point_id, min((bx - ax) * (lat - ay) - (by_ - ay) * (lon - ax)) >= 0 inside FROM side, pts GROUP BY side.label, point_id)"""
+
+
+def _hulls(spark, sf_dir):
+    return layers.hulls(_embed(spark, sf_dir), "label").select(F.col("label").alias("id"), F.col("hull").alias("ring"))
+
+
+@query(
+    "polygon_measures",
+    f"""WITH {_HULL_SQL},
+m AS (SELECT label, count(*) vertices, sum(ax * by_ - bx * ay) / 2 area, sum(sqrt((ax - bx) ** 2 + (ay - by_) ** 2)) perimeter, sum((ax + bx) * (ax * by_ - bx * ay)) cx, sum((ay + by_) * (ax * by_ - bx * ay)) cy FROM side GROUP BY label)
+SELECT label id, CAST(vertices AS INTEGER) vertices, round(area, 6) area, round(perimeter, 6) perimeter, round(4 * pi() * area / (perimeter * perimeter), 6) compactness, round(cx / (6 * area), 6) center_lon, round(cy / (6 * area), 6) center_lat FROM m""",
+)
+def polygon_measures(spark, sf_dir):
+    """Area, perimeter, compactness and centroid of each group's hull."""
+    rows = G.with_measures(_hulls(spark, sf_dir))
+    return rows.select("id", "vertices", *(F.round(c, 6).alias(c) for c in ("area", "perimeter", "compactness", "center_lon", "center_lat")))
+
+
+@query("points_in_polygons", f"WITH {_HULL_SQL} SELECT inn.label id, count(*) n, CAST(sum(outcome) AS BIGINT) p FROM inn JOIN pts USING (point_id) WHERE inside GROUP BY inn.label")
+def points_in_polygons(spark, sf_dir):
+    """All points that lie in each group's hull, whatever their group."""
+    inside = G.points_in(_embed(spark, sf_dir).select("point_id", "lon", "lat", "outcome"), _hulls(spark, sf_dir))
+    return inside.groupBy("id").agg(F.count("*").alias("n"), F.sum(F.col("outcome").cast("long")).alias("p"))
+
+
+_CLUSTER_SIDES_SQL = f"""{_dbscan_sql("blobs", *_DENSE)},
+d AS (SELECT DISTINCT cluster, lon, lat FROM db JOIN pts USING (point_id) WHERE cluster IS NOT NULL),
+ex AS (SELECT * FROM d QUALIFY count(*) OVER (PARTITION BY cluster) > 1),
+e AS (SELECT a.cluster, a.lon ax, a.lat ay, b.lon bx, b.lat by_ FROM ex a JOIN ex b ON a.cluster = b.cluster AND (a.lon <> b.lon OR a.lat <> b.lat)),
+bad AS (SELECT DISTINCT e.cluster, ax, ay, bx, by_ FROM e JOIN d c ON e.cluster = c.cluster
+  WHERE (bx - ax) * (c.lat - ay) - (by_ - ay) * (c.lon - ax) < 0
+    OR ((bx - ax) * (c.lat - ay) - (by_ - ay) * (c.lon - ax) = 0 AND ((bx - ax) * (c.lon - ax) + (by_ - ay) * (c.lat - ay) < 0 OR (ax - bx) * (c.lon - bx) + (ay - by_) * (c.lat - by_) < 0))),
+side AS MATERIALIZED (SELECT cluster, ax, ay, bx, by_ FROM e ANTI JOIN bad USING (cluster, ax, ay, bx, by_) UNION ALL SELECT cluster, lon, lat, lon, lat FROM d QUALIFY count(*) OVER (PARTITION BY cluster) = 1)"""
+
+
+@query(
+    "cluster_isolation",
+    f"""{_CLUSTER_SIDES_SQL},
+pp AS (
+  SELECT s.cluster id, t.cluster nearest, (s.ax - t.ax - k * (t.bx - t.ax)) ** 2 + (s.ay - t.ay - k * (t.by_ - t.ay)) ** 2 d
+  FROM (SELECT *, least(1, greatest(0, coalesce(((s.ax - t.ax) * (t.bx - t.ax) + (s.ay - t.ay) * (t.by_ - t.ay)) / nullif((t.bx - t.ax) ** 2 + (t.by_ - t.ay) ** 2, 0), 0))) k
+    FROM side s JOIN side t ON s.cluster <> t.cluster) x(cluster, ax, ay, bx, by_, cluster_1, ax_1, ay_1, bx_1, by_1, k), LATERAL (SELECT cluster, ax, ay) s, LATERAL (SELECT cluster_1 cluster, ax_1 ax, ay_1 ay, bx_1 bx, by_1 by_) t),
+ov AS (SELECT DISTINCT s.cluster id, t.cluster nearest FROM side s JOIN side t ON s.cluster <> t.cluster AND sign((s.bx - s.ax) * (t.ay - s.ay) - (s.by_ - s.ay) * (t.ax - s.ax)) * sign((s.bx - s.ax) * (t.by_ - s.ay) - (s.by_ - s.ay) * (t.bx - s.ax)) < 0
+  AND sign((t.bx - t.ax) * (s.ay - t.ay) - (t.by_ - t.ay) * (s.ax - t.ax)) * sign((t.bx - t.ax) * (s.by_ - t.ay) - (t.by_ - t.ay) * (s.bx - t.ax)) < 0),
+hd AS (SELECT s.cluster id, c.cluster nearest FROM side s JOIN d c ON c.cluster <> s.cluster GROUP BY s.cluster, c.cluster, c.lon, c.lat HAVING min((s.bx - s.ax) * (c.lat - s.ay) - (s.by_ - s.ay) * (c.lon - s.ax)) >= 0 AND count(*) > 2),
+al AS (SELECT id, nearest, least(min(d), any_value(0e0) FILTER (false)) d FROM (SELECT id, nearest, d FROM pp UNION ALL SELECT nearest, id, d FROM pp UNION ALL SELECT id, nearest, 0 FROM ov UNION ALL SELECT id, nearest, 0 FROM hd UNION ALL SELECT nearest, id, 0 FROM hd) GROUP BY id, nearest)
+SELECT id, arg_min(nearest, (d, nearest)) nearest, round(sqrt(min(d)), 6) + 0e0 distance FROM al GROUP BY id""",
+)
+def cluster_isolation(spark, sf_dir):
+    """How far the polygon of each density cluster is from the nearest other one's."""
+    points = view(spark, sf_dir, "blobs")
+    members = dbscan(points, *_DENSE).where("cluster is not null").join(points, "point_id")
+    found = G.nearest_others(layers.hulls(members, "cluster").select(F.col("cluster").alias("id"), F.col("hull").alias("ring")))
+    return found.select("id", "nearest", rounded(F.col("distance")).alias("distance"))
+
+
+@query(
+    "segregation_cells",
+    f"""WITH {_pts("biased")},{_cells_sql()},
+s AS (SELECT n, p, p / CAST(n AS DOUBLE) r, sum(n) OVER () nt, sum(p) OVER () pt FROM st WHERE n > 0),
+h AS (SELECT *, -(CASE WHEN r > 0 THEN r * ln(r) ELSE 0 END + CASE WHEN r < 1 THEN (1 - r) * ln(1 - r) ELSE 0 END) e, pt / CAST(nt AS DOUBLE) r0 FROM s)
+SELECT round(sum(abs(p / CAST(pt AS DOUBLE) - (n - p) / CAST(nt - pt AS DOUBLE))) / 2, 6) dissimilarity, round(sum(p / CAST(pt AS DOUBLE) * r), 6) isolation, round(sum(p / CAST(pt AS DOUBLE) * (1 - r)), 6) exposure,
+  round(1 - sum(n / CAST(nt AS DOUBLE) * e) / any_value(-(r0 * ln(r0) + (1 - r0) * ln(1 - r0))), 6) heterogeneity, round(sum(n / CAST(nt AS DOUBLE) * 2 * r * (1 - r)), 6) gini FROM h""",
+)
+def segregation_cells(spark, sf_dir):
+    """Indices of how unevenly the outcome lies over the cells."""
+    points = view(spark, sf_dir, "biased")
+    return G.segregation(R.grid_of(points, GRID, GRID, profile(points)))
+
+
+@query("cell_communities")
+def cell_communities(spark, sf_dir):
+    """Communities of the graph of cells as regions of the audit: cells, points and scores. Held against brute force in tests."""
+    points = view(spark, sf_dir, "biased")
+    p = profile(points)
+    cells = R.grid_of(points, 10, 10, p).withColumnRenamed("region_id", "id").where("n > 0")
+    own = cells.join(C.louvain(C.cell_graph(cells))[0].withColumnRenamed("node", "id"), "id", "left").withColumn("region_id", F.coalesce("community", "id"))
+    return scored(own.groupBy("region_id").agg(F.count("*").alias("cells"), F.sum("n").alias("n"), F.sum("p").alias("p")), p.n, p.p)

@@ -9,9 +9,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoaudit.operators import autocorrelation as A
+from geoaudit.operators import communities as C
 from geoaudit.operators import dbscan as D
+from geoaudit.operators import kmeans as K
 from geoaudit.operators import neighbours as N
+from geoaudit.operators import polygons as G
 from geoaudit.operators import pyramid as P
+from geoaudit.operators import regions as R
 from geoaudit.operators.components import components
 from geoaudit.operators.places import with_places
 from geoaudit.sources.points import profile, view
@@ -56,7 +60,7 @@ def test_shares_of_dealings(spark):
     for k in range(6):
         w[k, k + 1] = w[k + 1, k] = 1
     values, weights = tables(spark, x, w)
-    dealt = A.permuted(values.select("id", F.col("x").alias("z")), 20, 3).collect()
+    dealt = A.permuted(values.select("id", F.col("x").alias("z")), 20, 3, Rounds(spark, "t")).collect()
     by = {p: sorted(r.z for r in dealt if r.permutation == p) for p in range(1, 21)}
     assert all(v == sorted(x) for v in by.values()) and len({tuple(r.z for r in sorted(dealt, key=lambda r: r.id) if r.permutation == p) for p in by}) > 15
     every = np.array([moran_geary(x[list(p)], w) for p in itertools.permutations(range(7))])
@@ -317,3 +321,162 @@ def test_pyramid_of_odd_points(spark):
     assert P.stability(P.pyramid(one, 0), 0).count() == 0
     with pytest.raises(ValueError):
         P.pyramid(one, 32)
+
+
+# --- communities ------------------------------------------------------------------------------------------
+
+
+def modularity(w, label):
+    """By definition, with loops on the diagonal counted twice."""
+    a = w + w.T
+    k, m2 = a.sum(axis=1), a.sum()
+    same = np.equal.outer(label, label)
+    return ((a - np.outer(k, k) / m2) * same).sum() / m2
+
+
+def partitions(n):
+    if n == 0:
+        yield []
+        return
+    for p in partitions(n - 1):
+        for c in range(max(p, default=-1) + 2):
+            yield [*p, c]
+
+
+def test_modularity_by_definition(spark):
+    rng = np.random.default_rng(17)
+    w = np.triu(rng.integers(0, 5, (7, 7)))
+    label = np.array([0, 0, 2, 2, 4, 4, 4])
+    edges = spark.createDataFrame([(a, b, int(w[a, b])) for a, b in zip(*map(np.ndarray.tolist, np.nonzero(w)))], "a long, b long, w long")
+    own = spark.createDataFrame(list(enumerate(label.tolist())), "node long, c long")
+    n, d = C.modularity_parts(C._both_ways(edges), own)
+    assert n / d == pytest.approx(modularity(w, label))
+
+
+def test_communities_of_small_graphs(spark):
+    """Two cliques with one link beside a part without, and a ring of triangles: as good as the best of all partitions."""
+    two = [(a, b) for s in (range(3), range(3, 6)) for a, b in itertools.combinations(s, 2)] + [(2, 3)]
+    ring = [(3 * t + a, 3 * t + b) for t in range(3) for a, b in ((0, 1), (0, 2), (1, 2))] + [(2, 3), (5, 6), (8, 0)]
+    apart = [(0, 1), (1, 2), (0, 2)]
+    for pairs in ([*two, *((a + 6, b + 6) for a, b in apart)], ring):
+        n = max(map(max, pairs)) + 1
+        w = np.zeros((n, n), int)
+        for a, b in pairs:
+            w[a, b] += 1
+        found, values = C.louvain(spark.createDataFrame([(a, b, 1) for a, b in pairs], "a long, b long, w long"))
+        got = {r.node: r.community for r in found.collect()}
+        nodes = sorted(got)
+        best = max(modularity(w[np.ix_(nodes, nodes)], np.array(p)) for p in partitions(len(nodes)))
+        assert values[-1] == pytest.approx(best) == modularity(w[np.ix_(nodes, nodes)], np.array([got[k] for k in nodes]))
+        assert values == sorted(values) and all(c == min(k for k in got if got[k] == c) for c in got.values())
+
+
+def test_communities_do_not_hang_on_the_layout(spark, sf):
+    points = view(spark, sf, "biased")
+    cells = R.grid_of(points, 5, 5, profile(points)).where("n > 0").withColumnRenamed("region_id", "id")
+    edges = C.cell_graph(cells)
+    one, values = C.louvain(edges)
+    two, again = C.louvain(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w").repartition(7))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect())) and values == again
+    assert values == sorted(values) and values[-1] > 0.2
+    assert one.count() == cells.join(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id").count()
+
+
+def test_communities_of_odd_edges(spark):
+    rows = spark.createDataFrame([(1, 2, 3), (1, 2, 4), (2, 1, 1), (3, 3, 5), (4, 5, 0), (6, 7, None), (8, 9, -1)], "a long, b long, w long")
+    found, values = C.louvain(rows)
+    assert {(r.node, r.community) for r in found.collect()} == {(1, 1), (2, 1), (3, 3)}
+    assert values == sorted(values)
+    assert C.louvain(rows.limit(0))[0].count() == 0
+
+
+# --- polygons ---------------------------------------------------------------------------------------------
+
+
+def rings(spark, found):
+    return spark.createDataFrame([(k, [(float(x), float(y)) for x, y in r]) for k, r in found.items()], "id long, ring array<struct<lon: double, lat: double>>")
+
+
+def _inside(ring, p):
+    """By the angles under which the sides are seen; on a side counts."""
+    whole = 0.0
+    for a, b in zip(ring, ring[1:] + ring[:1]):
+        u, v = np.subtract(a, p), np.subtract(b, p)
+        cross, dot = u[0] * v[1] - u[1] * v[0], float(np.dot(u, v))
+        if abs(cross) < 1e-12 and dot <= 0:
+            return True
+        whole += np.arctan2(cross, dot)
+    return abs(whole) > 3
+
+
+STAR = [(0.0, 0.0), (4.0, 1.0), (8.0, 0.0), (5.0, 3.0), (6.0, 7.0), (4.0, 4.0), (1.0, 7.0), (2.0, 3.0)]
+
+
+def test_measures_of_known_shapes(spark):
+    turn = [(1e6 + 3 * np.cos(t), 3 * np.sin(t)) for t in np.linspace(0, 2 * np.pi, 721)[:-1]]
+    got = {r.id: r for r in G.with_measures(rings(spark, {1: [(0, 0), (2, 0), (2, 2), (0, 2)], 2: [(5, 5)], 3: [(0, 0), (3, 4)], 4: turn, 5: [(0, 0), (0, 2), (2, 2), (2, 0)]})).collect()}
+    assert (got[1].area, got[1].perimeter, got[1].center_lon, got[1].center_lat, got[1].vertices) == (4, 8, 1, 1, 4) and got[1].compactness == pytest.approx(np.pi / 4)
+    assert (got[2].area, got[2].perimeter, got[2].compactness, got[2].center_lon) == (0, 0, None, 5)
+    assert (got[3].area, got[3].perimeter, got[3].compactness, got[3].center_lat) == (0, 10, 0, 2)
+    assert got[4].compactness == pytest.approx(1, abs=1e-4) and got[4].center_lon == pytest.approx(1e6) and got[4].area == pytest.approx(9 * np.pi, rel=1e-4)
+    assert got[5].area == 4 and got[5].center_lon == 1  # the other way round
+
+
+def test_points_in_polygons_by_brute_force(spark):
+    rng = np.random.default_rng(19)
+    found = {1: STAR, 2: [(x + 2.5, y - 1) for x, y in STAR], 3: [(-9, -9), (9, -9), (9, 9), (-9, 9)], 4: [(1, 1)], 5: [(0, 0), (3, 0)]}
+    where = np.concatenate([rng.uniform(-3, 11, (300, 2)), rng.integers(-1, 9, (200, 2)), STAR])
+    points = frame(spark, where)
+    got = {(r.point_id, r.id) for r in G.points_in(points, rings(spark, found)).collect()}
+    assert got == {(k, i) for k, p in enumerate(where) for i, ring in found.items() if _inside([tuple(map(float, v)) for v in ring], p)}
+    assert G.points_in(points.limit(0), rings(spark, found)).count() == 0
+
+
+def test_nearest_other_polygons(spark):
+    square = lambda x, y, s=1.0: [(x, y), (x + s, y), (x + s, y + s), (x, y + s)]
+    found = {1: square(0, 0), 2: square(3, 0), 3: square(0.5, 0.5), 4: square(100, 100), 5: square(40, 0, 20), 6: [(50.0, 10.0)], 7: [(62.0, 0.0), (62.0, 9.0)], 8: square(-50, 3)}
+    got = {r.id: (r.nearest, round(r.distance, 6)) for r in G.nearest_others(rings(spark, found)).collect()}
+    assert got == {1: (3, 0), 2: (3, 1.5), 3: (1, 0), 4: (5, round(np.hypot(40, 80), 6)), 5: (6, 0), 6: (5, 0), 7: (5, 2), 8: (1, round(np.hypot(49, 2), 6))}
+    assert G.nearest_others(rings(spark, {1: STAR})).count() == 0
+    crossing = {1: [(0, 1), (9, 1), (9, 2), (0, 2)], 2: [(4, 0), (5, 0), (5, 3), (4, 3)]}  # no corner of one in the other
+    assert {r.distance for r in G.nearest_others(rings(spark, crossing)).collect()} == {0.0}
+
+
+def test_segregation_of_known_regions(spark):
+    regions = spark.createDataFrame([(1, 10, 10), (2, 10, 0), (3, 0, 0)], "region_id long, n long, p long")
+    assert G.segregation(regions).first() == (1.0, 1.0, 0.0, 1.0, 0.0)
+    even = spark.createDataFrame([(1, 10, 5), (2, 4, 2)], "region_id long, n long, p long")
+    assert G.segregation(even).first() == (0.0, 0.5, 0.5, 0.0, 0.5)
+    none = spark.createDataFrame([(1, 10, 0)], "region_id long, n long, p long")
+    assert G.segregation(none).first()[:4] == (None, None, None, None)
+
+
+# --- centres ----------------------------------------------------------------------------------------------
+
+
+def test_steps_are_those_of_plain_kmeans(spark):
+    rng = np.random.default_rng(20)
+    where = np.concatenate([rng.normal(size=(80, 2)) + [6 * k, 3 * k] for k in range(3)]).round(3)
+    points, centres = frame(spark, where), where[[0, 1, 2, 100]].copy()
+    got = K.lloyd(points, centres, 5)
+    far = K.lloyd(points, np.array([[0.0, 0.0], [900.0, 900.0]]), 3)
+    for _ in range(5):
+        own = ((where[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        centres = np.array([where[own == c].mean(axis=0).round(6) if (own == c).any() else centres[c] for c in range(4)])
+    assert got == pytest.approx(centres, abs=2e-6) and far[1].tolist() == [900, 900]
+    near = {r.c: r.point_id for r in K.nearest_to(points.repartition(5), got).collect()}
+    assert near == {c: int(((where - got[c]) ** 2).sum(axis=1).argmin()) for c in range(4)}
+
+
+def test_draws_go_with_squared_distance(spark):
+    """Three heaps: which two are the first centres, over many seeds, as KMeans++ has it."""
+    heaps = {0: (np.array([0.0, 0.0]), 2), 1: (np.array([1.0, 0.0]), 5), 10: (np.array([10.0, 1.0]), 3)}
+    at, weight, seen = np.array([x for x, _ in heaps.values()]), np.array([n for _, n in heaps.values()], float), {}
+    for seed in range(4000):
+        pair = tuple(round(float(x)) for x, _ in K.drawn(at, weight, np.arange(3), 2, seed))
+        seen[pair] = seen.get(pair, 0) + 1
+    for a, (x, n) in heaps.items():
+        rates = {b: m * ((y - x) ** 2).sum() for b, (y, m) in heaps.items() if b != a}
+        assert all(abs(seen.get((a, b), 0) / 4000 - n / 10 * r / sum(rates.values())) < 0.03 for b, r in rates.items())
+    points = frame(spark, np.repeat(at, [2, 5, 3], axis=0))
+    assert sorted(map(tuple, K.first_centres(points, 9, 1).tolist())) == sorted(map(tuple, at.tolist()))  # no more places than that
