@@ -33,14 +33,66 @@ def fast_uniform(seed: int, world: Column, point_id: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), world, point_id), 11).cast("double") / F.lit(float(1 << 53))
 
 
-def _drawn(points: DataFrame, worlds: int, chance: float, seed: int, mode: str) -> DataFrame:
+def _drawn(points: DataFrame, worlds: int, chance: float, seed: int) -> DataFrame:
     """Positive draws of each world for each set of regions, point by point."""
-    uniform = portable_uniform if mode == "portable" else fast_uniform
     every = points.select("point_id", "region_ids").withColumn("world", F.explode(F.sequence(F.lit(0), F.lit(worlds - 1))))
-    hit = every.where(uniform(seed, F.col("world"), F.col("point_id")) < F.lit(chance))
+    hit = every.where(portable_uniform(seed, F.col("world"), F.col("point_id")) < F.lit(chance))
     return hit.groupBy("world", "region_ids").agg(F.count("*").alias("drawn"))
 
 
+#: The five primes of the 64-bit xxHash.
+_PRIMES = tuple(np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _rotated(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def hashed(value: np.ndarray, state: np.ndarray, size: int) -> np.ndarray:
+    """One step of Spark's ``xxhash64`` over numbers of 4 or 8 bytes: what the next column's step starts from."""
+    one, two, three, four, five = _PRIMES
+    with np.errstate(over="ignore"):
+        h = state + five + np.uint64(size)
+        if size == 8:
+            h = _rotated(h ^ (_rotated(value * two, 31) * one), 27) * one + four
+        else:
+            h = _rotated(h ^ ((value & np.uint64(0xFFFFFFFF)) * one), 23) * two + three
+        h = (h ^ (h >> np.uint64(33))) * two
+        h = (h ^ (h >> np.uint64(29))) * three
+    return h ^ (h >> np.uint64(32))
+
+
+def _drawn_at_once(points: DataFrame, worlds: int, chance: float, seed: int) -> DataFrame:
+    """``world, region_id, p``: the draws of ``fast_uniform``, all worlds of a point together.
+
+    Where points have hardly two in the same regions, atoms save nothing, and a row for each point and world is what
+    costs. Here a point's regions are gone through once: a task draws a matrix of some points by all worlds, and adds
+    the rows of each region's points. It gives on one count for each region and world that it has met.
+    """
+    states = hashed(np.arange(worlds).astype(np.uint64), hashed(np.array([seed & 0xFFFFFFFF], np.uint64), np.array([42], np.uint64), 4), 4)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step, found = max(1, (_ROWS << 4) // worlds), {}
+        for batch in batches:
+            for first in range(0, batch.num_rows, step):
+                some = batch.slice(first, step)
+                ids = some.column("point_id").cast(pa.int64()).to_numpy(zero_copy_only=False).view(np.uint64)
+                lists = some.column("region_ids")
+                regions = lists.flatten().to_numpy(zero_copy_only=False)
+                if not len(regions):
+                    continue
+                drawn = (hashed(ids[:, None], states[None, :], 8) >> np.uint64(11)).astype(np.float64) / float(1 << 53) < chance
+                at = np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy(zero_copy_only=False))
+                order = np.argsort(regions, kind="stable")
+                names, starts = np.unique(regions[order], return_index=True)
+                for name, counts in zip(names.tolist(), np.add.reduceat(drawn[at[order]], starts, axis=0, dtype=np.int64)):
+                    found[name] = found[name] + counts if name in found else counts
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([c.tolist() for c in found.values()], pa.list_(pa.int64()))], names=["region_id", "counts"])
+
+    rows = points.select("point_id", "region_ids").mapInArrow(run, "region_id long, counts array<long>")
+    return rows.select("region_id", F.posexplode("counts").alias("world", "n")).groupBy("world", "region_id").agg(F.sum("n").alias("p"))
+
+
 def _drawn_by_atom(points: DataFrame, worlds: int, chance: float, seed: int) -> DataFrame:
     """The same in distribution, one binomial draw for each atom and world: the points need not be gone through
     again for each world. Draws are seeded by the atom, so they do not hang on the layout of rows."""
@@ -98,13 +150,16 @@ def world_maxima(points: DataFrame, regions: DataFrame, total: int, positive: in
         return spark.createDataFrame([], "world int, max_sul double")
     chance = positive / total if total else 0.0
     inside = points.where(F.size("region_ids") > 0)
-    if mode == "binomial":
-        drawn = _drawn_by_atom(inside, worlds, chance, seed)
-    elif mode == "exact":
-        drawn = _drawn_exactly(inside, worlds, total, chance, seed)
+    if mode == "fast":
+        by_region = _drawn_at_once(inside, worlds, chance, seed)
     else:
-        drawn = _drawn(inside, worlds, chance, seed, mode)
-    by_region = drawn.select("world", F.explode("region_ids").alias("region_id"), "drawn").groupBy("world", "region_id").agg(F.sum("drawn").alias("p"))
+        if mode == "binomial":
+            drawn = _drawn_by_atom(inside, worlds, chance, seed)
+        elif mode == "exact":
+            drawn = _drawn_exactly(inside, worlds, total, chance, seed)
+        else:
+            drawn = _drawn(inside, worlds, chance, seed)
+        by_region = drawn.select("world", F.explode("region_ids").alias("region_id"), "drawn").groupBy("world", "region_id").agg(F.sum("drawn").alias("p"))
     every = regions.select("region_id", "n").crossJoin(F.broadcast(spark.range(worlds).select(F.col("id").cast("int").alias("world"))))
     counted = every.join(by_region, ["world", "region_id"], "left").na.fill({"p": 0})
     if nested:

@@ -374,7 +374,7 @@ def square_worlds_full(spark, sf_dir):
     points, radii = view(spark, sf_dir, "orders"), [0.5 * k for k in range(1, 21)]
     p, seeds = profile(points), R.kmeans_seeds(points, 100, 42)
     scores = scored(R.square_stats(points, seeds, radii), p.n, p.p)
-    maxima = S.world_maxima(R.with_square_ids(points, seeds, radii, True), scores, p.n, p.p, 200, SEED, nested=len(radii))
+    maxima = S.world_maxima(R.with_square_ids(points, seeds, radii, True), scores, p.n, p.p, 200, SEED, "fast", len(radii))
     limit = S.threshold(maxima, 200, LEVEL)
     ranked = scores.crossJoin(limit).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("sul"), F.desc("region_id"))))
     kept = S.pruned(ranked.where("sul >= threshold")).select("region_id", "kept_rank")

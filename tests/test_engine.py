@@ -207,6 +207,18 @@ def test_exact_worlds_are_numpys_stream(spark):
     assert [r.max_sul for r in got] == want
 
 
+def test_worlds_at_once_are_those_of_single_draws(spark):
+    """Every draw of the matrix is that of the hash expression, and counts are those of a row for each point and world."""
+    rng = np.random.default_rng(21)
+    rows = [(int(i), sorted(rng.choice(9, rng.integers(0, 4), replace=False).tolist())) for i in rng.integers(-(2**62), 2**62, 400)]
+    points = spark.createDataFrame(rows, "point_id long, region_ids array<long>").repartition(3)
+    for seed in (5, -7):
+        every = points.withColumn("world", F.explode(F.sequence(F.lit(0), F.lit(69)))).where(S.fast_uniform(seed, F.col("world"), F.col("point_id")) < 0.3)
+        want = {(r.world, r.region_id): r["count"] for r in every.withColumn("region_id", F.explode("region_ids")).groupBy("world", "region_id").count().collect()}
+        got = {(r.world, r.region_id): r.p for r in S._drawn_at_once(points, 70, 0.3, seed).collect()}
+        assert {k: v for k, v in got.items() if v} == want and len(got) == 70 * 9
+
+
 def test_pruned_boxes_are_apart_and_many(spark):
     rows = [(i, float((i * 7919) % 100), float((i * 104729) % 97), 3.0 + i % 5) for i in range(200)]
     ranked = spark.createDataFrame([(i, i + 1, x - r, y - r, x + r, y + r) for i, x, y, r in rows], "region_id long, rank int, lon_min double, lat_min double, lon_max double, lat_max double")
