@@ -208,14 +208,21 @@ def random_grids_summary(spark, sf_dir):
 _SEEDS_SQL = f"""{_pts("orders")},
 ct AS (SELECT CAST(column0 AS INTEGER) seed_rank, CAST(column1 AS DOUBLE) x, CAST(column2 AS DOUBLE) y FROM (VALUES {", ".join(f"({k}, {x}, {y})" for k, (x, y) in enumerate(CENTRES))}) v(column0, column1, column2)),
 sd AS (SELECT seed_rank, point_id center, lon, lat FROM ct, pts QUALIFY row_number() OVER (PARTITION BY seed_rank ORDER BY (lon - x) * (lon - x) + (lat - y) * (lat - y), point_id) = 1)"""
-_SQUARES_SQL = f"""{_SEEDS_SQL},
+
+
+def _squares_sql(seeds: str, radii: list[float]) -> str:
+    """CTEs up to ``sc``: squares round the seeds ``sd`` with counts, by the closed range join, and scores."""
+    return f"""{seeds},
 b AS (SELECT count(*) nt, CAST(sum(outcome) AS BIGINT) pt FROM pts),
-sq AS (SELECT seed_rank * {len(RADII)} + radius_rank region_id, seed_rank, radius_rank, center, radius, lon - radius lon_min, lat - radius lat_min, lon + radius lon_max, lat + radius lat_max
-  FROM sd, (SELECT CAST(column0 AS INTEGER) radius_rank, CAST(column1 AS DOUBLE) radius FROM (VALUES {", ".join(f"({k}, {r})" for k, r in enumerate(RADII))}) v(column0, column1))),
+sq AS MATERIALIZED (SELECT seed_rank * {len(radii)} + radius_rank region_id, seed_rank, radius_rank, center, radius, lon - radius lon_min, lat - radius lat_min, lon + radius lon_max, lat + radius lat_max
+  FROM sd, (SELECT CAST(column0 AS INTEGER) radius_rank, CAST(column1 AS DOUBLE) radius FROM (VALUES {", ".join(f"({k}, {r})" for k, r in enumerate(radii))}) v(column0, column1))),
 st AS (SELECT CAST(region_id AS BIGINT) region_id, seed_rank, radius_rank, center, radius, lon_min, lat_min, lon_max, lat_max, nt, pt, count(outcome) n, CAST(coalesce(sum(outcome), 0) AS BIGINT) p
   FROM sq CROSS JOIN b LEFT JOIN pts ON lon BETWEEN lon_min AND lon_max AND lat BETWEEN lat_min AND lat_max GROUP BY ALL),{_scored_sql("st")}"""
 
 
+_SQUARES_SQL = _squares_sql(_SEEDS_SQL, RADII)
+
+
 def _squares(spark, sf_dir):
     points = view(spark, sf_dir, "orders")
     seeds = R.nearest_points(points, CENTRES)
@@ -371,8 +378,8 @@ def grid_worlds_portable(spark, sf_dir):
 @query("square_worlds_full")
 def square_worlds_full(spark, sf_dir):
     """The published free scan: 100 KMeans seeds by 20 radii, 200 worlds, ranked and pruned."""
-    points, radii = view(spark, sf_dir, "orders"), [0.5 * k for k in range(1, 21)]
-    p, seeds = profile(points), R.kmeans_seeds(points, 100, 42)
+    points, radii = view(spark, sf_dir, "orders"), _MANY_RADII
+    p, seeds = profile(points), R.kmeans_seeds(points, _MANY_SEEDS, 42)
     scores = scored(R.square_stats(points, seeds, radii), p.n, p.p)
     maxima = S.world_maxima(R.with_square_ids(points, seeds, radii, True), scores, p.n, p.p, 200, SEED, "fast", len(radii))
     limit = S.threshold(maxima, 200, LEVEL)
@@ -554,18 +561,18 @@ def report_multiple(spark, sf_dir):
     return detail.unionByName(whole.withColumns(fixed), allowMissingColumns=True).withColumn("experiment", F.lit("multiple_partitionings"))
 
 
-@query(
-    "report_unrestricted",
-    f"""WITH RECURSIVE {_maxima_of(_SQUARES_SQL, _IN_SQUARES)},{_THRESHOLD_SQL},
+def _unrestricted_sql(squares: str) -> str:
+    """The row of the free scan after the CTEs of ``squares``."""
+    return f"""WITH RECURSIVE {_maxima_of(squares, _IN_SQUARES)},{_THRESHOLD_SQL},
 rk AS (SELECT sc.*, {_RANK} FROM sc, th WHERE sul >= threshold),{_PRUNED_SQL}
 SELECT 'unrestricted' experiment, 'squares' "method", max(nt) n_points, max(pt) p_points, count(*) n_regions, max(sul) max_sul, any_value(threshold) signif_threshold,
   (SELECT count(*) FROM rk) significant_regions, (SELECT count(*) FROM f) non_overlapping_regions,
-  arg_max(n, (sul, -region_id)) best_region_n, arg_max(p, (sul, -region_id)) best_region_p FROM sc, th""",
-)
-def report_unrestricted(spark, sf_dir):
-    """The scan with its threshold, ranking and pruning, around fixed places where KMeans has none that SQL knows."""
-    points, p, seeds, scores = _squares(spark, sf_dir)
-    limit = S.threshold(S.world_maxima(R.with_square_ids(points, seeds, RADII, True), scores, p.n, p.p, WORLDS, SEED, "portable", len(RADII)), WORLDS, LEVEL)
+  arg_max(n, (sul, -region_id)) best_region_n, arg_max(p, (sul, -region_id)) best_region_p FROM sc, th"""
+
+
+def _unrestricted(points, p, seeds, radii):
+    scores = scored(R.square_stats(points, seeds, radii), p.n, p.p)
+    limit = S.threshold(S.world_maxima(R.with_square_ids(points, seeds, radii, True), scores, p.n, p.p, WORLDS, SEED, "portable", len(radii)), WORLDS, LEVEL)
     ranked = S.significant(scores, limit)
     top = F.struct("sul", -F.col("region_id"))
     row = scores.agg(F.count("*").alias("n_regions"), F.max("sul").alias("max_sul"), F.max_by("n", top).alias("best_region_n"), F.max_by("p", top).alias("best_region_p"))
@@ -574,4 +581,21 @@ def report_unrestricted(spark, sf_dir):
     return row.withColumns({"experiment": F.lit("unrestricted"), "method": F.lit("squares"), "n_points": F.lit(p.n).cast("long"), "p_points": F.lit(p.p).cast("long")})
 
 
+@query("report_unrestricted", _unrestricted_sql(_SQUARES_SQL))
+def report_unrestricted(spark, sf_dir):
+    """The scan with its threshold, ranking and pruning, around fixed places."""
+    points = view(spark, sf_dir, "orders")
+    return _unrestricted(points, profile(points), R.nearest_points(points, CENTRES), RADII)
+
+
+_MANY_SEEDS, _MANY_RADII = 100, [0.5 * k for k in range(1, 21)]
+
+
+@query("report_unrestricted_full", _unrestricted_sql(_squares_sql(_kmeans_sql(_MANY_SEEDS, 42), _MANY_RADII)))
+def report_unrestricted_full(spark, sf_dir):
+    """The same at the published size: 100 seeds of its own by 20 radii; with as many worlds as SQL draws point by point."""
+    points = view(spark, sf_dir, "orders")
+    return _unrestricted(points, profile(points), R.kmeans_seeds(points, _MANY_SEEDS, 42), _MANY_RADII)
+
+
 from . import structure_queries  # noqa: E402, F401  registers its queries here
