@@ -34,12 +34,13 @@ _RUN[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 class LangIdConfig:
     """Bounds of the sample that each automaton is built from, and the words whose parses are remembered.
 
-    Of the values of ``lang``, the ``languages`` that most documents have are learnt.
+    All values of ``lang`` are learnt. ``all_words`` bounds the words of all automata together: from 200 languages
+    on, each has a share of it, and at least one word.
     """
 
-    languages: int = 256
     sample_docs: int = 400
     sample_words: int = 20_000
+    all_words: int = 4_000_000
     cached: int = 200_000
 
 
@@ -121,21 +122,23 @@ def learn_sample(training: DataFrame, config: LangIdConfig) -> dict[str, list[st
     """Distinct words of some documents of each language, the same ones however the rows are laid out.
 
     Documents are taken in the order of a hash of their id and text, ``sample_docs`` at most; words in the
-    order in which they come, ``sample_words`` at most. Only hashes within a rate that leaves about four
+    order in which they come, ``sample_words`` at most (or the language's share of ``all_words``). Only hashes within a rate that leaves about four
     times as many as needed are ranked, so that no language is ranked as a whole.
     """
     rows = training.where("text is not null and lang is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(config.languages).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
-    rate = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (4 * config.sample_docs + 20) / n))))
-    some = rows.where(F.pmod("h", F.lit(1 << 30)) < F.coalesce(rate[F.col("lang")], F.lit(0.0)) * float(1 << 30))
+    # A row for each label, of which all words are sent out below.
+    rates = rows.sparkSession.createDataFrame([(lang, min(1.0, (4 * config.sample_docs + 20) / n)) for lang, n in counts.items()], "lang string, rate double")
+    some = rows.join(F.broadcast(rates), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("rate") * float(1 << 30))
+    most = max(1, min(config.sample_words, config.all_words // len(counts)))
     ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", F.xxhash64("text")))).where(F.col("rank") <= config.sample_docs)
     words: dict[str, dict[str, None]] = {lang: {} for lang in sorted(counts, key=lambda x: (-counts[x], x))}
     for r in ranked.orderBy("lang", "rank").toLocalIterator():
         own = words[r["lang"]]
         for w in letter_words(r["text"]):
-            if len(own) >= config.sample_words:
+            if len(own) >= most:
                 break
             own.setdefault(w)
     return {lang: list(own) for lang, own in words.items()}
@@ -160,8 +163,8 @@ def identify(docs: DataFrame, training: DataFrame, columns: list[str], config: L
 
     ``training`` has ``doc_id, text, lang``; rows with a null text or lang are not learnt from. A text that
     is null, empty or without letters, and any text if nothing was learnt, is ``und`` with score 0. Ties go
-    to the language with more labelled documents, then to the first by name. Languages are few: their samples, ``sample_words`` words each, are
-    collected and broadcast.
+    to the language with more labelled documents, then to the first by name. The samples, ``all_words`` words at
+    most beside one for each label, are collected and broadcast.
     """
     return _predict(with_text(docs, columns), learn_sample(training, config), config)
 
