@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -44,6 +44,7 @@ TOKENS = {
 }
 TOKEN_GROUP = {word: k for k, words in enumerate(TOKENS.values()) for word in words.split()}
 _CONTENT = len(TOKENS) - 1
+_FORM, _FRAME_RUNS = list(TOKENS).index("form"), 3
 _BOILER_TAGS = {TAG_GROUP[t] for t in ("nav", "footer", "aside", "form")}
 _ARTICLE_TAGS = {TAG_GROUP[t] for t in ("article", "main")}
 
@@ -79,7 +80,7 @@ class Page:
         self.nodes = [Node(TAG_GROUP["html"], -1, 0, 0, "#")]
         self.runs: list[tuple[int, str]] = []
         self._open = [0]
-        self._count: Counter[str] = Counter()  # of open elements, by tag
+        self._places: dict[str, list[int]] = defaultdict(list)  # of open elements among all that are open, by tag
         self._dead: set[int] = set()  # signs outside of quotes after which no tag has an end
         self._sign = (0, -1)  # the first sign at or after the one place is the other
         self._ends: dict[str, re.Pattern | None] = {}
@@ -101,17 +102,12 @@ class Page:
 
     def _close(self, names: set[str], within: set[str]) -> None:
         """Close the innermost open element of ``names``, unless one of ``within`` is nearer."""
-        if not any(self._count[name] for name in names):
+        at = max((self._places[name][-1] for name in names if self._places[name]), default=0)
+        if not at or any(self._places[name] and self._places[name][-1] > at for name in within):
             return
-        for k in range(len(self._open) - 1, 0, -1):
-            tag = self.nodes[self._open[k]].tag
-            if tag in names:
-                for node in self._open[k:]:
-                    self._count[self.nodes[node].tag] -= 1
-                del self._open[k:]
-                return
-            if tag in within:
-                return
+        for node in self._open[at:]:
+            self._places[self.nodes[node].tag].pop()
+        del self._open[at:]
 
     def _start(self, tag: str, attributes: str) -> None:
         self._flush()
@@ -129,8 +125,8 @@ class Page:
         parent = self._open[-1]
         place = len(self.nodes[parent].children)
         self.nodes[parent].children.append(len(self.nodes))
+        self._places[tag].append(len(self._open))
         self._open.append(len(self.nodes))
-        self._count[tag] += 1
         self.nodes.append(Node(TAG_GROUP[tag], parent, self.nodes[parent].depth + 1, tokens, tag, place))
 
     def _tag_end(self, source: str, at: int, last: dict[str, int]) -> int:
@@ -221,7 +217,11 @@ N_FEATURES = len(GROUPS) + 2 * len(TOKENS) + 18
 
 
 def node_features(page: Page) -> np.ndarray:
-    """One row for each node but the root, which is no element."""
+    """One row for each node but the root, which is no element.
+
+    A form round half of the page's text and more, in several runs, is no form to fill in but the page's own frame,
+    as some site builders have it; it is told like a block without a kind.
+    """
     nodes = page.nodes
     n = len(nodes)
     below = np.array([[x.chars, x.linked, x.runs, x.stops, x.tags, 1] for x in nodes], float)
@@ -229,6 +229,9 @@ def node_features(page: Page) -> np.ndarray:
     out = np.zeros((n, N_FEATURES))
     for k in range(n - 1, 0, -1):
         below[nodes[k].parent] += below[k]
+    for k in range(1, n):
+        if nodes[k].tag == "form" and 2 * below[k][0] >= below[0][0] and below[k][2] >= _FRAME_RUNS:
+            nodes[k].group, nodes[k].tokens = TAG_GROUP["div"], nodes[k].tokens & ~(1 << _FORM)
     g, t = len(GROUPS), len(TOKENS)
     alike = Counter((x.parent, x.group) for x in nodes[1:])
     for k in range(1, n):

@@ -580,6 +580,16 @@ def test_phrases_by_brute_force():
         assert parser.phrases(w) == count(f" {w} ")
 
 
+def test_every_label_is_learnt(spark):
+    """As many labels as documents hold: the rarest are told too."""
+    rows = [(k, " ".join(f"{chr(0x100 + k)}{chr(0x300 + k % 90 + 0x100)}{c}" for c in "abcdefg"), f"l{k:03d}", "s", 1) for k in range(300)]
+    docs = spark.createDataFrame(rows, DOCUMENT)
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, docs, ["doc_id"]).select("row.doc_id", "lang_pred").collect()}
+    assert got == {k: f"l{k:03d}" for k in range(300)}
+    few = langid.learn_sample(docs, langid.LangIdConfig(all_words=600))
+    assert len(few) == 300 and {len(w) for w in few.values()} == {2}
+
+
 def test_language_of_odd_rows(odd, none):
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.language_report(odd).collect()}
     assert got[2] == got[3] == got[4] == ("und", 0.0) and got[1][0] == "en"
@@ -657,11 +667,22 @@ def test_articles_without_paragraphs():
         f'<div id="content"><div>{one}</div><div>{two}</div><div>{three}</div></div>',
         f'<div class="post">{one}<br>{two}<br>{three}</div>',
         f"<div><div><section><div>{one}</div></section><section><div>{two}</div></section><section><div>{three}</div></section></div></div>",
+        f'<form id="aspnetForm" action="/"><input type="hidden"><div>{one}</div><div>{two}</div><div>{three}</div></form>',
     ):
         text = main_of(f"<html><body>{nav}{body}{foot}</body></html>", trees)
         assert all(t in text for t in (one, two, three)) and "Home" not in text and "Copyright" not in text
 
 
+@pytest.mark.parametrize("head", ["<p><li>", "<p><ul><li>"])
+def test_closing_is_linear(head):
+    took = []
+    for n in (4_000, 32_000):
+        source, begin = head + "<blockquote>" * n, time.process_time()
+        html.Page(source)
+        took.append(time.process_time() - begin)
+    assert took[1] < 20 * took[0] + 0.5
+
+
 @pytest.mark.parametrize("piece", ['<a href="x>', "<a '", '<p "">', "<ul><li>x</li>", "<div>", "</p>", "<b", "<script>", '<a ""', "<!--", "<li>x", "</section><div>", "<a<"])
 def test_parsing_is_linear(piece):
     took = []
@@ -722,6 +743,20 @@ def test_chat_of_odd_rows(spark):
     assert chat.perspectives(frame.limit(0)).count() == 0
 
 
+def test_turns_of_one_number_come_in_parts(spark):
+    rows = [(1, None if k % 2 else 3, "ann" if k % 3 else "bob", f"t{k:03d}") for k in range(300)]
+    got = chat.perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r.chunk, r.part, r.n_turns) for r in got} == {(c, p, 64 if p < 2 else 22) for c in (-1, 0) for p in range(3)}
+    for speaker in ("ann", "bob"):
+        own = sorted((r for r in got if r.speaker == speaker), key=lambda r: (r.chunk, r.part))
+        whole = "".join(r.text for r in own)
+        assert [r.start_char for r in own] == [0, *itertools.accumulate(len(r.text) for r in own[:-1])]
+        order = sorted(rows, key=lambda r: (r[1] is not None, r[2], r[3]))
+        assert re.findall(r"t\d{3}", whole) == [r[3] for r in order]
+        learnt = [r.text[b:e] for r in own for b, e in (map(int, m.split("-")) for m in r.mask.split(",") if m)]
+        assert learnt == [r[3] + "<|im_end|>\n" for r in order if r[2] == speaker]
+
+
 # --- all together ---------------------------------------------------------------------------------------------------------------
 
 
