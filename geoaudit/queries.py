@@ -598,4 +598,4 @@ def report_unrestricted_full(spark, sf_dir):
     return _unrestricted(points, profile(points), R.kmeans_seeds(points, _MANY_SEEDS, 42), _MANY_RADII)
 
 
-from . import structure_queries  # noqa: E402, F401  registers its queries here
+from . import structure_queries, table_queries  # noqa: E402, F401  they register their queries here

@@ -66,6 +66,21 @@ def map_data(points: DataFrame, p: Profile, grid: list[dict] = (), boxes: list[d
     }
 
 
+def map_rows(data: dict) -> list[tuple]:
+    """What a map shows, as ``layer, lon_min, lat_min, lon_max, lat_max, color, title``: its middle and extent, points, boxes, and hulls by their bounds."""
+    lat, lon = data["center"]
+    rows = [("center", lon, lat, lon, lat, None, f"zoom {data['zoom']}")]
+    if data["extent"]:
+        (lat_min, lon_min), (lat_max, lon_max) = data["extent"]
+        rows.append(("extent", lon_min, lat_min, lon_max, lat_max, None, None))
+    rows += [("point", x, y, x, y, color, None) for y, x, color in data["points"]]
+    rows += [("box", b["lon_min"], b["lat_min"], b["lon_max"], b["lat_max"], b["color"], b["title"]) for b in data["boxes"]]
+    for h in data["hulls"]:
+        lats, lons = zip(*h["at"], strict=True)
+        rows.append(("hull", min(lons), min(lats), max(lons), max(lats), h["color"], h["title"]))
+    return rows
+
+
 def save_map(points: DataFrame, path: str | Path, p: Profile | None = None, title: str = "map", **layers_and_limits) -> Path:
     """Write a map; see ``map_data`` for what it can show."""
     path = Path(path)

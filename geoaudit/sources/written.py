@@ -27,12 +27,18 @@ class Rounds:
             spark.conf.set(SETTING, root)
         self.spark, self.folder, self.n = spark, f"{root.rstrip('/')}/geoaudit/{label}-{uuid.uuid4().hex}", 0
 
-    def kept(self, rows: DataFrame) -> DataFrame:
-        """``rows`` as written and read again."""
+    def path(self) -> str:
+        """A path that nothing is at."""
         self.n += 1
-        path = f"{self.folder}/{self.n}"
-        rows.write.parquet(path)
         if self.n == 1:
             folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+            files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            files.mkdirs(folder)
+            files.deleteOnExit(folder)
+        return f"{self.folder}/{self.n}"
+
+    def kept(self, rows: DataFrame) -> DataFrame:
+        """``rows`` as written and read again."""
+        path = self.path()
+        rows.write.parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
