@@ -62,9 +62,12 @@ class Tree:
 
 
 def grown(spots: DataFrame, rounds: Rounds, leaf: int | None = None) -> Tree:
-    """The tree over ``lat, lon, ids, v``; ``v`` is a number of the place's own, whose bounds nodes keep too."""
+    """The tree over ``lat, lon, ids, v``; ``v`` is a number of the place's own, whose bounds nodes keep too.
+
+    Places are on the sphere, unless they come with ``la, lo`` and with ``x, y, z`` from -1 to 1 of their own.
+    """
     leaf, la, lo = leaf or _LEAF, F.radians("lat"), F.radians("lon")
-    placed = spots.withColumns({"la": la, "lo": lo, "x": F.cos(la) * F.cos(lo), "y": F.cos(la) * F.sin(lo), "z": F.sin(la)})
+    placed = spots if "x" in spots.columns else spots.withColumns({"la": la, "lo": lo, "x": F.cos(la) * F.cos(lo), "y": F.cos(la) * F.sin(lo), "z": F.sin(la)})
     whole = placed.withColumns({f"q{a}": F.least(F.floor((F.col(a) + 1) / 2 * (1 << _BITS)), F.lit((1 << _BITS) - 1)).cast("int") for a in _AXES})
     spots = rounds.kept(whole)
 

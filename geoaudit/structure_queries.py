@@ -13,6 +13,7 @@ from .operators import polygons as G
 from .operators import pyramid as P
 from .operators import regions as R
 from .operators.dbscan import cluster_table, dbscan
+from .operators.delaunay import delaunay
 from .operators.scan import scored
 from .queries import GRID, SEED, _cells_sql, _pts, _scored_sql, query
 from .sources.points import profile, view
@@ -352,3 +353,19 @@ def cell_communities(spark, sf_dir):
     cells = R.grid_of(points, 10, 10, p).withColumnRenamed("region_id", "id").where("n > 0")
     own = cells.join(C.louvain(C.cell_graph(cells))[0].withColumnRenamed("node", "id"), "id", "left").withColumn("region_id", F.coalesce("community", "id"))
     return scored(own.groupBy("region_id").agg(F.count("*").alias("cells"), F.sum("n").alias("n"), F.sum("p").alias("p")), p.n, p.p)
+
+
+# --- triangulation --------------------------------------------------------------------------------------
+
+
+@query(
+    "delaunay_edges",
+    f"""WITH {_pts("embed")},
+pq AS (SELECT a.point_id a, b.point_id b, (a.lon + b.lon) / 2 mx, (a.lat + b.lat) / 2 my, -(b.lat - a.lat) nx, b.lon - a.lon ny, ((a.lon - b.lon) ** 2 + (a.lat - b.lat) ** 2) / 4 h FROM pts a JOIN pts b ON a.point_id < b.point_id),
+cs AS (SELECT pq.*, (c.lon - mx) ** 2 + (c.lat - my) ** 2 - h e, 2 * ((c.lon - mx) * nx + (c.lat - my) * ny) f FROM pq JOIN pts c ON c.point_id <> a AND c.point_id <> b),
+bd AS (SELECT a, b, coalesce(min(CASE WHEN f > 0 THEN e / f END), 1e300) high, coalesce(max(CASE WHEN f < 0 THEN e / f END), -1e300) low FROM cs GROUP BY a, b)
+SELECT a, b, low <= 0 AND high >= 0 gabriel FROM bd WHERE low < high""",
+)
+def delaunay_edges(spark, sf_dir):
+    """Places with an empty circle through both, and those with nothing in the circle between them."""
+    return delaunay(_embed(spark, sf_dir))

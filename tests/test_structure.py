@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from geoaudit.operators import autocorrelation as A
 from geoaudit.operators import communities as C
 from geoaudit.operators import dbscan as D
+from geoaudit.operators import delaunay as T
+from geoaudit.operators import layers
 from geoaudit.operators import kmeans as K
 from geoaudit.operators import neighbours as N
 from geoaudit.operators import polygons as G
@@ -480,3 +482,55 @@ def test_draws_go_with_squared_distance(spark):
         assert all(abs(seen.get((a, b), 0) / 4000 - n / 10 * r / sum(rates.values())) < 0.03 for b, r in rates.items())
     points = frame(spark, np.repeat(at, [2, 5, 3], axis=0))
     assert sorted(map(tuple, K.first_centres(points, 9, 1).tolist())) == sorted(map(tuple, at.tolist()))  # no more places than that
+
+
+# --- triangulation ----------------------------------------------------------------------------------------
+
+
+def brute_edges(where):
+    """Pairs with room for the middle of an empty circle, along the line of equal distance."""
+    out = {}
+    for a, b in itertools.combinations(range(len(where)), 2):
+        m, n = (where[a] + where[b]) / 2, np.array([-(where[b] - where[a])[1], (where[b] - where[a])[0]])
+        c = np.delete(where, [a, b], axis=0) - m
+        e, f = (c**2).sum(axis=1) - ((where[a] - where[b]) ** 2).sum() / 4, 2 * c @ n
+        high, low = (e[f > 0] / f[f > 0]).min(initial=1e6), (e[f < 0] / f[f < 0]).max(initial=-1e6)
+        if high - low > 1e-7 and not (e[f == 0] < 0).any():
+            out[a, b] = bool(low <= 0 <= high)
+    return out
+
+
+def found_edges(points):
+    return {(r.a, r.b): r.gabriel for r in T.delaunay(points).collect()}
+
+
+@pytest.mark.parametrize("leaf", [5, 64])
+def test_triangulation_by_brute_force(spark, leaf, monkeypatch):
+    """Dense heaps, lone places, and the rim, where cells have no end."""
+    monkeypatch.setattr(T, "_LEAF", leaf)
+    monkeypatch.setattr(T, "_FIRST", 4)  # few, so that most corners are still to be looked round
+    rng = np.random.default_rng(23)
+    where = np.concatenate([rng.normal(size=(60, 2)) * 0.01, rng.uniform(-9, 9, (60, 2)), rng.normal(size=(20, 2)) * [0.001, 5] + [30, 0]])
+    got = found_edges(frame(spark, where))
+    assert got == brute_edges(where)
+
+
+def test_triangulation_of_lattices_and_few_places(spark):
+    side = 6
+    lattice = np.array([(x, y) for x in range(side) for y in range(side)], float)
+    got = found_edges(frame(spark, lattice))
+    assert set(got) == {(a, b) for a, b in itertools.combinations(range(side * side), 2) if ((lattice[a] - lattice[b]) ** 2).sum() == 1} and all(got.values())
+    line = frame(spark, [(k * k, 0.0) for k in range(7)])
+    assert found_edges(line) == {(k, k + 1): True for k in range(6)}
+    twice = frame(spark, [(0, 0), (0, 0), (1, 0), (0, 1), (0, 1)])
+    assert set(found_edges(twice)) == {(0, 2), (0, 3), (2, 3)}
+    assert found_edges(twice.limit(1)) == {} == found_edges(twice.limit(0))
+
+
+def test_triangulation_has_all_triangles(spark):
+    """By Euler's formula, n places of which h are on the hull have 3n - 3 - h edges."""
+    where = np.random.default_rng(24).uniform(0, 1, (1500, 2))
+    points = frame(spark, where)
+    (hull,) = layers.hulls(points.withColumn("g", F.lit(1)), "g").collect()
+    # Edges along the rim may have circles wider than those that are looked at.
+    assert 0 <= 3 * 1500 - 3 - len(hull.hull) - len(found_edges(points)) <= 1
