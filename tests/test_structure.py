@@ -534,3 +534,4 @@ def test_triangulation_has_all_triangles(spark):
     (hull,) = layers.hulls(points.withColumn("g", F.lit(1)), "g").collect()
     # Edges along the rim may have circles wider than those that are looked at.
     assert 0 <= 3 * 1500 - 3 - len(hull.hull) - len(found_edges(points)) <= 1
+
