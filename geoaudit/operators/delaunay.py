@@ -21,46 +21,59 @@ from ..sources.written import Rounds
 from .neighbours import _NODE, Tree, candidates, distance_bounds, grown, spots_of
 
 #: Nearest places that a cell is first cut by, places in a leaf, half the side of the square that cells begin as (the
-#: points' extent is 2), and the length from which a side counts.
-_FIRST, _LEAF, _EDGE, _LEAST = 12, 64, 1e6, 1e-9
+#: points' extent is 2), the length from which a side counts, as a share of the distance of the two places, and room
+#: for rounding in circles. With few first places, too many cells would have no end yet, and wide circles.
+_FIRST, _LEAF, _EDGE, _LEAST, _ROOM = 32, 64, 1e6, 1e-9, 1e-15
 _KEY = "key"
 
 
 class Cell:
-    """A convex polygon round a place, with the number of the place beyond each side (-1: the square's)."""
+    """A convex polygon round a place, as corners from there on and the lines of its sides (``x * dx + y * dy = m``).
+
+    Corners are where two lines meet, not shares of the way between far ones, so that they are as exact as the lines
+    however close places are. ``beyond`` has the number of the place beyond each side (-1: the first square's).
+    """
 
     def __init__(self, x: float, y: float):
         self.x, self.y = x, y
-        self.corners = [(x - _EDGE, y - _EDGE), (x + _EDGE, y - _EDGE), (x + _EDGE, y + _EDGE), (x - _EDGE, y + _EDGE)]
+        self.corners = [(-_EDGE, -_EDGE), (_EDGE, -_EDGE), (_EDGE, _EDGE), (-_EDGE, _EDGE)]
+        self.lines = [(0.0, -1.0, _EDGE), (1.0, 0.0, _EDGE), (0.0, 1.0, _EDGE), (-1.0, 0.0, _EDGE)]
         self.beyond = [-1] * 4  # of the side from this corner on
 
     def cut(self, x: float, y: float, number: int) -> None:
         """Keep what is nearer to the cell's place than to ``(x, y)``."""
         dx, dy = x - self.x, y - self.y
-        middle = (dx * dx + dy * dy) / 2
-        over = [(cx - self.x) * dx + (cy - self.y) * dy - middle for cx, cy in self.corners]
+        m = (dx * dx + dy * dy) / 2
+        over = [cx * dx + cy * dy - m for cx, cy in self.corners]
         if max(over) <= 0:
             return
-        corners, beyond = [], []
-        for k, (corner, side) in enumerate(zip(self.corners, self.beyond)):
-            at, to = over[k], over[(k + 1) % len(over)]
-            end = self.corners[(k + 1) % len(over)]
+        corners, lines, beyond = [], [], []
+        for k, corner in enumerate(self.corners):
+            at, to, line, side = over[k], over[(k + 1) % len(over)], self.lines[k], self.beyond[k]
             if at <= 0:
                 corners.append(corner)
+                lines.append(line)
                 beyond.append(side)
             if (at < 0 < to) or (to < 0 < at):
-                share = at / (at - to)
-                corners.append((corner[0] + share * (end[0] - corner[0]), corner[1] + share * (end[1] - corner[1])))
+                lx, ly, lm = line
+                turn = lx * dy - ly * dx
+                if abs(turn) > 1e-12 * (abs(lx) + abs(ly)) * (abs(dx) + abs(dy)):
+                    corners.append(((lm * dy - ly * m) / turn, (lx * m - lm * dx) / turn))
+                else:
+                    end, share = self.corners[(k + 1) % len(over)], at / (at - to)
+                    corners.append((corner[0] + share * (end[0] - corner[0]), corner[1] + share * (end[1] - corner[1])))
+                lines.append((dx, dy, m) if at < 0 else line)
                 beyond.append(number if at < 0 else side)
             elif at == 0 and to > 0:
-                beyond[-1] = number
-        self.corners, self.beyond = corners, beyond
+                lines[-1], beyond[-1] = (dx, dy, m), number
+        self.corners, self.lines, self.beyond = corners, lines, beyond
 
-    def sides(self) -> Iterator[tuple[int, float, float]]:
-        """Places beyond the sides that have a length, with the side's two ends along it, from the middle between the two places."""
+    def sides(self) -> Iterator[tuple[int, tuple[float, float], tuple[float, float]]]:
+        """Places beyond the sides that have a length, and the side's two ends."""
         for k, number in enumerate(self.beyond):
             (ax, ay), (bx, by) = self.corners[k], self.corners[(k + 1) % len(self.corners)]
-            if number >= 0 and (ax - bx) ** 2 + (ay - by) ** 2 > _LEAST**2:
+            dx, dy, _ = self.lines[k]
+            if number >= 0 and (ax - bx) ** 2 + (ay - by) ** 2 > _LEAST**2 * (dx * dx + dy * dy):
                 yield number, (ax, ay), (bx, by)
 
 
@@ -129,7 +142,7 @@ class _First:
             cell, near = Cell(self.x[k], self.y[k]), np.isfinite(self.d[k])
             for x, y in zip(self.qx[k][near].tolist(), self.qy[k][near].tolist()):
                 cell.cut(x, y, 0)
-            circles += [{"x": x, "y": y, "r": float(np.hypot(x - cell.x, y - cell.y))} for x, y in cell.corners]
+            circles += [{"x": cell.x + x, "y": cell.y + y, "r": float(np.hypot(x, y)) * (1 + 1e-12) + _ROOM} for x, y in cell.corners]
             own += [k] * len(cell.corners)
             for out, values in zip(lists, (self.qx, self.qy, self.ids)):
                 out.append(values[k][near].tolist())
@@ -149,7 +162,7 @@ class _Final:
 
     def meet(self, row: dict) -> None:
         x, y, ids = _arrays(row, "lo_b", "la_b", "id_b")
-        inside = np.hypot(self.cx[:, None] - x, self.cy[:, None] - y) <= self.r[:, None] * (1 + 1e-12)
+        inside = np.hypot(self.cx[:, None] - x, self.cy[:, None] - y) <= self.r[:, None]
         for circle, place in zip(*np.nonzero(inside)):
             k = self.own[circle]
             if ids[place] != self.ids[k]:
@@ -164,8 +177,7 @@ class _Final:
             for n, i in enumerate(order):
                 cell.cut(*near[i], n)
             for n, (ax, ay), (bx, by) in cell.sides():
-                qx, qy = near[order[n]]
-                mx, my = (x + qx) / 2, (y + qy) / 2
+                mx, my = (near[order[n]][0] - x) / 2, (near[order[n]][1] - y) / 2
                 # Of the circles through both places, the smallest one is round their middle.
                 gabriel = (mx - ax) * (bx - ax) + (my - ay) * (by - ay) >= 0 and (mx - bx) * (ax - bx) + (my - by) * (ay - by) >= 0
                 out.append((min(own, order[n]), max(own, order[n]), gabriel))
@@ -179,7 +191,7 @@ def _in_circles(tree: Tree, cells: DataFrame, rounds: Rounds) -> DataFrame:
     def reached() -> Column:
         def into(c: Column) -> Column:
             gaps = [F.greatest(F.lit(0.0), F.col(f"b.{a}_min") - c[a], c[a] - F.col(f"b.{a}_max")) for a in ("x", "y")]
-            return gaps[0] * gaps[0] + gaps[1] * gaps[1] <= c["r"] * c["r"] * (1 + 1e-9)
+            return gaps[0] * gaps[0] + gaps[1] * gaps[1] <= c["r"] * c["r"] * (1 + 1e-12)
 
         return F.exists("circles", into)
 
@@ -207,4 +219,6 @@ def delaunay(points: DataFrame) -> DataFrame:
     pairs = candidates(tree, distance_bounds, _FIRST + 1, rounds).select(_key("q").alias("key"), "to", "low")
     cells = rounds.kept(_by_leaf(pairs.join(other, "to").join(own, "key").drop("to"), _First, _CELLS))
     again = _in_circles(tree, cells, rounds).join(other, "to").join(own, "key").join(cells, "key").drop("to").withColumn("low", F.lit(0.0))
-    return _by_leaf(again, _Final, "a long, b long, gabriel boolean").distinct()
+    # Each edge is found from both ends; where rounding lets the two disagree, it is none.
+    found = _by_leaf(again, _Final, "a long, b long, gabriel boolean").groupBy("a", "b").agg(F.count("*").alias("ends"), F.bool_and("gabriel").alias("gabriel"))
+    return found.where("ends = 2").select("a", "b", "gabriel")

@@ -527,6 +527,14 @@ def test_triangulation_of_lattices_and_few_places(spark):
     assert found_edges(twice.limit(1)) == {} == found_edges(twice.limit(0))
 
 
+def test_triangulation_of_places_that_nearly_meet(spark):
+    """A thousand places within a billionth of the extent, and some far away: a plane graph still, with all its triangles."""
+    rng = np.random.default_rng(26)
+    where = np.concatenate([rng.normal(size=(1000, 2)) * 1e-9, rng.uniform(-9, 9, (100, 2))])
+    n, edges = len(where), found_edges(frame(spark, where))
+    assert 3 * n - 3 - 90 < len(edges) <= 3 * n - 6
+
+
 def test_triangulation_has_all_triangles(spark):
     """By Euler's formula, n places of which h are on the hull have 3n - 3 - h edges."""
     where = np.random.default_rng(24).uniform(0, 1, (1500, 2))
