@@ -430,6 +430,43 @@ def test_near_copies_are_found(spark):
         assert {d for d, _ in found} <= {d for d, _ in wanted}
 
 
+def test_copies_round_a_run_that_very_many_share():
+    """Exact copies of 50 words, of which 1,500 others have 38 to 45: joined in one batch and between two."""
+    import pyarrow as pa
+
+    config = substring.SubstringConfig()
+    for seed, run, left in ((1, 40, 5), (2, 38, 7), (3, 45, 5), (4, 40, 8)):
+        rng = np.random.default_rng(seed)
+        fresh = lambda n: [f"s{x}" for x in rng.integers(0, 10**9, n)]  # noqa: E731, B023
+        shared = fresh(run)
+        rows = [(1000 + k, [*fresh(int(rng.integers(20, 60))), *shared, *fresh(int(rng.integers(20, 60)))]) for k in range(1500)]
+        for k in range(40):
+            passage = [*fresh(left), *shared, *fresh(max(5, 50 - run - left))]
+            rows += [(k, [*fresh(30), *passage, *fresh(30)]), (10_000 + k, [*fresh(25), *passage, *fresh(35)])]
+        rng.shuffle(rows)
+        batch = pa.RecordBatch.from_arrays([pa.array([int(i) for i, _ in rows]), pa.array([" ".join(w) for _, w in rows])], names=["doc_id", "text"])
+        parts = [substring._batch_windows(b, config) for b in (batch.slice(0, 800), batch.slice(800))]
+        whole = substring._links(np.concatenate(parts), config)
+        dealt = substring._links(np.concatenate([substring._dealt(p, config) for p in parts]), config)
+        for link in ([whole], [dealt, *(substring._links(p, config) for p in parts)]):
+            pairs = {p for x in link for p in zip(x["later"].tolist(), x["earlier"].tolist(), strict=True)}
+            assert sum((10_000 + k, k) in pairs for k in range(40)) >= 39
+            assert len(pairs) < 80 * len(rows)  # not all pairs: that would be over a million
+
+
+def test_documents_round_a_run_that_many_share(spark):
+    rng = np.random.default_rng(41)
+    fresh = lambda n: [f"t{x}" for x in rng.integers(0, 10**9, n)]
+    shared = fresh(40)
+    rows = [(1000 + k, [*fresh(30), *shared, *fresh(30)]) for k in range(300)]
+    for k in range(30):
+        passage = [*fresh(5), *shared, *fresh(5)]
+        rows += [(k, [*fresh(30), *passage, *fresh(30)]), (10_000 + k, [*fresh(25), *passage, *fresh(35)])]
+    frame = spark.createDataFrame([(i, " ".join(w), None, None, None) for i, w in rows], DOCUMENT).repartition(4)
+    found = {(r.doc_id, r.match_doc_id) for r in substring.repeated_passages(frame).collect()}
+    assert found == {(10_000 + k, k) for k in range(30)}
+
+
 def test_repeats_under_one_id(spark):
     rng = np.random.default_rng(12)
     fresh = lambda n: [f"r{x}" for x in rng.integers(0, 10**9, n)]
