@@ -445,10 +445,9 @@ def test_copies_round_a_run_that_very_many_share():
             rows += [(k, [*fresh(30), *passage, *fresh(30)]), (10_000 + k, [*fresh(25), *passage, *fresh(35)])]
         rng.shuffle(rows)
         batch = pa.RecordBatch.from_arrays([pa.array([int(i) for i, _ in rows]), pa.array([" ".join(w) for _, w in rows])], names=["doc_id", "text"])
-        parts = [substring._batch_windows(b, config) for b in (batch.slice(0, 800), batch.slice(800))]
-        whole = substring._links(np.concatenate(parts), config)
-        dealt = substring._links(np.concatenate([substring._dealt(p, config) for p in parts]), config)
-        for link in ([whole], [dealt, *(substring._links(p, config) for p in parts)]):
+        for size in (len(rows), 800, 50):  # one batch, two, and 32 that each hold few of the others
+            parts = [substring._batch_windows(batch.slice(k, size), config) for k in range(0, len(rows), size)]
+            link = [substring._links(np.concatenate([substring._dealt(p, config) for p in parts]), config), *(substring._links(p, config) for p in parts)]
             pairs = {p for x in link for p in zip(x["later"].tolist(), x["earlier"].tolist(), strict=True)}
             assert sum((10_000 + k, k) in pairs for k in range(40)) >= 39
             assert len(pairs) < 80 * len(rows)  # not all pairs: that would be over a million
