@@ -431,7 +431,7 @@ def test_near_copies_are_found(spark):
 
 
 def test_copies_round_a_run_that_very_many_share():
-    """Exact copies of 50 words, of which 1,500 others have 38 to 45: joined in one batch and between two."""
+    """Exact copies of 50 to 55 words, of which 1,500 others have 38 to 45: joined in one batch and between batches."""
     import pyarrow as pa
 
     config = substring.SubstringConfig()
