@@ -524,3 +524,20 @@ def test_grid_counting_shuffles_partial_counts_only(spark, sf):
     plan = R.grid_of(points, 20, 20, profile(points))._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
     assert "ReadSchema: struct<l_quantity" in plan and "l_orderkey" not in plan.split("ReadSchema")[-1]
+
+
+@pytest.mark.parametrize("mode", ["fast", "portable"])
+def test_more_draws_than_a_byte_counts(spark, mode):
+    """1,000 points in one region, so that sums by bytes would overflow; the draws are those of the expressions."""
+    points = spark.range(1000).select(F.col("id").alias("point_id"), F.array(F.lit(3).cast("long"), (F.col("id") % 2 + 5).cast("long")).alias("region_ids"))
+    uniform = {"fast": S.fast_uniform, "portable": S.portable_uniform}[mode]
+    every = points.withColumn("world", F.explode(F.sequence(F.lit(0), F.lit(2)))).where(uniform(7, F.col("world"), F.col("point_id")) < 0.9)
+    want = every.select("world", F.explode("region_ids").alias("region_id")).groupBy("world", "region_id").count()
+    got = S._drawn_at_once(points, 3, 0.9, 7, mode)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_rings_look_at_few_seeds(spark):
+    """Of 100 seeds, a point meets those of the buckets that their squares touch, without further ones around."""
+    seeds = spark.range(100).select(F.col("id").cast("int").alias("seed_rank"), (F.col("id") % 10 * 10.0).alias("lon"), (F.floor(F.col("id") / 10) * 10.0).alias("lat"))
+    assert R._reached(seeds, 1.0, 2.0).groupBy("seed_rank").count().agg(F.max("count")).first()[0] <= 9
