@@ -543,3 +543,14 @@ def test_triangulation_has_all_triangles(spark):
     # Edges along the rim may have circles wider than those that are looked at.
     assert 0 <= 3 * 1500 - 3 - len(hull.hull) - len(found_edges(points)) <= 1
 
+
+
+def test_band_sums_are_those_of_pairs(spark, monkeypatch):
+    """Sites at shared places, null values and lonely sites; no pair is written."""
+    rows = [(k, (k * 7 % 13) / 10, (k * 5 % 11) / 10, None if k % 17 == 0 else float(k * k % 7)) for k in range(120)] + [(500, 50.0, 50.0, 1.0)]
+    sites = spark.createDataFrame(rows, "id long, lon double, lat double, x double")
+    (want,) = A.global_autocorrelation(sites, A.band_weights(sites, 0.3)).collect()
+    monkeypatch.setattr(A, "band_weights", None)
+    assert A.band_autocorrelation(sites, 0.3).collect() == [want]
+    (alone,) = A.band_autocorrelation(sites.where("id = 500"), 0.3).collect()
+    assert alone.n == 1 and alone.s0 is None and alone.moran is None
