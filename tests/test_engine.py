@@ -541,3 +541,29 @@ def test_rings_look_at_few_seeds(spark):
     """Of 100 seeds, a point meets those of the buckets that their squares touch, without further ones around."""
     seeds = spark.range(100).select(F.col("id").cast("int").alias("seed_rank"), (F.col("id") % 10 * 10.0).alias("lon"), (F.floor(F.col("id") / 10) * 10.0).alias("lat"))
     assert R._reached(seeds, 1.0, 2.0).groupBy("seed_rank").count().agg(F.max("count")).first()[0] <= 9
+
+
+def test_tree_search_is_that_of_all_pairs(spark):
+    """Equal places and distances on a lattice, 1,500 points in leaves of a tree: cores and edges of the one minimal tree by (d, lower, higher end)."""
+    k = np.arange(1500)
+    where = np.radians(np.stack([k * 7919 % 37 / 10 + k % 3 * 20, k * 104729 % 31 / 10], axis=1))
+    every = hdbscan._angles(where, where)
+    sent = spark.sparkContext.broadcast(where)
+    core = hdbscan._cores(spark, sent, 1500, 20)
+    assert hdbscan._Boxes(where).depth > 4
+    assert (core == np.sort(every, axis=1)[:, 19]).all()
+    reach = np.maximum(np.maximum(every, core[:, None]), core[None, :])
+    a, b = np.triu_indices(1500, 1)
+    root, want = list(range(1500)), []
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for at in np.lexsort((b, a, reach[a, b])).tolist():
+        x, y = find(int(a[at])), find(int(b[at]))
+        if x != y:
+            root[x] = y
+            want.append((reach[a[at], b[at]], int(a[at]), int(b[at])))
+    assert [tuple(e) for e in hdbscan._spanning_tree(spark, sent, core).tolist()] == sorted(want)
