@@ -849,3 +849,14 @@ def test_runs_leave_each_others_tables_alone(spark, sf, docs):
 
 def test_shared_folder_is_the_sessions(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_shards_of_the_vocabulary_go_by_bytes(spark, monkeypatch):
+    """One split with much text still has many shards, so that the words of one stay few."""
+    from geoaudit.llm import lm
+
+    asked, known = [], lm._requests
+    monkeypatch.setattr(lm, "_requests", lambda docs, shards, config: asked.append(shards) or known(docs, shards, config))
+    docs = spark.range(50).coalesce(1).selectExpr("id doc_id", "repeat('some words ', 10) text")
+    assert lm.score_texts(docs, lm.LmConfig(shard_bytes=100)).count() == 50
+    assert asked == [55]
