@@ -17,6 +17,7 @@ from .operators.delaunay import delaunay
 from .operators.scan import scored
 from .queries import GRID, SEED, _cells_sql, _pts, _scored_sql, query
 from .sources.points import profile, view
+from .sources.written import Rounds
 
 # --- autocorrelation ------------------------------------------------------------------------------------
 
@@ -350,7 +351,8 @@ def cell_communities(spark, sf_dir):
     """Communities of the graph of cells as regions of the audit: cells, points and scores. Held against brute force in tests."""
     points = view(spark, sf_dir, "biased")
     p = profile(points)
-    cells = R.grid_of(points, 10, 10, p).withColumnRenamed("region_id", "id").where("n > 0")
+    # The points are counted once: edges and the result read the cells again and again.
+    cells = Rounds(spark, "cells").kept(R.grid_of(points, 10, 10, p).withColumnRenamed("region_id", "id").where("n > 0"))
     own = cells.join(C.louvain(C.cell_graph(cells))[0].withColumnRenamed("node", "id"), "id", "left").withColumn("region_id", F.coalesce("community", "id"))
     return scored(own.groupBy("region_id").agg(F.count("*").alias("cells"), F.sum("n").alias("n"), F.sum("p").alias("p")), p.n, p.p)
 
