@@ -5,13 +5,14 @@ few places are left; so it is deep where points are dense. Leaves are the unit o
 with the box of its places, level by level for all leaves at once, and keeps the nodes that may hold an answer for
 one of them. What each node can add at least and at most follows from the two boxes; the answers that enough
 points are sure to reach rule out all nodes that cannot. Leaf by leaf the places that are left are then compared.
-Plans are joins and windows over boxes; only a leaf's places and one other's are ever side by side.
+Plans are joins and windows over boxes; only a leaf's places and those of a few others are ever side by side.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from ..sources.written import Rounds
 #: Halvings of space along each axis, those in one step, and the places in a leaf.
 _BITS, _STEP, _LEAF = 20, 2, 128
 _LEVELS = _BITS // _STEP
+#: Candidates of a leaf that are compared with it at once.
+_MET = 16
 _AXES = ("x", "y", "z")
 #: Room for rounding in bounds, as shares of what is compared and in itself.
 _SHARE, _ROOM = 1e-9, 1e-12
@@ -158,7 +161,7 @@ def candidates(tree: Tree, bounds: Bounds, need: int, rounds: Rounds) -> DataFra
 
 
 def _compared(tree: Tree, pairs: DataFrame, fold: Callable, result: str) -> DataFrame:
-    """Runs ``fold`` over each leaf and its candidates, nearest first: one pair of leaves at a time."""
+    """Runs ``fold`` over each leaf and its candidates, nearest first: the first alone, then a few at a time."""
     columns = ("lat", "lon", "la", "lo", "v", "ids")
     own = tree.leaves.select(F.col("node").alias("q"), *(F.col(c).alias(f"{c}_a") for c in columns))
     other = tree.leaves.select(F.col("node").alias("to"), *(F.col(c).alias(f"{c}_b") for c in ("la", "lo", "v", "ids")))
@@ -169,13 +172,19 @@ def _compared(tree: Tree, pairs: DataFrame, fold: Callable, result: str) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, None
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = {c: batch.column(c)[k] for c in batch.schema.names}
-                if row["key"].as_py() != key:
+            keys = batch.column("key").to_pylist()
+            low = 0
+            while low < len(keys):
+                if keys[low] != key:
                     if state is not None:
                         yield state.done()
-                    key, state = row["key"].as_py(), fold(row)
-                state.meet(row)
+                    key, state = keys[low], fold({c: batch.column(c)[low] for c in batch.schema.names})
+                    most = 1  # the nearest alone, so that it bounds the others
+                high = low + 1
+                while high < min(len(keys), low + most) and keys[high] == key:
+                    high += 1
+                state.meet({c: SimpleNamespace(values=batch.column(c).slice(low, high - low).flatten()) for c in ("la_b", "lo_b", "v_b", "ids_b")})
+                low, most = high, _MET
         if state is not None:
             yield state.done()
 
@@ -186,28 +195,35 @@ def _places(row: dict, side: str) -> np.ndarray:
     return np.stack([row[f"{c}_{side}"].values.to_numpy(zero_copy_only=False) for c in ("la", "lo")], axis=1)
 
 
+def _in_space(places: np.ndarray) -> np.ndarray:
+    la, lo = places.T
+    return np.stack([np.cos(la) * np.cos(lo), np.cos(la) * np.sin(lo), np.sin(la)], axis=1)
+
+
 class _Lists:
     """The k nearest points of each place of a leaf: angles and ids, nearest and then least first."""
 
     def __init__(self, row: dict, k: int):
         self.k, self.row, self.at = k, row, _places(row, "a")
-        n = len(self.at)
+        n, self.space = len(self.at), _in_space(self.at)
         self.d, self.ids = np.full((n, k), np.inf), np.full((n, k), np.iinfo(np.int64).max)
 
     def meet(self, row: dict) -> None:
-        away = angles(self.at, _places(row, "b"))
-        bound = self.d[:, -1]
-        use = (away <= bound[:, None]).any(axis=0)
-        if not use.any():
+        other = _places(row, "b")
+        # Chords, which are quick, tell which places may be among the nearest of which; angles of those alone are taken.
+        chords = 2 - 2 * (self.space @ _in_space(other).T)
+        near = chords <= (4 * np.sin(np.minimum(self.d[:, -1], np.pi) / 2) ** 2 * (1 + _SHARE) + 1e-14)[:, None]
+        mine, use = np.flatnonzero(near.any(axis=1)), near.any(axis=0)
+        if not len(mine):
             return
+        away = angles(self.at[mine], other[use])
         ids = row["ids_b"].values
         sizes = ids.value_lengths().to_numpy(zero_copy_only=False)
-        flat = ids.flatten().to_numpy(zero_copy_only=False)
-        spread = np.repeat(use, sizes)
-        d = np.concatenate([self.d, np.repeat(away, sizes, axis=1)[:, spread]], axis=1)
-        every = np.concatenate([self.ids, np.broadcast_to(flat[spread], (len(d), int(spread.sum())))], axis=1)
+        flat = ids.flatten().to_numpy(zero_copy_only=False)[np.repeat(use, sizes)]
+        d = np.concatenate([self.d[mine], np.repeat(away, sizes[use], axis=1)], axis=1)
+        every = np.concatenate([self.ids[mine], np.broadcast_to(flat, (len(mine), len(flat)))], axis=1)
         order = np.lexsort((every, d), axis=1)[:, : self.k]
-        self.d, self.ids = np.take_along_axis(d, order, 1), np.take_along_axis(every, order, 1)
+        self.d[mine], self.ids[mine] = np.take_along_axis(d, order, 1), np.take_along_axis(every, order, 1)
 
     def done(self) -> pa.RecordBatch:
         there = np.isfinite(self.d)
