@@ -140,21 +140,26 @@ def farthest_bounds(a: str, b: str) -> tuple[Column, Column]:
     return -high, -low
 
 
-def candidates(tree: Tree, bounds: Bounds, need: int, rounds: Rounds) -> DataFrame:
-    """``q, to, low``: leaves, and those that may hold one of the ``need`` smallest answers for one of their places."""
+def candidates(tree: Tree, bounds: Bounds, need: int, rounds: Rounds, reach: DataFrame | None = None) -> DataFrame:
+    """``q, to, low``: leaves, and those that may hold one of the ``need`` smallest answers for one of their places.
+
+    ``reach`` (``node, reach``): a bound of those answers that is known of each leaf beforehand.
+    """
     here = tree.leaves.select(F.col("node").alias("q"), F.col("box").alias("a"))
+    here = here.withColumn("known", F.lit(float("inf"))) if reach is None else here.join(reach.select(F.col("node").alias("q"), F.col("reach").alias("known")), "q")
     # All begin at the root, which has 64 nodes below it at most.
     root = F.broadcast(tree.steps.where("from.l = 0").select(F.col("node").alias("to"), F.col("box").alias("b")))
     steps = tree.steps.select(F.col("from").alias("at"), F.col("node").alias("to"), F.col("box").alias("b"))
     low, high = bounds("a", "b")
     for level in range(max(1, tree.depth)):
         met = here.join(steps, "at") if level else here.crossJoin(root)
-        seen = met.select("q", "a", "to", F.col("b.n").alias("n"), low.alias("low"), high.alias("high"))
+        seen = met.select("q", "a", "known", "to", F.col("b.n").alias("n"), low.alias("low"), high.alias("high"))
         # The answer that so many points are sure to reach.
         sure = F.sum("n").over(Window.partitionBy("q").orderBy("high"))
         seen = seen.withColumn("sure", F.when(sure >= need, F.col("high"))).withColumn("bound", F.min("sure").over(Window.partitionBy("q")))
-        open_ = F.col("bound").isNull() | (F.col("low") <= F.col("bound") + F.abs("bound") * _SHARE + _ROOM)
-        here = seen.where(open_).select("q", "a", F.col("to").alias("at"), "low")
+        bound = F.least("bound", "known")  # of what is not null
+        open_ = F.col("low") <= bound + F.abs(bound) * _SHARE + _ROOM
+        here = seen.where(open_).select("q", "a", "known", F.col("to").alias("at"), "low")
         if level % 3 == 2:
             here = rounds.kept(here)
     return here.select("q", F.col("at").alias("to"), "low")
@@ -162,12 +167,17 @@ def candidates(tree: Tree, bounds: Bounds, need: int, rounds: Rounds) -> DataFra
 
 def _compared(tree: Tree, pairs: DataFrame, fold: Callable, result: str) -> DataFrame:
     """Runs ``fold`` over each leaf and its candidates, nearest first: the first alone, then a few at a time."""
-    columns = ("lat", "lon", "la", "lo", "v", "ids")
-    own = tree.leaves.select(F.col("node").alias("q"), *(F.col(c).alias(f"{c}_a") for c in columns))
     other = tree.leaves.select(F.col("node").alias("to"), *(F.col(c).alias(f"{c}_b") for c in ("la", "lo", "v", "ids")))
-    met = pairs.join(other, "to").join(own, "q")
-    met = met.withColumn("key", F.concat_ws(" ", *(F.col(f"q.{c}").cast("string") for c in _NODE)))
-    rows = met.repartition("key").sortWithinPartitions("key", "low").select("key", *(f"{c}_a" for c in columns), *(f"{c}_b" for c in ("la", "lo", "v", "ids")))
+    return _folded(pairs.join(other, "to"), tree, fold, result)
+
+
+def _folded(met: DataFrame, tree: Tree, fold: Callable, result: str) -> DataFrame:
+    """Runs ``fold`` over each leaf and what it has ``met``; a leaf's own places come once, before them."""
+    columns, theirs = ("lat", "lon", "la", "lo", "v", "ids"), [f"{c}_b" for c in ("la", "lo", "v", "ids")]
+    own = tree.leaves.select(F.col("node").alias("q"), F.lit(float("-inf")).alias("low"), *(F.col(c).alias(f"{c}_a") for c in columns))
+    both = own.unionByName(met.select("q", "low", *theirs), allowMissingColumns=True)
+    both = both.withColumn("key", F.concat_ws(" ", *(F.col(f"q.{c}").cast("string") for c in _NODE))).withColumn("whose", F.col("la_a").isNull())
+    rows = both.repartition("key").sortWithinPartitions("key", "whose", "low").select("key", *(f"{c}_a" for c in columns), *theirs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, None
@@ -179,7 +189,8 @@ def _compared(tree: Tree, pairs: DataFrame, fold: Callable, result: str) -> Data
                     if state is not None:
                         yield state.done()
                     key, state = keys[low], fold({c: batch.column(c)[low] for c in batch.schema.names})
-                    most = 1  # the nearest alone, so that it bounds the others
+                    low, most = low + 1, 1  # the nearest alone, so that it bounds the others
+                    continue
                 high = low + 1
                 while high < min(len(keys), low + most) and keys[high] == key:
                     high += 1
@@ -254,12 +265,61 @@ class _Reach:
         return pa.RecordBatch.from_arrays([self.row["lat_a"].values, self.row["lon_a"].values, pa.array(self.best)], names=["lat", "lon", "value"])
 
 
+_LIST = "lat double, lon double, d array<double>, near array<long>"
+
+
+def _reached(tree: Tree, k: int) -> DataFrame:
+    """``node, reach``: how far each leaf's places look at most: squared, in space, to the k-th point of their own leaf."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in range(batch.num_rows):
+                at = np.stack([batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in _AXES], axis=1)
+                size = batch.column("n")[row].values.to_numpy(zero_copy_only=False)
+                chords = ((at[:, None, :] - at[None, :, :]) ** 2).sum(axis=2)
+                rank = np.argsort(chords, axis=1)
+                held = np.cumsum(size[rank], axis=1)
+                there = np.take_along_axis(chords, rank, 1)[np.arange(len(at)), np.minimum((held < k).sum(axis=1), len(at) - 1)]
+                out.append(float(there.max()) if size.sum() >= k else np.inf)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.float64())], names=["node", "reach"])
+
+    la, lo = F.col("la"), F.col("lo")
+    space = {
+        "x": F.zip_with(la, lo, lambda a, b: F.cos(a) * F.cos(b)),
+        "y": F.zip_with(la, lo, lambda a, b: F.cos(a) * F.sin(b)),
+        "z": F.transform(la, F.sin),
+    }
+    rows = tree.leaves.select("node", *(c.alias(a) for a, c in space.items()), F.transform("ids", F.size).alias("n"))
+    return rows.mapInArrow(run, f"node {tree.leaves.schema['node'].dataType.simpleString()}, reach double")
+
+
+def _near_places(tree: Tree, pairs: DataFrame) -> DataFrame:
+    """``q, low`` and, as arrays, the places of another leaf that are within reach of ``q``'s box; the leaf itself has all."""
+    other = tree.leaves.select(F.col("node").alias("to"), F.arrays_zip("la", "lo", "v", "ids").alias("s"))
+    met = pairs.join(other, "to")
+
+    def within(p: Column) -> Column:
+        at = {"x": F.cos(p["la"]) * F.cos(p["lo"]), "y": F.cos(p["la"]) * F.sin(p["lo"]), "z": F.sin(p["la"])}
+        gaps = (F.greatest(F.lit(0.0), F.col(f"a.{c}_min") - at[c], at[c] - F.col(f"a.{c}_max")) for c in _AXES)
+        return sum((g * g for g in gaps), F.lit(0.0)) <= F.col("reach") * (1 + _SHARE) + _ROOM
+
+    kept = met.select("q", "low", F.when(F.col("q") == F.col("to"), F.col("s")).otherwise(F.filter("s", within)).alias("s")).where(F.size("s") > 0)
+    return kept.select("q", "low", *(F.col(f"s.{c}").alias(f"{c}_b") for c in ("la", "lo", "v", "ids")))
+
+
 def _lists(points: DataFrame, k: int, rounds: Rounds) -> tuple[DataFrame, DataFrame]:
-    """Places with their ids, and the ``k`` nearest points of each, those on it among them."""
+    """Places with their ids, and the ``k`` nearest points of each, those on it among them.
+
+    A leaf's own places bound how far it looks, so that of others only the places next to it are sent; its own are sent once.
+    """
     spots = rounds.kept(spots_of(points, max(k, 2)))
     tree = grown(spots.withColumn("v", F.lit(0.0)), rounds)
-    found = _compared(tree, candidates(tree, distance_bounds, k, rounds), lambda row: _Lists(row, k), "lat double, lon double, d array<double>, near array<long>")
-    return spots, rounds.kept(found)
+    reach = rounds.kept(_reached(tree, k))
+    pairs = candidates(tree, distance_bounds, k, rounds, reach)
+    boxes = reach.select(F.col("node").alias("q"), "reach").join(tree.leaves.select(F.col("node").alias("q"), F.col("box").alias("a")), "q")
+    met = _near_places(tree, pairs.join(boxes, "q"))
+    return spots, rounds.kept(_folded(met, tree, lambda row: _Lists(row, k), _LIST))
 
 
 def nearest_neighbours(points: DataFrame, k: int) -> DataFrame:
